@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality, secrets
+from . import mixing, pii, quality, secrets
 
 
 def _table(spark, sf_dir: str, name: str):
@@ -13,10 +13,18 @@ def op4_secrets(spark, sf_dir):
     return secrets.secret_report(_table(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark, sf_dir):
+    return mixing.mix_report(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark, sf_dir):
     return quality.quality_report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_secrets, op7_quality)}
+def op10_private(spark, sf_dir):
+    return pii.private_report(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op4_secrets, op6_mixing, op7_quality, op10_private)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op6_mixing": mixing.ORACLE}
