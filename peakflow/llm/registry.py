@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import mixing, pii, quality, secrets
+from . import decontaminate, mixing, pii, quality, secrets
 
 
 def _table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark, sf_dir):
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_secrets(spark, sf_dir):
     return secrets.secret_report(_table(spark, sf_dir, "documents"))
 
@@ -25,6 +29,19 @@ def op10_private(spark, sf_dir):
     return pii.private_report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_secrets, op6_mixing, op7_quality, op10_private)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op4_secrets, op6_mixing, op7_quality, op10_private)}
+
+_SHINGLES = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"""
+_SETS = """SELECT {id}, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS s
+  FROM (SELECT {id}, """ + _SHINGLES + """ AS w FROM {table})"""
+
+_LEAKS = f"""
+WITH d AS (SELECT doc_id, unnest(s) AS x FROM ({_SETS.format(id="doc_id", table="documents")})),
+b AS ({_SETS.format(id="item_id", table="benchmark")}),
+i AS (SELECT item_id, len(s) AS n_item, unnest(s) AS x FROM b)
+SELECT doc_id, item_id, count(*)::BIGINT AS n_shared, any_value(n_item)::BIGINT AS n_item, count(*) / any_value(n_item) AS containment
+FROM d JOIN i USING (x) GROUP BY doc_id, item_id HAVING 100 * count(*) >= 75 * any_value(n_item)
+"""
 
-ORACLE_SQL = {"op6_mixing": mixing.ORACLE}
+ORACLE_SQL = {"op1_decontaminate": _LEAKS, "op6_mixing": mixing.ORACLE}
