@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, pii, quality, secrets
+from . import decontaminate, jaccard, mixing, pii, quality, secrets
 
 
 def _table(spark, sf_dir: str, name: str):
@@ -25,11 +25,15 @@ def op7_quality(spark, sf_dir):
     return quality.quality_report(_table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark, sf_dir):
+    return jaccard.components_of(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_private(spark, sf_dir):
     return pii.private_report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op4_secrets, op6_mixing, op7_quality, op10_private)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op4_secrets, op6_mixing, op7_quality, op9_jaccard_join, op10_private)}
 
 _SHINGLES = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"""
 _SETS = """SELECT {id}, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
@@ -44,4 +48,14 @@ SELECT doc_id, item_id, count(*)::BIGINT AS n_shared, any_value(n_item)::BIGINT
 FROM d JOIN i USING (x) GROUP BY doc_id, item_id HAVING 100 * count(*) >= 75 * any_value(n_item)
 """
 
-ORACLE_SQL = {"op1_decontaminate": _LEAKS, "op6_mixing": mixing.ORACLE}
+_COMPONENTS = f"""
+WITH RECURSIVE d AS ({_SETS.format(id="doc_id", table="documents")}),
+t AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM d),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY 1, 2 HAVING 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))),
+reach(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles, c.component_id
+FROM d JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = d.doc_id
+"""
+
+ORACLE_SQL = {"op9_jaccard_join": _COMPONENTS, "op1_decontaminate": _LEAKS, "op6_mixing": mixing.ORACLE}
