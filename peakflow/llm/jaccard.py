@@ -8,11 +8,14 @@ boundary is where the subsets of a set, summed over all documents, would cost
 more than its list entries and the check of its shingles.
 
 Heavy sets enter lists only with their rarest shingles: sharing 3/7 of both
-sizes, two linked sets must share one of the first ``n - ceil(3n/4) + 1`` in
-any order that is the same for all. Frequent shingles come last in that order,
-so passages that many documents repeat are not looked up. Lists make chains of
-neighbours in size, never all pairs; chains give coarse groups that no link
-leaves. A group's sets then meet once: a breadth-first walk scans the group's
+sizes, two linked sets must share k of the first ``n - ceil(3n/4) + k`` in any
+order that is the same for all, for every k. Frequent shingles come last in
+that order, so passages that many documents repeat are not looked up. A long
+list makes a chain of neighbours in size, never all pairs; of short lists
+(``SHORT`` sets at most) each pair is counted, and counts only if the lists
+that hold both reach k, which grows with the sets: single shingles shared by
+chance do not. Chains and such pairs give coarse groups that no link leaves. A
+group's sets then meet once: a breadth-first walk scans the group's
 inverted lists from each set for those not yet reached, so a thousand near
 copies cost a few scans. Groups above ``GROUP_SHINGLES`` are cut in blocks by
 size and hash, and only pairs of blocks of fitting sizes meet.
@@ -50,6 +53,8 @@ FREQUENT = 1 << 20
 FREQUENT_LEAST = 4
 #: Group members told to all tasks: at most so many rows, else they are joined by a shuffle.
 TOLD = 500_000
+#: Lists of so many sets at most have their pairs counted.
+SHORT = 8
 #: Light sets are never larger than this, whatever the costs.
 LIGHT_MOST = 12
 _U = np.uint64
@@ -61,9 +66,14 @@ def needed(a: int, b: int) -> int:
     return -(-3 * (a + b) // 7)
 
 
+def shares(n: int) -> int:
+    """List entries that a set must share with any linked set of as many or more."""
+    return 1 + n // 64
+
+
 def prefix(n: int) -> int:
-    """List entries of a set: any linked set shares one of them."""
-    return n - (3 * n + 3) // 4 + 1
+    """List entries of a set: any linked set shares at least the fewer of both sets' ``shares``."""
+    return n - (3 * n + 3) // 4 + shares(n)
 
 
 def subset_sizes(n: int) -> range:
@@ -260,6 +270,33 @@ class Forest:
         return [(x, r) for x in list(self.top) if (r := self.root(x)) != x]
 
 
+_PAIR = np.dtype([("a", "<i8"), ("b", "<i8"), ("need", "<i4"), ("n", "<i4")])
+
+
+def _summed(pairs: np.ndarray) -> np.ndarray:
+    """One entry for each pair, with the sum of its counts."""
+    if not len(pairs):
+        return pairs
+    pairs = pairs[np.lexsort((pairs["b"], pairs["a"]))]
+    first = np.flatnonzero(np.concatenate(([True], (pairs["a"][1:] != pairs["a"][:-1]) | (pairs["b"][1:] != pairs["b"][:-1]))))
+    out = pairs[first]
+    out["n"] = np.add.reduceat(pairs["n"], first)
+    return out
+
+
+def _short_pairs(e: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Pairs of fitting sizes within the lists ``number`` of the sorted entries ``e``."""
+    found = []
+    for d in range(1, SHORT):
+        a, b = e[:-d], e[d:]
+        on = (number[d:] == number[:-d]) & (4 * a["n"].astype(np.int64) >= 3 * b["n"]) & (a["node"] != b["node"])
+        pair = np.empty(int(on.sum()), _PAIR)
+        pair["a"], pair["b"] = np.minimum(a["node"], b["node"])[on], np.maximum(a["node"], b["node"])[on]
+        pair["need"], pair["n"] = 1 + a["n"][on] // 64, 1
+        found.append(pair)
+    return _summed(np.concatenate(found))
+
+
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sure", pa.bool_())])
 
 
@@ -268,24 +305,49 @@ def _edge_table(*groups) -> pa.Table:
     return pa.table([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_EDGES)], schema=_EDGES)
 
 
-def _list_group(table: pa.Table) -> pa.Table:
-    """Chains of neighbours in size in each list (coarse), and stars of each shared subset (sure)."""
-    e = np.concatenate([np.frombuffer(x, _ENTRY) for x in table.column("entries").to_pylist()])
-    e = e[np.lexsort((e["node"], e["n"], e["subset"], e["token"]))]
-    same = (e["token"][1:] == e["token"][:-1]) & (e["subset"][1:] == e["subset"][:-1])
-    a, b = e[:-1], e[1:]
-    chain = same & (a["subset"] == 0) & (4 * a["n"].astype(np.int64) >= 3 * b["n"]) & (a["node"] != b["node"])
-    first = np.concatenate(([True], ~same))
-    lead = np.maximum.accumulate(np.where(first, np.arange(len(e)), 0))
-    top = e[lead]
-    star = ~first & (e["subset"] > 0) & (7 * e["subset"].astype(np.int64) >= 3 * (top["n"].astype(np.int64) + e["n"])) & (e["node"] != top["node"])
-    out = []
-    for x, y, on in ((a, b, chain), (top, e, star)):
-        forest = Forest()
-        for p, q in np.unique(np.stack([x["node"][on], y["node"][on]], 1), axis=0).tolist():
-            forest.join(p, q)
-        out.append(forest.edges())
-    return _edge_table((out[0], False), (out[1], True))
+_LISTS_SQL = "bucket int, pairs binary, a array<bigint>, b array<bigint>, sure boolean"
+_LISTS = pa.schema([("bucket", pa.int32()), ("pairs", pa.binary()), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int64())), ("sure", pa.bool_())])
+
+
+def _list_group(n: int):
+    """Counted pairs of short lists by bucket; forests of long lists' chains and of shared subsets (sure)."""
+
+    def group(table: pa.Table) -> pa.Table:
+        e = np.concatenate([np.frombuffer(x, _ENTRY) for x in table.column("entries").to_pylist()])
+        e = e[np.lexsort((e["node"], e["n"], e["subset"], e["token"]))]
+        keep = np.concatenate(([True], (e["token"][1:] != e["token"][:-1]) | (e["subset"][1:] != e["subset"][:-1]) | (e["node"][1:] != e["node"][:-1])))
+        e = e[keep]  # equal sets of several batches
+        same = (e["token"][1:] == e["token"][:-1]) & (e["subset"][1:] == e["subset"][:-1])
+        first = np.concatenate(([True], ~same))
+        number = np.cumsum(first) - 1
+        long = np.bincount(number)[number] > SHORT
+        a, b = e[:-1], e[1:]
+        chain = same & long[1:] & (a["subset"] == 0) & (4 * a["n"].astype(np.int64) >= 3 * b["n"])
+        top = e[np.maximum.accumulate(np.where(first, np.arange(len(e)), 0))]
+        star = ~first & (e["subset"] > 0) & (7 * e["subset"].astype(np.int64) >= 3 * (top["n"].astype(np.int64) + e["n"]))
+        rows = []
+        for x, y, on, sure in ((a, b, chain, False), (top, e, star, True)):
+            forest = Forest()
+            for p, q in np.unique(np.stack([x["node"][on], y["node"][on]], 1), axis=0).tolist():
+                forest.join(p, q)
+            edges = forest.edges()
+            rows.append((None, None, [p for p, _ in edges], [q for _, q in edges], sure))
+        short = (e["subset"] == 0) & ~long
+        pairs = _short_pairs(e[short], number[short])
+        at = mix(pairs["a"].astype(np.uint64) ^ mix(pairs["b"].astype(np.uint64))) % _U(n)
+        rows += [(k, v.tobytes(), [], [], None) for k, v in _split(pairs, at, n)]
+        return pa.table([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_LISTS)], schema=_LISTS)
+
+    return group
+
+
+def _pair_group(table: pa.Table) -> pa.Table:
+    """Forest of the pairs of one bucket whose lists are as many as they need."""
+    pairs = _summed(np.concatenate([np.frombuffer(x, _PAIR) for x in table.column("pairs").to_pylist()]))
+    forest = Forest()
+    for a, b in zip(*(pairs[c][pairs["n"] >= pairs["need"]].tolist() for c in ("a", "b")), strict=True):
+        forest.join(a, b)
+    return _edge_table((forest.edges(), False))
 
 
 # --- third reading: the sets of coarse groups meet
@@ -412,8 +474,10 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     x = boundary(histogram)
     handle = spark.sparkContext.broadcast((keys, classes))
     lists = docs.select("text").mapInArrow(_post_map(handle, x, n, n), "bucket int, entries binary")
-    edges = materialise(lists.groupBy("bucket").applyInArrow(_list_group, "a bigint, b bigint, sure boolean"), "lists")
-    coarse = graph.components(edges.filter("not sure").select("a", "b"))
+    lists = materialise(lists.groupBy("bucket").applyInArrow(_list_group(n), _LISTS_SQL), "lists")
+    edges = lists.filter("sure is not null").select("sure", F.explode(F.arrays_zip("a", "b")).alias("x")).select("x.a", "x.b", "sure")
+    often = lists.filter("pairs is not null").select("bucket", "pairs").groupBy("bucket").applyInArrow(_pair_group, "a bigint, b bigint, sure boolean")
+    coarse = graph.components(edges.filter("not sure").unionByName(often).select("a", "b"))
     reps = slim.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     places = materialise(_parts(reps.join(coarse, "node")), "places")
     few = places.count() <= TOLD

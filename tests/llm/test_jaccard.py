@@ -59,6 +59,11 @@ def test_groups_in_blocks_and_lists_by_shuffle(spark, monkeypatch):
     check(spark, texts)
 
 
+def test_lists_as_chains_only(spark, monkeypatch):
+    monkeypatch.setattr(j, "SHORT", 1)
+    check(spark, made(random.Random(11)))
+
+
 def test_all_light_or_all_heavy(spark, monkeypatch):
     texts = {k: v for k, v in made(random.Random(9)).items() if v and len(v.split()) < 14}
     for x in (0, 12):
