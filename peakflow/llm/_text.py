@@ -116,6 +116,21 @@ def shingle_hashes(h: np.ndarray, k: int = 5) -> np.ndarray:
     return mix(out + _U(size))
 
 
+def slice_shingles(h: np.ndarray, offs: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`shingle_hashes` of all texts of a slice at once: (shingles, offsets by text)."""
+    n = np.diff(offs)
+    text = np.repeat(np.arange(len(n)), n)
+    inside = text[: max(0, len(h) - k + 1)] == text[k - 1 :]
+    out, owner = shingle_hashes(h, k)[inside] if len(h) >= k else h[:0], text[: max(0, len(h) - k + 1)][inside]
+    few = np.flatnonzero((n > 0) & (n < k))
+    if len(few):
+        out = np.concatenate([out, *[shingle_hashes(h[offs[i] : offs[i + 1]], k) for i in few]])
+        owner = np.concatenate([owner, few])
+        order = np.argsort(owner, kind="stable")
+        out, owner = out[order], owner[order]
+    return out, np.searchsorted(owner, np.arange(len(n) + 1))
+
+
 def shingle_sets(column, k: int = 5, limit: int = SLICE_BYTES):
     """Yields (row, sorted distinct shingle hashes) for every row of the column."""
     for lo, hi, h, offs in word_hashes(column, True, limit):

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import mix, shingle_hashes, word_hashes
+from ._text import mix, shingle_hashes, slice_shingles, word_hashes
 
 SHINGLE = 5
 LEAST = 0.75
@@ -43,10 +43,12 @@ HASHES = 96
 BLOCK_ITEMS = 20_000
 BLOCK_BYTES = 16 << 20
 #: Shingles of a document for which minima are kept at once.
-PIECE = 1 << 15
+PIECE = 1 << 18
 
 _U = np.uint64
-_ODD = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * _U(0xD6E8FEB86659FD93)) | _U(1)
+_SEEN_BITS = 22
+_SEEN = _U((1 << _SEEN_BITS) - 1)
+_ODD = (mix(np.arange(1, HASHES + 1, dtype=np.uint64) * _U(0xD6E8FEB86659FD93)) | _U(1)).astype(np.uint32)
 
 
 class Index:
@@ -59,7 +61,7 @@ class Index:
                 ids.append(item)
                 sets.append(s)
         self.ids, self.sets = ids, sets
-        self.classes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.classes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         by: dict[int, list[int]] = {}
         for k, s in enumerate(sets):
             by.setdefault(len(s).bit_length() - 1, []).append(k)
@@ -67,7 +69,9 @@ class Index:
             keys = np.concatenate([_minima(sets[k], np.array([0]))[:, 0] for k in members])
             owner = np.repeat(np.array(members), HASHES)
             order = np.argsort(keys, kind="stable")
-            self.classes[c] = keys[order], owner[order]
+            seen = np.zeros(1 << _SEEN_BITS, bool)  # most minima are told apart here, without a search
+            seen[keys & _SEEN] = True
+            self.classes[c] = keys[order], owner[order], seen
 
 
 def _sets(column) -> Iterator[np.ndarray]:
@@ -81,33 +85,52 @@ def _minima(s: np.ndarray, cuts: np.ndarray) -> np.ndarray:
 
     The low seven bits tell the hash function, so minima of different functions never agree.
     """
-    out = np.empty((HASHES, len(cuts)), np.uint64)
+    out = np.empty((HASHES, len(cuts)), np.uint32)
+    high = (s >> _U(32)).astype(np.uint32)
     for k in range(HASHES):
-        x = s * _ODD[k]
-        out[k] = np.minimum.reduceat(x ^ (x >> _U(32)), cuts)
-    return out & ~_U(127) | np.arange(HASHES, dtype=np.uint64)[:, None]
+        out[k] = np.minimum.reduceat(high * _ODD[k], cuts)
+    return out.astype(np.uint64) << _U(7) | np.arange(HASHES, dtype=np.uint64)[:, None]
 
 
-def candidates(s: np.ndarray, index: Index) -> set[int]:
-    """Items (by place in the index) that share a minimum with a window of the shingles ``s``."""
-    found: set[int] = set()
+def candidates(s: np.ndarray, offs: np.ndarray, index: Index) -> list[set[int]]:
+    """For each text of a slice the items (by place) that share a minimum with one of its windows.
+
+    Text i has the shingles ``s[offs[i]:offs[i+1]]``. All texts are cut and
+    compared together: first into blocks of half the smallest window, which then
+    make the half and full windows of each class.
+    """
+    found: list[set[int]] = [set() for _ in offs[1:]]
     if not len(s) or not index.classes:
         return found
     step = 2 << min(index.classes)
+    blocks = -(-np.diff(offs) // step)
+    text = np.repeat(np.arange(len(blocks)), blocks)
+    first = np.cumsum(blocks) - blocks
+    place = np.arange(len(text)) - first[text]
+    low = _minima(s, offs[text] + place * step)
+    for c, (keys, owner, seen) in index.classes.items():
+        cuts = np.flatnonzero(place % ((2 << c) // step) == 0)
+        half, own = np.minimum.reduceat(low, cuts, axis=1) if len(cuts) < low.shape[1] else low, text[cuts]
+        full = half.copy()
+        both = np.flatnonzero(own[1:] == own[:-1])
+        full[:, both] = np.minimum(half[:, both], half[:, both + 1])
+        where = np.nonzero(seen[full & _SEEN])
+        for v, i in set(zip(full[where].tolist(), own[where[1]].tolist(), strict=True)):
+            v = _U(v)
+            found[i].update(owner[np.searchsorted(keys, v) : np.searchsorted(keys, v, "right")].tolist())
+    return found
+
+
+def _slice_candidates(s: np.ndarray, offs: np.ndarray, index: Index) -> list[set[int]]:
+    """:func:`candidates`, in overlapping pieces where the slice is one very long text."""
+    if len(offs) > 2 or len(s) <= PIECE or not index.classes:
+        return candidates(s, offs, index)
     overlap = 4 << max(index.classes)
+    out: set[int] = set()
     for a in range(0, len(s), PIECE):
         part = s[a : a + PIECE + overlap]
-        low = _minima(part, np.arange(0, len(part), step))
-        for c, (keys, owner) in index.classes.items():
-            width = (2 << c) // step  # blocks in half a window
-            n = low.shape[1]
-            half = np.minimum.reduceat(low, np.arange(0, n, width), axis=1) if width > 1 else low
-            full = half if half.shape[1] == 1 else np.minimum(half[:, :-1], half[:, 1:])
-            at = np.searchsorted(keys, full.ravel())
-            hit = keys[np.minimum(at, len(keys) - 1)] == full.ravel()
-            for v in np.unique(full.ravel()[hit]):
-                found.update(owner[np.searchsorted(keys, v) : np.searchsorted(keys, v, "right")].tolist())
-    return found
+        out |= candidates(part, np.array([0, len(part)]), index)[0]
+    return [out]
 
 
 def shared(s: np.ndarray, item: np.ndarray) -> int:
@@ -119,11 +142,9 @@ def shared(s: np.ndarray, item: np.ndarray) -> int:
 def _found(column, index: Index, least: float) -> Iterator[list[tuple[int, int, int]]]:
     """For each row: (item, shingles shared, shingles of the item) of the items that it holds."""
     for lo, hi, h, offs in word_hashes(column):
-        for i in range(hi - lo):
-            s = shingle_hashes(h[offs[i] : offs[i + 1]], SHINGLE)
-            places = candidates(s, index)
-            if places:
-                s = np.unique(s)
+        shingles, cuts = slice_shingles(h, offs, SHINGLE)
+        for i, places in enumerate(_slice_candidates(shingles, cuts, index)):
+            s = np.unique(shingles[cuts[i] : cuts[i + 1]]) if places else None
             out = []
             for k in sorted(places):
                 item = index.sets[k]

@@ -61,4 +61,4 @@ def test_long_text_in_pieces():
     for at in (0, d.PIECE - 20, d.PIECE, len(s) - len(index.sets[0])):
         t = s.copy()
         t[at : at + len(index.sets[0])] = index.sets[0]
-        assert d.candidates(t, index) == {0}
+        assert d._slice_candidates(t, np.array([0, len(t)]), index) == [{0}]
