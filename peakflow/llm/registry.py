@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, mixing, pii, quality, secrets, token_counts, training_order
+from . import decontaminate, jaccard, main_text, mixing, pii, quality, secrets, token_counts, training_order
 
 
 def _table(spark, sf_dir: str, name: str):
@@ -13,6 +13,10 @@ def op1_decontaminate(spark, sf_dir):
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_main_text(spark, sf_dir):
+    return main_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op3_training_order(spark, sf_dir):
     return training_order.sequence_report(_table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op10_private(spark, sf_dir):
     return pii.private_report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_training_order, op4_secrets, op5_token_counts, op6_mixing, op7_quality, op9_jaccard_join, op10_private)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_main_text, op3_training_order, op4_secrets, op5_token_counts, op6_mixing, op7_quality, op9_jaccard_join, op10_private)}
 
 _SHINGLES = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"""
 _SETS = """SELECT {id}, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
