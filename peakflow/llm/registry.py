@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, main_text, mixing, pii, quality, secrets, token_counts, training_order
+from . import decontaminate, jaccard, lm_score, main_text, mixing, pii, quality, secrets, token_counts, training_order
 
 
 def _table(spark, sf_dir: str, name: str):
@@ -37,6 +37,10 @@ def op7_quality(spark, sf_dir):
     return quality.quality_report(_table(spark, sf_dir, "documents"))
 
 
+def op8_lm_score(spark, sf_dir):
+    return lm_score.scores(_table(spark, sf_dir, "documents"))
+
+
 def op9_jaccard_join(spark, sf_dir):
     return jaccard.components_of(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -45,7 +49,7 @@ def op10_private(spark, sf_dir):
     return pii.private_report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_main_text, op3_training_order, op4_secrets, op5_token_counts, op6_mixing, op7_quality, op9_jaccard_join, op10_private)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_main_text, op3_training_order, op4_secrets, op5_token_counts, op6_mixing, op7_quality, op8_lm_score, op9_jaccard_join, op10_private)}
 
 _SHINGLES = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"""
 _SETS = """SELECT {id}, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
