@@ -1,0 +1 @@
+"""Targeted extraction over sparse instrument recordings, on Spark DataFrames."""
