@@ -85,26 +85,29 @@ def extract(peaks: DataFrame, targets: DataFrame, windows: DataFrame, access: st
     """Matches of peaks and targets, one row each: the target's columns and the peak's.
 
     ``peaks`` is read once for all targets. With ``prune`` the targets' outer
-    bounds become literals that reach the parquet scan. Targets are broadcast
-    only if they are counted to be few; else both sides are shuffled on (level,
-    quad, bin), where adaptive execution splits skewed bins.
+    bounds become literals that reach the parquet scan. One small job finds them
+    and a bound on the targets' rows (bins times windows); only if that bound is
+    too large are the rows themselves counted. Few targets are broadcast; else
+    both sides are shuffled on (level, quad, bin), where adaptive execution
+    splits skewed bins.
     """
     if access not in ACCESS:
         raise ValueError(f"access must be one of {ACCESS}")
     plan = _planned(targets, windows, access)
     quads = ["quad_major"] if access == "raw" else ["quad_major", "quad_sub"]
     slim = peaks
-    if prune:
-        low, high, frame_lo, frame_hi, n = targets.agg(F.min("tof_lo"), F.max("tof_hi"), F.min("frame_lo"), F.max("frame_hi"), F.count(F.lit(1))).first()
-        if n:
-            slim = slim.filter(F.col("tof_index").between(low, high))
-            if access != "tof_major":
-                slim = slim.filter(F.col("frame_index").between(frame_lo, frame_hi))
+    bins = F.sum(F.floor(F.col("tof_hi") / BIN) - F.floor(F.col("tof_lo") / BIN) + 1)
+    bounds = targets.agg(F.min("tof_lo"), F.max("tof_hi"), F.min("frame_lo"), F.max("frame_hi"), bins).crossJoin(windows.agg(F.count(F.lit(1))))
+    low, high, frame_lo, frame_hi, n_bins, n_windows = bounds.first()
+    if prune and n_bins:
+        slim = slim.filter(F.col("tof_index").between(low, high))
+        if access != "tof_major":
+            slim = slim.filter(F.col("frame_index").between(frame_lo, frame_hi))
     if access == "raw":
         slim = slim.filter("ms_level = 2")
     slim = slim.withColumns({q: F.coalesce(q, F.lit(MS1_QUAD)) for q in quads}).withColumn("bin", F.floor(F.col("tof_index") / BIN))
     side = plan.withColumn("bin", _bins(F.col("tof_lo"), F.col("tof_hi")))
-    if side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if (n_bins or 0) * max(1, n_windows) <= BROADCAST_ROWS or side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         side = F.broadcast(side)
     on = [F.col(f"p.{c}") == F.col(f"t.{c}") for c in ("ms_level", *quads, "bin")]
     joined = slim.alias("p").join(side.alias("t"), [*on, _inside(access)])
