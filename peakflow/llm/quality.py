@@ -222,3 +222,39 @@ def quality_filter(docs: DataFrame) -> DataFrame:
     judged = _judged(held, limits, F.col("row.lang"), F.col("row.source"))
     fail = base_failed(F.col("n_words"), F.col("n_repeat_words"))
     return judged.filter(F.coalesce(~fail & _inside(F.col), F.lit(False))).select("row.*")
+
+
+def _sql_rates(prefix: str = "") -> dict[str, str]:
+    over = lambda x, y: f"({x}) // greatest({prefix}{y}, 1)"
+    p = prefix
+    return {
+        "symbol_rate": over(f"1000 * {p}n_symbols", "n_words"),
+        "dup_line_rate": over(f"1000 * {p}n_dup_lines", "n_lines"),
+        "repeat_rate": over(f"1000 * {p}n_repeat_words", "n_words"),
+        "word_length": over(f"100 * {p}word_chars", "n_words"),
+    }
+
+
+def oracle() -> str:
+    """The report as SQL for DuckDB."""
+    rates = _sql_rates()
+    cells = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS signal, {v} AS v FROM c WHERE NOT base_failed" for k, v in rates.items())
+    spread = " ".join(f"WHEN '{k}' THEN {v}" for k, v in LEAST_SPREAD.items())
+    limits = ", ".join(f"max(CASE WHEN signal = '{k}' THEN high END) AS {k}_high" + (f", max(CASE WHEN signal = '{k}' THEN low END) AS {k}_low" if k in TWO_SIDED else "") for k in rates)
+    inside = " AND ".join(f"coalesce({v} <= f.{k}_high, true)" + (f" AND coalesce({v} >= f.{k}_low, true)" if k in TWO_SIDED else "") for k, v in _sql_rates("c.").items())
+    return f"""
+WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS l FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda k: array_to_string(w[k:k+2], ' '))) AS x FROM w WHERE len(w) >= 3),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS n FROM g), (VALUES (0), (1), (2)) t(k) WHERE n > 1 GROUP BY doc_id),
+b AS (SELECT w.doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(array_to_string(w, '')) - length(translate(array_to_string(w, ''), '{SYMBOLS}', '')))::BIGINT AS n_symbols,
+  len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN r ON r.doc_id = w.doc_id),
+c AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED_PERCENT} * n_words AS base_failed FROM b),
+v AS (SELECT lang, source, signal, ((v::BIGINT >> greatest(length(bin(v::BIGINT)) - 7, 0)) << greatest(length(bin(v::BIGINT)) - 7, 0)) AS cell FROM ({cells})),
+s AS (SELECT lang, source, signal, cell, count(*) AS n FROM v GROUP BY ALL),
+u AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, signal ORDER BY cell) AS upto, sum(n) OVER (PARTITION BY lang, source, signal) AS total FROM s),
+q AS (SELECT lang, source, signal, min(cell) FILTER (100 * upto >= 25 * total) AS q1, min(cell) FILTER (100 * upto >= 75 * total) AS q3 FROM u GROUP BY ALL),
+e AS (SELECT lang, source, signal, q3 + {REACH} * greatest(q3 - q1, CASE signal {spread} END) AS high, q1 - {REACH} * greatest(q3 - q1, CASE signal {spread} END) AS low FROM q),
+f AS (SELECT lang, source, {limits} FROM e GROUP BY lang, source)
+SELECT c.doc_id, c.n_words, c.word_chars, c.n_symbols, c.n_dup_lines, c.n_repeat_words, c.base_failed, NOT c.base_failed AND {inside} AS kept
+FROM c LEFT JOIN f ON f.lang IS NOT DISTINCT FROM c.lang AND f.source IS NOT DISTINCT FROM c.source
+"""

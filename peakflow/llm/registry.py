@@ -74,4 +74,4 @@ SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles, c.component_id
 FROM d JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = d.doc_id
 """
 
-ORACLE_SQL = {"op9_jaccard_join": _COMPONENTS, "op1_decontaminate": _LEAKS, "op6_mixing": mixing.ORACLE}
+ORACLE_SQL = {"op9_jaccard_join": _COMPONENTS, "op1_decontaminate": _LEAKS, "op6_mixing": mixing.ORACLE, "op7_quality": quality.oracle()}
