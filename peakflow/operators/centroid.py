@@ -11,6 +11,8 @@ from ..errors import DataProcessingError
 
 #: Least summed intensity and least number of peaks of a centroid.
 LEAST_INTENSITY, LEAST_PEAKS = 100, 1
+#: Windows that one group of a task centroids.
+WINDOWS_A_GROUP = 64
 
 
 def centroid_window(tof, scan, weight, is_reference, tof_range, scan_range, frame=None):
@@ -55,9 +57,8 @@ def absolute(width: int):
 def centroid_frames(peaks: DataFrame, tof_range=None, scan_range=None, width: int = 3) -> DataFrame:
     """Centroided peaks: each quad's frames in windows of ``width`` by time, the middle one as reference.
 
-    A frame goes to each window that holds it (``width`` copies at most), and a
-    window is one task's group, bounded by the frames in it. n frames give
-    n - width + 1.
+    A run of ``WINDOWS_A_GROUP`` windows is one group, bounded by the frames in
+    it; frames at a border of runs go to both. n frames give n - width + 1.
     """
     if width < 2:
         raise DataProcessingError("a window needs two frames at least")
@@ -66,22 +67,31 @@ def centroid_frames(peaks: DataFrame, tof_range=None, scan_range=None, width: in
     group = Window.partitionBy("ms_level", "quad_major", "quad_sub")
     frames = frames.withColumns({"at": F.row_number().over(group.orderBy("rt", "frame_index")) - 1, "n": F.count(F.lit(1)).over(group)})
     first, last = F.greatest(F.col("at") - width + 1, F.lit(0)), F.least(F.col("at"), F.col("n") - width)
-    placed = frames.filter(F.col("n") >= width).withColumn("window", F.explode(F.sequence(first, last)))
-    middle = F.col("at") - F.col("window") == width // 2
-    f = placed.select("ms_level", F.col("quad_major").alias("q"), F.col("quad_sub").alias("qs"), "frame_index", "window", middle.alias("reference"))
+    chunks = F.explode(F.sequence(F.floor(first / WINDOWS_A_GROUP), F.floor(last / WINDOWS_A_GROUP)))
+    placed = frames.filter(F.col("n") >= width).withColumn("chunk", chunks)
+    f = placed.select("ms_level", F.col("quad_major").alias("q"), F.col("quad_sub").alias("qs"), "frame_index", "chunk", "at", "n")
     p = peaks.select("ms_level", "quad_major", "quad_sub", "frame_index", "rt", "scan_index", "tof_index", "intensity")
-    pooled = p.join(f, (p.ms_level == f.ms_level) & (p.frame_index == f.frame_index) & p.quad_major.eqNullSafe(f.q) & p.quad_sub.eqNullSafe(f.qs)).select(p["*"], "window", "reference")
+    pooled = p.join(f, (p.ms_level == f.ms_level) & (p.frame_index == f.frame_index) & p.quad_major.eqNullSafe(f.q) & p.quad_sub.eqNullSafe(f.qs)).select(p["*"], "chunk", "at", "n")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ref = pdf[pdf.reference]
-        if ref.empty:
-            return pdf.iloc[:0][list(kind)]
-        tof, scan, total = centroid_window(pdf.tof_index, pdf.scan_index, pdf.intensity, pdf.reference, tof_range, scan_range, pdf.frame_index)
-        head = ref.iloc[0]
-        return pd.DataFrame({"ms_level": head.ms_level, "quad_major": head.quad_major, "quad_sub": head.quad_sub, "frame_index": head.frame_index, "rt": head.rt, "scan_index": scan, "tof_index": tof, "intensity": total})
+        pdf = pdf.sort_values("at", kind="stable")
+        at, chunk, n = pdf["at"].to_numpy(), int(pdf.chunk.iloc[0]), int(pdf.n.iloc[0])
+        tof, scan, weight, frame, rt = (pdf[c].to_numpy() for c in ("tof_index", "scan_index", "intensity", "frame_index", "rt"))
+        parts = []
+        for w in range(chunk * WINDOWS_A_GROUP, min((chunk + 1) * WINDOWS_A_GROUP, n - width + 1)):
+            a, b = np.searchsorted(at, (w, w + width))
+            middle = at[a:b] == w + width // 2
+            if middle.any():
+                t, s, total = centroid_window(tof[a:b], scan[a:b], weight[a:b], middle, tof_range, scan_range, frame[a:b])
+                k = a + int(np.argmax(middle))
+                parts.append(pd.DataFrame({"frame_index": frame[k], "rt": rt[k], "scan_index": s, "tof_index": t, "intensity": total}))
+        out = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=list(kind))
+        for c in ("ms_level", "quad_major", "quad_sub"):
+            out[c] = pdf[c].iloc[0]
+        return out[list(kind)]
 
     kind = {"ms_level": "int", "quad_major": "int", "quad_sub": "int", "frame_index": "bigint", "rt": "double", "scan_index": "bigint", "tof_index": "bigint", "intensity": "bigint"}
-    return pooled.groupBy("ms_level", "quad_major", "quad_sub", "window").applyInPandas(run, ", ".join(f"{k} {v}" for k, v in kind.items()))
+    return pooled.groupBy("ms_level", "quad_major", "quad_sub", "chunk").applyInPandas(run, ", ".join(f"{k} {v}" for k, v in kind.items()))
 
 
 def peak_width(peaks: DataFrame, samples: int = 49, tops: int = 10, least: int = 100, apart: int = 5) -> DataFrame:
