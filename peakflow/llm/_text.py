@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once (a longer text is cut at white space).
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 _U = np.uint64
 _P = _U(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 

@@ -46,8 +46,8 @@ from ._text import mix, shingle_sets
 
 SHINGLE = 5
 #: Shingles that one group of buckets, bins or blocks holds in a task at most (8 bytes each).
-BUCKET_SHINGLES = 3_000_000
-GROUP_SHINGLES = 1_500_000
+BUCKET_SHINGLES = 1_500_000
+GROUP_SHINGLES = 1_000_000
 #: Frequent shingles told to all tasks: at most so many (9 bytes each), and their least count.
 FREQUENT = 1 << 20
 FREQUENT_LEAST = 4
@@ -151,7 +151,7 @@ def _count_map(n: int):
                 held.append(s)
                 rows.append((ids[i], len(s), fingerprint(s)))
                 size += len(s)
-                if size >= 2_000_000:
+                if size >= 500_000:
                     yield out(held, rows, turn)
                     held, rows, size, turn = [], [], 0, turn + 1
             if rows:
@@ -240,7 +240,7 @@ def _post_map(handle, x: int, n_counted: int, n: int):
                     sizes.append(len(s))
                     subsets.append(o)
                     held += len(t)
-                if held >= 500_000:
+                if held >= 250_000:
                     yield out()
                     tokens, nodes, sizes, subsets, held = [], [], [], [], 0
             if held:
@@ -404,7 +404,7 @@ def _sets_map(batches):
             if fingerprint(s) == want[i]:  # an id may stand for several texts
                 rows += [(p, want[i], s.tobytes()) for p in parts[i]]
                 held += len(s) * len(parts[i])
-            if held >= 1_000_000:
+            if held >= 500_000:
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(kind)], schema=kind)
                 rows, held = [], 0
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(kind)], schema=kind)
