@@ -6,7 +6,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from .engine import AGGREGATORS, PeakStore, choose_access
+from .engine import AGGREGATORS, Centroiding, PeakStore, choose_access
 from .plans.targets import template_groups
 from .sources import readers, sinks
 
@@ -41,7 +41,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         return
     groups = readers.read_elution_groups(spark, a.elution_groups_path)
     access = INDICES[a.index] or choose_access(groups.count())
-    store = PeakStore.from_frames(readers.read_frames(spark, a.frames), readers.read_quad_windows(spark, a.quad_windows), access=access, centroided=a.centroid)
+    store = PeakStore.from_frames(readers.read_frames(spark, a.frames), readers.read_quad_windows(spark, a.quad_windows), access=access, centroiding=Centroiding() if a.centroid else None)
     out = sinks.enveloped(store.query(groups, readers.read_tolerance(a.tolerance_settings_path), a.aggregator), groups)
     if a.format == "parquet":
         sinks.write_parquet(out, a.output_path)

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 from .operators import aggregate, expand, score
-from .operators.centroid import centroid_frames
+from .operators.centroid import centroid_frames, relative
 from .operators.extract import extract, extract_one
 from .plans.targets import resolve
 from .plans.tolerance import Calibration, Tolerance
@@ -18,6 +18,15 @@ AGGREGATORS = ("raw-peak-intensity", "raw-peak-vector", "multi-cmg-stats")
 MANY_GROUPS = 10
 
 
+@dataclass(frozen=True)
+class Centroiding:
+    """How frames are centroided: tof in ppm, mobility in percent, frames in a window."""
+
+    tof_ppm: float = 15.0
+    scan_pct: float = 1.5
+    width: int = 3
+
+
 @dataclass
 class PeakStore:
     """Peaks of a run with its isolation windows and calibration."""
@@ -28,10 +37,12 @@ class PeakStore:
     access: str = "frame_major"
 
     @staticmethod
-    def from_frames(frames: DataFrame, windows: DataFrame, calibration: Calibration | None = None, access: str = "frame_major", centroided: bool = False) -> PeakStore:
-        """Expand frames (all of them, in one pass) and centroid them if asked to."""
+    def from_frames(frames: DataFrame, windows: DataFrame, calibration: Calibration | None = None, access: str = "frame_major", centroiding: Centroiding | None = None) -> PeakStore:
+        """Expand frames (all of them, in one pass), and centroid them if settings for that are given."""
         peaks = expand.expand(expand.require_ms2(frames), windows)
-        return PeakStore(centroid_frames(peaks) if centroided else peaks, windows, calibration or Calibration(), access)
+        if centroiding is not None:
+            peaks = centroid_frames(peaks, relative(centroiding.tof_ppm, 1e6), relative(centroiding.scan_pct, 100.0), centroiding.width)
+        return PeakStore(peaks, windows, calibration or Calibration(), access)
 
     def extract(self, targets: DataFrame) -> DataFrame:
         """Matches of resolved targets."""
@@ -53,7 +64,9 @@ class PeakStore:
             return aggregate.peak_vectors(hits, targets)
         if aggregator == "multi-cmg-stats":
             expected = targets.select("eg_id", "ms_level", "transition_key", "expected_intensity")
-            return score.cross_scores(score.scored(aggregate.rt_summary(aggregate.chromatograms(hits), expected)))
+            cmg = aggregate.chromatograms(hits)
+            scores = score.scored(aggregate.rt_summary(cmg, expected))
+            return score.cross_scores(score.with_transitions(scores, aggregate.densified(cmg), targets, self.calibration))
         raise ValueError(f"aggregator must be one of {AGGREGATORS} or a function")
 
 

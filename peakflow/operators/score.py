@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
+from ..plans.tolerance import Calibration
 from .aggregate import field
 from .align import align_arrays
 
@@ -34,6 +35,43 @@ def scored(summary: DataFrame) -> DataFrame:
     return out.withColumn("apex", s.first_argmax(F.col("norm_lazyerscore_vs_baseline"))).drop("w", "sd_h", "sd_l")
 
 
+def transition_maps(dense: DataFrame, cal: Calibration) -> DataFrame:
+    """Per group and MS level: maps from transition to arrays along the level's times, in physical units.
+
+    ``dense`` is :func:`~peakflow.operators.aggregate.densified`; gaps stay NaN
+    and 0. Adds the mean mobility over all transitions with a peak, by time.
+    """
+    p = F.sort_array(F.collect_list(F.struct("rt_ms", "intensity", "scan_mean", "tof_mean")))
+    each = dense.groupBy("eg_id", "ms_level", "transition_key").agg(p.alias("p"))
+    named = lambda values, name: F.map_from_entries(F.sort_array(F.collect_list(F.struct("transition_key", values.alias("v"))))).alias(name)
+    return each.groupBy("eg_id", "ms_level").agg(
+        named(F.transform("p", lambda x: x["intensity"]), "transition_intensities"),
+        named(F.transform("p", lambda x: cal.mobility(x["scan_mean"])), "transition_mobilities"),
+        named(F.transform("p", lambda x: cal.mz(x["tof_mean"])), "transition_mzs"),
+    )
+
+
+def expected_values(targets: DataFrame, cal: Calibration) -> DataFrame:
+    """Per group and MS level: expected m/z by transition and expected mobility."""
+    mz = F.map_from_entries(F.sort_array(F.collect_list(F.struct("transition_key", cal.mz(F.col("expected_tof").cast("double")).alias("v")))))
+    return targets.groupBy("eg_id", "ms_level").agg(mz.alias("expected_mzs"), F.first(cal.mobility(F.col("expected_scan").cast("double"))).alias("expected_mobility"))
+
+
+def with_transitions(scores: DataFrame, dense: DataFrame, targets: DataFrame, cal: Calibration) -> DataFrame:
+    """Scores with transition maps, expected values and the average mobility by time."""
+    keys = ["eg_id", "ms_level"]
+    out = scores.join(transition_maps(dense, cal), keys, "left").join(expected_values(targets, cal), keys, "left")
+    return out.withColumn("average_mobility", F.transform("scan_mean", cal.mobility))
+
+
+def errors_at(side: str, index: Column) -> Column:
+    """Struct of a level's errors at one of its times: expected less observed m/z and mobility, and intensities, by transition."""
+    at = lambda m: F.transform_values(F.col(f"{side}.{m}"), lambda _, v: F.get(v, index))
+    mz = F.map_zip_with(F.map_filter(F.col(f"{side}.expected_mzs"), lambda k, _: F.map_contains_key(F.col(f"{side}.transition_mzs"), k)), at("transition_mzs"), lambda _, e, o: e - o)
+    im = F.transform_values(at("transition_mobilities"), lambda _, o: F.col(f"{side}.expected_mobility") - o)
+    return F.struct(mz.alias("mz_errors"), im.alias("mobility_errors"), at("transition_intensities").alias("transition_intensities"), F.get(F.col(f"{side}.average_mobility"), index).alias("average_mobility"))
+
+
 def cross(own: str, other: str) -> Column:
     """Own cosine times the other's cosine and baseline-free lazyerscore, projected to own times; not finite gives 0."""
     ms = lambda side, c: F.col(f"{side}.{c}")
@@ -64,7 +102,12 @@ def apex_scores(crossed: DataFrame) -> DataFrame:
     has = crossed.filter(F.size("cross_ms2") > 0)
     best = has.withColumn("apex", s.last_argmax(F.col("cross_ms2")))
     best = best.withColumn("apex_rt_ms", F.get(F.col("ms2.rt_ms"), F.col("apex")))
-    return best.select("eg_id", "apex_rt_ms", F.get("cross_ms2", F.col("apex")).alias("cross_score"), at_time("ms1", F.col("apex_rt_ms")).alias("ms1"), at_time("ms2", F.col("apex_rt_ms")).alias("ms2"))
+    more = []
+    if "transition_mzs" in crossed.schema["ms1"].dataType.fieldNames():
+        more = ["ms1_errors", "ms2_errors"]
+        best = best.withColumns({f"{side}_errors": errors_at(side, s.index_before(F.col(f"{side}.rt_ms"), F.col("apex_rt_ms"))) for side in ("ms1", "ms2")})
+    levels = [at_time(side, F.col("apex_rt_ms")).alias(side) for side in ("ms1", "ms2")]
+    return best.select("eg_id", "apex_rt_ms", F.get("cross_ms2", F.col("apex")).alias("cross_score"), *levels, *more)
 
 
 def ranked_transitions(intensities: Column, errors: Column) -> Column:

@@ -13,7 +13,7 @@ from .functions import scalars as s
 from .operators import aggregate as agg
 from .operators import align, centroid, expand, extract, score
 from .plans import fixture as fx
-from .plans.tolerance import Tolerance
+from .plans.tolerance import Calibration, Tolerance
 
 _EMB, _EMB_ID = "embedding", "vec_id"
 QUERIES: dict = {}
@@ -159,6 +159,15 @@ def densified_grid(spark, d):
     return agg.densified(_cmg(spark, d)).select("eg_id", "ms_level", "transition_key", "rt_ms", "intensity", _r(F.nanvl("scan_mean", F.lit(None).cast("double"))).alias("scan_mean"))
 
 
+@query(f"WITH {_BASE}, {_CMG} SELECT eg_id, ms_level, transition_key, rt_ms, round(1.6 - 0.001 * scan_mean, 6) AS mobility, round((10 + 0.01 * tof_mean) * (10 + 0.01 * tof_mean), 5) AS mz FROM cmg")
+def physical_units(spark, d):
+    maps = score.transition_maps(agg.densified(_cmg(spark, d)), Calibration(scan=(1.6, -0.001), tof=(10.0, 0.01), root=True))
+    times = _cmg(spark, d).groupBy("eg_id", "ms_level").agg(F.sort_array(F.collect_set("rt_ms")).alias("t"))
+    joined = maps.join(times, ["eg_id", "ms_level"]).select("eg_id", "ms_level", "t", F.explode("transition_mobilities").alias("transition_key", "im"), F.col("transition_mzs").alias("m"))
+    rows = joined.select("eg_id", "ms_level", "transition_key", F.explode(F.arrays_zip(F.col("t"), F.col("im"), F.element_at("m", F.col("transition_key")).alias("mz"))).alias("x")).filter("not isnan(x.im)")
+    return rows.select("eg_id", "ms_level", "transition_key", F.col("x.t").alias("rt_ms"), _r(F.col("x.im")).alias("mobility"), _r(F.col("x.mz"), 5).alias("mz"))
+
+
 @query(f"WITH {_BASE}, {_CMG}, {_SUMMARY} SELECT eg_id, ms_level, rt_ms, round(cosine, 6) AS cosine FROM summary")
 def cosine_per_rt(spark, d):
     return _summary(spark, d).select("eg_id", "ms_level", "rt_ms", _r(F.col("cosine")).alias("cosine"))

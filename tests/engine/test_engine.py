@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from peakflow import cli
-from peakflow.engine import PeakStore, choose_access
-from peakflow.operators import aggregate, extract, expand
+from peakflow.engine import Centroiding, PeakStore, choose_access
+from peakflow.operators import aggregate, expand, extract, score
 from peakflow.plans import fixture as fx
 from peakflow.plans.tolerance import Calibration, Tolerance
 from peakflow.sources import layout, readers, sinks
@@ -97,7 +97,7 @@ def test_readers_and_layouts(spark, tmp_path):
     assert info[None].n_frames == 3 and info[0].n_peaks == 6
     spark.createDataFrame([("a", "1")], "x string, y string").write.option("sep", "\t").option("header", True).csv(f"{tmp_path}/tsv")
     assert readers.read_tsv(spark, f"{tmp_path}/tsv").first().y == "1"
-    store = PeakStore.from_frames(frames, readers.read_quad_windows(spark, f"{tmp_path}/windows"), centroided=True)
+    store = PeakStore.from_frames(frames, readers.read_quad_windows(spark, f"{tmp_path}/windows"), centroiding=Centroiding())
     assert store.peaks.count() == 0 and set(store.peaks.columns) == set(peaks.columns)  # indices too small for the default widths
 
 
@@ -114,6 +114,21 @@ def test_custom_aggregator_and_compat(spark, tmp_path):
         store.query(groups, aggregator="other")
 
 
+def test_physical_units_and_apex(spark, tmp_path):
+    make_run(spark, tmp_path)
+    cal = Calibration(scan=(1.6, -0.001), tof=(0.0, 2.0), lower_im=0.5, upper_im=1.6)
+    store = PeakStore.from_frames(readers.read_frames(spark, f"{tmp_path}/frames"), readers.read_quad_windows(spark, f"{tmp_path}/windows"), cal)
+    row = {"id": 1, "mobility": 1.58, "rt_seconds": 3.0, "precursor_mzs": [200.0], "fragment_mzs": {"y1": 200.0, "b2": 210.0}, "expected_fragment_intensity": {"y1": 5.0, "b2": 3.0}, "expected_precursor_intensity": [1.0]}
+    groups = spark.createDataFrame([row], readers.schemas.ELUTION_GROUPS)
+    store.windows = store.windows.withColumns({"isolation_low": F.lit(180.0), "isolation_high": F.lit(220.0)})
+    out = store.query(groups, Tolerance(), "multi-cmg-stats")
+    r = out.first()
+    assert set(r.ms2.transition_mzs) == {"y1", "b2"} and r.ms2.transition_mzs["b2"] == [210.0] * 3 and r.ms2.expected_mzs["y1"] == 200.0
+    assert all(abs(x - 1.58) < 1e-9 for x in r.ms2.average_mobility) and abs(r.ms2.expected_mobility - 1.58) < 2e-3  # the index is truncated
+    a = score.apex_scores(out).first()
+    assert a.ms2_errors.mz_errors == {"y1": 0.0, "b2": 0.0} and a.ms1_errors.transition_intensities["0"] > 0
+
+
 def test_json_has_no_nan(spark, tmp_path):
     df = spark.createDataFrame([(1, float("nan"), [float("inf"), 1.0])], "a int, b double, c array<double>")
     sinks.write_json(df, f"{tmp_path}/x")
