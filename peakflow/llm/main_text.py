@@ -53,15 +53,17 @@ SKIPPED_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted cookie cookies consent gdpr notice notices alert popup modal overlay sidebar nav navbar navigation menu breadcrumb "
     "breadcrumbs footer comment comments disqus reply replies share sharing social related recommended recommendations newsletter subscribe subscription login signup pagination pager toolbar widget skip".split()
 )
+#: Words that begin so are skipped too, such as commentlist or adslot.
+SKIPPED_STARTS = ("comment", "sidebar", "advert", "adslot", "adbox", "adunit", "cookie", "sponsor", "newsletter", "breadcrumb", "navbar", "pagination", "respond", "disqus")
 OUTSIDE_TAGS, OUTSIDE_WORDS = frozenset(["header"]), frozenset(["header", "masthead", "topbar"])
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
-def _skips(tag: str, attrs: str, inside: bool) -> bool:
-    """Whether an element is not content."""
+def _skips(tag: str, attrs: str, inside: bool, by_name: bool) -> bool:
+    """Whether an element is not content: by its tag, and if ``by_name`` by what it is called."""
     if tag in SKIPPED_TAGS or (not inside and tag in OUTSIDE_TAGS):
         return True
-    if not attrs or tag in ("html", "body", *CONTENT):
+    if not attrs or not by_name or tag in ("html", "body", *CONTENT):
         return False
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), (a or b or c).lower()
@@ -71,12 +73,12 @@ def _skips(tag: str, attrs: str, inside: bool) -> bool:
             return True
         if name in ("class", "id"):
             words = set(_WORDS.findall(value))
-            if words & SKIPPED_WORDS or (not inside and words & OUTSIDE_WORDS):
+            if words & SKIPPED_WORDS or any(w.startswith(SKIPPED_STARTS) for w in words) or (not inside and words & OUTSIDE_WORDS):
                 return True
     return False
 
 
-def lines(html: str) -> list[tuple[str, int, int]]:
+def lines(html: str, by_name: bool = True) -> list[tuple[str, int, int]]:
     """(text, characters that count, number of the content element or 0) of each line; empty text where containers end."""
     out: list[tuple[str, int, int]] = []
     stack: list[tuple[str, bool]] = []  # open containers and skipped elements: (tag, skipped)
@@ -128,15 +130,13 @@ def lines(html: str) -> list[tuple[str, int, int]]:
                     leave(depth)
                     break
         elif tag not in VOID and not m["attrs"].endswith("/"):
-            skip = _skips(tag, m["attrs"], bool(content))
+            skip = _skips(tag, m["attrs"], bool(content), by_name)
             if skip or tag in CONTAINERS or (skipped and tag in (x for x, s in stack if s)):
                 stack.append((tag, skip))
                 skipped += skip
-                if tag in CONTENT and not skipped:
-                    elements += 1
-                    content.append(elements)
-                elif tag in CONTENT:
-                    content.append(content[-1] if content else 0)
+                if tag in CONTENT:
+                    elements += not content
+                    content.append(content[-1] if content else elements)  # an article in an article is part of it
     if not skipped and last < len(html):
         parts.append(html[last:])
     flush()
@@ -158,11 +158,15 @@ def regions(counts: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def main_text(html: str | None) -> str:
-    """The main text of one page."""
+def main_text(html: str | None, by_name: bool = True) -> str:
+    """The main text of one page.
+
+    If names of elements leave nothing (a wrapper of the whole page may be called
+    after one of its parts), only tags tell what is no content.
+    """
     if not html:
         return ""
-    every = lines(html)
+    every = lines(html, by_name)
     marked: dict[int, int] = {}
     for _, n, k in every:
         if k:
@@ -172,6 +176,8 @@ def main_text(html: str | None) -> str:
         chosen = {k for k, n in marked.items() if n >= SHARE * most}
         every = [x if x[2] in chosen else ("", 0, 0) for x in every]
     held = [t for a, b in regions([n for _, n, _ in every]) for t, _, _ in every[a:b] if t]
+    if not held and by_name:
+        return main_text(html, False)
     return "\n\n".join(held)
 
 

@@ -37,6 +37,9 @@ def test_layouts():
     want = "A & B\n\nOne long paragraph with a link, and bold text that goes on for a while.\n\nShort.\n\n1 < 2 éé x\n\nitem"
     for wrap in ("<article>{}</article>", "<main>{}</main>", "<div class='content'>{}</div>", "<div><div><section>{}</section></div></div>", "<main><article>{}<div class='share'>Share this with all of your friends and with theirs</div></article></main>"):
         assert m.main_text(PAGE.format(body=wrap.format(body))) == want, wrap
+    assert m.main_text(PAGE.format(body=f"<main><h1>Top</h1><article>{body}</article></main>")) == f"Top\n\n{want}"
+    assert m.main_text(PAGE.format(body=f"<article><section><p>In a section.</p></section><ul><li>x</li></ul>{body}<ol class=commentlist><li>A comment that is long enough to matter to anybody.</ol></article>")) == f"In a section.\n\nx\n\n{want}"
+    assert m.main_text(f"<body><div class='page sidebar-right'><div>{body}</div></div>") == want
 
 
 def test_odd_pages(spark):
