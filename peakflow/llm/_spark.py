@@ -14,8 +14,6 @@ BROADCAST_ROWS = 200_000
 LOCAL_SCRATCH = "/tmp/peakflow-scratch"
 #: White space as the word rule has it: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
-#: Text parquet files that one reading task takes, where an operator sizes its partitions by rows.
-ROWS_A_TASK = 200_000
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -65,7 +63,3 @@ def words(text):
     bare = F.trim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, "[\\x20\\x09-\\x0D]+"))
 
-
-def task_count(df: DataFrame) -> int:
-    """Partitions of ``df`` as it would be read now."""
-    return df.rdd.getNumPartitions()

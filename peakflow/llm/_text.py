@@ -7,6 +7,8 @@ buffer, so that no word becomes a Python object. Arithmetic is modulo 2**64.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -21,6 +23,14 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def release() -> None:
+    """Give memory that is free in this worker back, as workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every bit (splitmix's finaliser)."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
@@ -102,6 +112,8 @@ def word_hashes(column, lower: bool = True, limit: int = SLICE_BYTES):
             h = np.concatenate(parts)
             yield lo, hi, h, np.array([0, len(h)])
         lo = hi
+    if len(data) > limit:
+        release()
 
 
 def shingle_hashes(h: np.ndarray, k: int = 5) -> np.ndarray:

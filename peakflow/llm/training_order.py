@@ -32,13 +32,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._spark import materialise, scratch_path
+from ._text import release
 
 #: Where the public vocabularies are; a parameter of everything below.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how this vocabulary splits text before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SEQUENCE = 512
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 KEY = 20_240_607
 ROUNDS = 4
 _U = np.uint64
@@ -137,6 +138,7 @@ def _tokenise(path: str, space: Space, shards: int, sequence: int, key: int):
                     held, size = [], 0
             if held:
                 yield out(held)
+            release()
 
     return scan
 
@@ -163,6 +165,7 @@ def _write(folder: str, stride: int):
                 digests.append(hashlib.sha256(record).hexdigest())
                 f.write(record)
         store.move(part, name)
+        release()
         return pa.table([pa.array(c, f.type) for c, f in zip([[shard] * len(rows), range(len(rows)), [r[2] for r in rows], [r[3] for r in rows], [r[4] for r in rows], digests], _WRITTEN, strict=True)], schema=_WRITTEN)
 
     return group
