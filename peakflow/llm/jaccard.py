@@ -42,12 +42,14 @@ from pyspark.sql import types as T
 
 from . import graph
 from ._spark import materialise
-from ._text import mix, shingle_sets
+from ._text import mix, release, shingle_sets
 
 SHINGLE = 5
 #: Shingles that one group of buckets, bins or blocks holds in a task at most (8 bytes each).
 BUCKET_SHINGLES = 1_500_000
 GROUP_SHINGLES = 1_000_000
+#: Bins of whole groups, at least: small groups spread evenly.
+BINS_LEAST = 64
 #: Frequent shingles told to all tasks: at most so many (9 bytes each), and their least count.
 FREQUENT = 1 << 20
 FREQUENT_LEAST = 4
@@ -336,6 +338,7 @@ def _list_group(n: int):
         pairs = _short_pairs(e[short], number[short])
         at = mix(pairs["a"].astype(np.uint64) ^ mix(pairs["b"].astype(np.uint64))) % _U(n)
         rows += [(k, v.tobytes(), [], [], None) for k, v in _split(pairs, at, n)]
+        release()
         return pa.table([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_LISTS)], schema=_LISTS)
 
     return group
@@ -416,6 +419,7 @@ def _meet_group(table: pa.Table) -> pa.Table:
     for part, node, raw in zip(*(table.column(c).to_pylist() for c in ("part", "node", "shingles")), strict=True):
         by.setdefault(part, {})[node] = np.frombuffer(raw, np.uint64)
     out = []
+    release()
     for members in by.values():
         nodes = sorted(members, key=lambda n: (len(members[n]), n))
         out += [(nodes[a], nodes[b]) for a, b in linked([members[n] for n in nodes])]
@@ -485,7 +489,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = docs.alias("d").join(side.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id"))).select("d.text", "p.node", "p.parts")
     sets = texts.mapInArrow(_sets_map, "part string, node bigint, shingles binary")
     total = places.join(reps.select("node", "n"), "node").agg(F.sum(F.when(F.col("parts")[0].startswith("g"), F.col("n")))).first()[0] or 0
-    bins = max(8, -(-total // GROUP_SHINGLES))
+    bins = max(BINS_LEAST, -(-4 * total // GROUP_SHINGLES))
     key = F.when(F.col("part").startswith("g"), F.concat(F.lit("b"), F.pmod(F.xxhash64("part"), F.lit(bins)).cast("string"))).otherwise(F.col("part"))
     met = sets.withColumn("bin", key).groupBy("bin").applyInArrow(_meet_group, "a bigint, b bigint, sure boolean")
     sure = materialise(met.unionByName(edges.filter("sure")).select("a", "b"), "links")
