@@ -53,7 +53,7 @@ BINS_LEAST = 64
 #: Frequent shingles told to all tasks: at most so many (9 bytes each), and their least count.
 FREQUENT = 1 << 20
 FREQUENT_LEAST = 4
-#: Group members told to all tasks: at most so many rows, else they are joined by a shuffle.
+#: Group members told to all tasks: at most so many rows and parts, else they are joined by a shuffle.
 TOLD = 500_000
 #: Lists of so many sets at most have their pairs counted.
 SHORT = 8
@@ -484,7 +484,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     coarse = graph.components(edges.filter("not sure").unionByName(often).select("a", "b"))
     reps = slim.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     places = materialise(_parts(reps.join(coarse, "node")), "places")
-    few = places.count() <= TOLD
+    few = (places.agg(F.sum(F.size("parts"))).first()[0] or 0) <= TOLD
     side = F.broadcast(places) if few else places
     texts = docs.alias("d").join(side.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id"))).select("d.text", "p.node", "p.parts")
     sets = texts.mapInArrow(_sets_map, "part string, node bigint, shingles binary")
