@@ -136,7 +136,7 @@ def _said(spans: Column) -> Column:
 def secret_spans(df: DataFrame, text: Column) -> DataFrame:
     """``df`` with ``base`` and ``spans``: sorted arrays of (start, rank, end, kind).
 
-    Entropy spans that touch a base span are left to it.
+    Entropy spans within a base span are left to it.
     """
     kept = [F.col(f"`{c}`") for c in df.columns]
     df = df.select(*kept, F.coalesce(text, F.lit("")).alias("_t"))
@@ -150,7 +150,7 @@ def secret_spans(df: DataFrame, text: Column) -> DataFrame:
     )
     slim = lambda x: F.struct(*[x[k].alias(k) for k in ("start", "rank", "end", "kind")])
     df = df.select(*kept, F.array_sort(F.transform(F.concat("_assign", "_access", "_hex"), slim)).alias("base"), F.expr(_entropy_spans("_runs")).alias("_more"))
-    new = F.filter(F.col("_more"), lambda x: ~F.exists(F.col("base"), lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))
+    new = F.filter(F.col("_more"), lambda x: ~F.exists(F.col("base"), lambda y: (x["start"] >= y["start"]) & (x["end"] <= y["end"])))
     return df.select(*kept, "base", F.array_sort(F.concat(F.col("base"), new)).alias("spans"))
 
 
