@@ -7,8 +7,8 @@ in class) is plain numpy.
 
 The vocabulary is the most frequent words of the whole corpus, all others in
 hashed tail entries. Training is spread out: every task runs gradient steps on
-a fixed share of the words it reads, from the weights of the last round; the
-tasks' weights are then averaged in two steps, weighted by words seen. What is
+the words it reads, from the weights of the last round, each word in one of the
+rounds; the tasks' weights are then averaged in two steps, weighted by words seen. What is
 gathered (word counts, weights) so grows with the input; what reaches the
 driver is one vocabulary and one set of weights.
 
@@ -35,9 +35,9 @@ WORDS = CLASSES * PER_CLASS
 FREQUENT = 768
 SIDE = 2
 WIDTH = 24
-#: One word in so many is learnt from, in every text; rounds of averaging; words in a step.
-LEARN_ONE_IN = 16
+#: Rounds of averaging; shares that the words are dealt into, one for each round, so every word is learnt from; words in a step.
 ROUNDS = 2
+LEARN_ONE_IN = ROUNDS
 BATCH = 2048
 RATE = 0.05
 _COUNT_BUCKETS = 64
@@ -216,9 +216,10 @@ def vocabulary(texts: DataFrame) -> Vocabulary:
     return Vocabulary(np.array([r.word for r in rows], np.int64).astype(np.uint64), np.array([r.n for r in rows], float), total)
 
 
-def learnt(h: np.ndarray, round_: int, one_in: int) -> np.ndarray:
-    """Which words are learnt from: by hash of the word, its place and the round, the same share everywhere."""
-    return mix(h + np.arange(len(h), dtype=np.uint64) * _U(0x9E3779B97F4A7C15) + _U(round_)) % _U(one_in) == 0
+def learnt(h: np.ndarray, offs: np.ndarray, round_: int, one_in: int) -> np.ndarray:
+    """Which words a round learns from: by hash of the word and its place in the text, each in one of ``one_in`` rounds."""
+    place = np.arange(len(h)) - np.repeat(offs[:-1], np.diff(offs))
+    return mix(h + place.astype(np.uint64) * _U(0x9E3779B97F4A7C15)) % _U(one_in) == _U(round_ % one_in)
 
 
 def _train(handle, round_: int, one_in: int):
@@ -235,7 +236,7 @@ def _train(handle, round_: int, one_in: int):
         for batch in batches:
             for _, _, h, offs in word_hashes(batch.column("text")):
                 ids = vocab.of(h)
-                pick = np.flatnonzero(learnt(h, round_, one_in))
+                pick = np.flatnonzero(learnt(h, offs, round_, one_in))
                 held.append((windows(ids, offs)[pick], ids[pick]))
                 size += len(pick)
                 if size >= 20 * BATCH:

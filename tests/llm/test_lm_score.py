@@ -56,6 +56,28 @@ def test_held_out_beats_word_frequencies(spark):
     assert ours > plain + 0.05, (ours, plain)
 
 
+def test_every_word_is_learnt_from_in_one_round(spark):
+    df = spark.createDataFrame([("a b c",), ("d",), (None,), ("e f a b c " * 50,)], "text string").coalesce(1)
+    handle = spark.sparkContext.broadcast((m.Vocabulary(np.zeros(0, np.uint64)), m.Net().flat))
+    seen = [df.mapInArrow(m._train(handle, k, m.LEARN_ONE_IN), "part int, seen bigint, net binary").collect() for k in range(m.ROUNDS)]
+    assert sum(r.seen for rows in seen for r in rows) == 254
+    (_, _, h, offs) = next(word_hashes(pa.array(["a b c", "d", "e f a b c " * 50])))
+    assert (sum(m.learnt(h, offs, k, m.LEARN_ONE_IN).astype(int) for k in range(m.ROUNDS)) == 1).all()
+
+
+def test_held_out_beats_word_frequencies_as_shipped(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").repartition(3)
+    seen, rest = docs.filter("doc_id % 5 > 0"), docs.filter("doc_id % 5 = 0")
+    vocab = m.vocabulary(seen.select("text"))
+    net = m.train(seen.select("text"), vocab)
+    ids = lambda df: [(vocab.of(h), offs) for _, _, h, offs in word_hashes(pa.array([r.text for r in df.collect()]))]
+    counts = sum(np.bincount(x, minlength=m.WORDS) for x, _ in ids(seen)) + 1.0
+    log, own = np.log(counts / counts.sum()), ids(rest)
+    plain = np.concatenate([log[x] for x, _ in own]).mean()
+    ours = np.concatenate([net.log_probs(m.windows(x, o), x) for x, o in own]).mean()
+    assert ours > plain + 0.05, (ours, plain)
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (None, "a b"), (3, " \n"), (3, "a b")], "doc_id long, text string")
     got = sorted(map(tuple, m.scores(df).collect()), key=str)
