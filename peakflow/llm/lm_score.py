@@ -5,12 +5,16 @@ log-probabilities of a document's words are its score. The network (embeddings
 weighted by place, one hidden layer, a softmax in two levels: class, then word
 in class) is plain numpy.
 
-The vocabulary is the most frequent words of the whole corpus, all others in
-hashed tail entries. Training is spread out: every task runs gradient steps on
+The network's entries are the most frequent words of the whole corpus, all
+others share hashed tail entries. A word in a tail entry has the probability of
+the entry times its own share of it, ln P(word | entry), by its count in the
+corpus: the words of texts are dealt out by hash, counted, and their shares are
+summed by text. An entry's counts and one more, which all unseen words share,
+make up its whole. Training is spread out: every task runs gradient steps on
 the words it reads, from the weights of the last round, each word in one of the
 rounds; the tasks' weights are then averaged in two steps, weighted by words seen. What is
-gathered (word counts, weights) so grows with the input; what reaches the
-driver is one vocabulary and one set of weights.
+gathered (word counts, weights, words of tail entries) so grows with the input;
+what reaches the driver is one vocabulary and one set of weights.
 
 Defined cases: null, empty and blank texts have no words and score 0; places
 beyond an end of a text are a padding entry; repeated rows are learnt from and
@@ -41,6 +45,10 @@ LEARN_ONE_IN = ROUNDS
 BATCH = 2048
 RATE = 0.05
 _COUNT_BUCKETS = 64
+#: Tail entries of a full vocabulary; tail words and texts sent at once; least groups that tail words are dealt into, and words in one.
+REST = WORDS - FREQUENT
+SENT_WORDS, SENT_TEXTS = 1_000_000, 100_000
+SHARE_GROUPS, SHARE_GROUP_WORDS = 32, 2_000_000
 _U = np.uint64
 _SHAPES = {"emb": (WORDS + 1, WIDTH), "place": (2 * SIDE, WIDTH), "w": (WIDTH, WIDTH), "b": (WIDTH,), "top": (WIDTH, CLASSES), "leaf": (CLASSES, WIDTH, PER_CLASS), "tb": (CLASSES,), "lb": (CLASSES, PER_CLASS)}
 
@@ -143,15 +151,18 @@ class Vocabulary:
     """Frequent words by hash, in order of frequency; others by hash into the tail.
 
     ``counts`` and ``total`` give each entry's share of all words, from which
-    the network's biases start; without them all shares are equal.
+    the network's biases start; without them all shares are equal. ``rest`` has
+    the words of each tail entry.
     """
 
-    def __init__(self, frequent: np.ndarray, counts: np.ndarray | None = None, total: int = 0):
+    def __init__(self, frequent: np.ndarray, counts: np.ndarray | None = None, total: int = 0, rest: np.ndarray | None = None):
         self.keys, order = np.unique(frequent, return_index=True)
         # Neighbours in frequency go to different classes.
         self.ids = ((order % CLASSES) * PER_CLASS + order // CLASSES).astype(np.int64)
         used = set(self.ids.tolist())
         self.tail = np.array([i for i in range(WORDS) if i not in used])
+        self.in_tail = np.isin(np.arange(WORDS), self.tail)
+        self.rest = np.zeros(len(self.tail)) if rest is None else rest
         self.shares = np.full(WORDS, 1.0 / WORDS)
         if counts is not None and total:
             self.shares[self.ids] = counts[order]
@@ -165,6 +176,10 @@ class Vocabulary:
             out = np.where(self.keys[at] == h, self.ids[at], out)
         return out
 
+    def log_share(self, h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """ln P(word | its tail entry) of words by their counts; unseen ones, with count 0, share one count."""
+        return np.log(np.maximum(counts, 1) / (self.rest[(h % _U(len(self.tail))).astype(np.int64)] + 1.0))
+
 
 def windows(words: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """[word, place]: entries around each word of a slice of texts; WORDS where a text ends."""
@@ -199,21 +214,27 @@ def _counts(batches):
 
 
 def _most(table: pa.Table) -> pa.Table:
-    """The most frequent words of one bucket (no other can be among those of all), and its sum as a null word."""
+    """The most frequent words of one bucket (no other can be among those of all), and its sums by tail entry as null words."""
     join = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(c).to_pylist()])
     words, place = np.unique(join("words", np.uint64), return_inverse=True)
     total = np.bincount(place, join("counts", np.uint32)).astype(np.int64)
     top = np.lexsort((words, -total))[:FREQUENT]
-    return pa.table({"word": pa.array([*words[top].astype(np.int64).tolist(), None], pa.int64()), "n": pa.array([*total[top].tolist(), int(total.sum())], pa.int64())})
+    rest = np.bincount((words % _U(REST)).astype(np.int64), total, REST).astype(np.int64)
+    held, none = words[top].astype(np.int64).tolist(), [None]
+    return pa.table({"word": pa.array([*held, *none * REST], pa.int64()), "entry": pa.array([*none * len(held), *range(REST)], pa.int32()), "n": pa.array([*total[top].tolist(), *rest.tolist()], pa.int64())})
 
 
 def vocabulary(texts: DataFrame) -> Vocabulary:
     """The vocabulary of all of ``texts``: counts are summed over every word of the corpus."""
-    counted = texts.mapInArrow(_counts, "bucket int, words binary, counts binary").groupBy("bucket").applyInArrow(_most, "word bigint, n bigint")
+    counted = texts.mapInArrow(_counts, "bucket int, words binary, counts binary").groupBy("bucket").applyInArrow(_most, "word bigint, entry int, n bigint")
     counted = materialise(counted, "words")
     rows = counted.filter("word is not null").orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
-    total = counted.filter("word is null").agg(F.sum("n")).first()[0] or 0
-    return Vocabulary(np.array([r.word for r in rows], np.int64).astype(np.uint64), np.array([r.n for r in rows], float), total)
+    words, n = np.array([r.word for r in rows], np.int64).astype(np.uint64), np.array([r.n for r in rows], float)
+    by, rest = counted.filter("word is null").groupBy("entry").agg(F.sum("n").alias("n")).collect(), np.zeros(REST)
+    for r in by:
+        rest[r.entry] = r.n
+    full = len(rows) == FREQUENT  # else every word has an entry of its own
+    return Vocabulary(words, n, sum(r.n for r in by), rest - np.bincount((words % _U(REST)).astype(np.int64), n, REST) if full else None)
 
 
 def learnt(h: np.ndarray, offs: np.ndarray, round_: int, one_in: int) -> np.ndarray:
@@ -276,30 +297,100 @@ def train(texts: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, one_in: int
     return net
 
 
-def score_hashes(net: Net, vocab: Vocabulary, h: np.ndarray, offs: np.ndarray, step: int = 1 << 14) -> np.ndarray:
-    """Summed log-probability of each text of a slice."""
-    ids = vocab.of(h)
-    around, each = windows(ids, offs), np.empty(len(h))
-    for a in range(0, len(h), step):
+def _score_entries(net: Net, ids: np.ndarray, offs: np.ndarray, step: int = 1 << 14) -> np.ndarray:
+    around, each = windows(ids, offs), np.empty(len(ids))
+    for a in range(0, len(ids), step):
         each[a : a + step] = net.log_probs(around[a : a + step], ids[a : a + step])
     run = np.concatenate(([0.0], np.cumsum(each)))
     return run[offs[1:]] - run[offs[:-1]]
 
 
+def score_hashes(net: Net, vocab: Vocabulary, h: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Summed log-probability of the entries of each text of a slice."""
+    return _score_entries(net, vocab.of(h), offs)
+
+
+_SENT = "chunk bigint, bucket int, ids array<bigint>, n binary, score binary, words binary, at binary"
+
+
+def _sent(chunk: int, groups: int, held: list) -> pa.RecordBatch:
+    """One row with the texts of a chunk, and one for each group that has words of their tail entries."""
+    ids, n, score, h, at = ([x[k] for x in held] for k in range(5))
+    first = np.cumsum([0, *map(len, n)])
+    h, at = np.concatenate(h), np.concatenate([x + first[k] for k, x in enumerate(at)]).astype(np.uint32)
+    bucket = ((h >> _U(20)) % _U(groups)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    h, at, keys = h[order], at[order], np.unique(bucket)
+    cuts = np.searchsorted(bucket[order], [*keys, groups])
+    none, k = [None] * len(keys), len(keys)
+    text = pa.array([pa.concat_arrays(ids).to_pylist(), *none], pa.list_(pa.int64()))
+    cut = lambda x: pa.array([None, *(x[a:b].tobytes() for a, b in zip(cuts, cuts[1:]))], pa.binary())
+    one = lambda x, kind: pa.array([np.concatenate(x).astype(kind).tobytes(), *none], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([chunk] * (k + 1), pa.int64()), pa.array([chunk % groups, *keys.tolist()], pa.int32()), text, one(n, np.int64), one(score, np.float64), cut(h), cut(at)], names=["chunk", "bucket", "ids", "n", "score", "words", "at"])
+
+
+def _shares(handle):
+    """Texts as they come; for words, their counts in the corpus and from those ln P(word | entry), summed by text."""
+
+    def run(table: pa.Table) -> pa.Table:
+        vocab = handle.value[0]
+        rare = table.filter(table.column("words").is_valid())
+        texts = table.filter(table.column("words").is_null()).drop_columns(["words"])
+        parts = [np.frombuffer(x.as_py(), np.uint64) for x in rare.column("words")]
+        scores, ats = [], []
+        if parts:
+            words, place, counts = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+            each = vocab.log_share(words, counts)[place]
+            ends = np.cumsum([len(x) for x in parts])
+            for a, b, at in zip([0, *ends], ends, rare.column("at")):
+                at = np.frombuffer(at.as_py(), np.uint32)
+                first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+                scores.append(np.add.reduceat(each[a:b], first).tobytes())
+                ats.append(at[first].tobytes())
+        none = [None] * len(parts)
+        out = [rare.column("chunk"), rare.column("bucket"), pa.array(none, pa.list_(pa.int64())), pa.array(none, pa.binary()), pa.array(scores, pa.binary()), pa.array(ats, pa.binary())]
+        return pa.concat_tables([texts, pa.table(out, names=texts.column_names).cast(texts.schema)])
+
+    return run
+
+
+def _joined(table: pa.Table) -> pa.Table:
+    """The texts of a chunk with all their shares, added in a fixed order."""
+    rows = table.sort_by("bucket").select(["ids", "n", "score", "at"]).to_pylist()
+    of = next(r for r in rows if r["at"] is None)
+    score = np.frombuffer(of["score"], np.float64).copy()
+    for r in rows:
+        if r["at"] is not None:
+            score[np.frombuffer(r["at"], np.uint32)] += np.frombuffer(r["score"], np.float64)
+    return pa.table({"doc_id": pa.array(of["ids"], pa.int64()), "n_words": pa.array(np.frombuffer(of["n"], np.int64)), "log_prob": pa.array(score)})
+
+
 def scores(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, log_prob (summed) and mean_log_prob (null without words)."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     vocab = vocabulary(slim.select("text"))
     net = train(slim.select("text"), vocab)
     handle = docs.sparkSession.sparkContext.broadcast((vocab, net.flat))
+    groups = max(SHARE_GROUPS, -(-int(vocab.rest.sum()) // SHARE_GROUP_WORDS))
 
     def scan(batches):
         vocab, flat = handle.value
-        net = Net(flat)
+        net, chunk = Net(flat), TaskContext.get().partitionId() << 32
+        held, n_texts, n_words = [], 0, 0
         for batch in batches:
             ids = batch.column("doc_id")
             for lo, hi, h, offs in word_hashes(batch.column("text")):
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(np.diff(offs)), pa.array(score_hashes(net, vocab, h, offs))], names=["doc_id", "n_words", "log_prob"])
-
-    out = slim.mapInArrow(scan, "doc_id bigint, n_words bigint, log_prob double")
+                entries = vocab.of(h)
+                rare = np.flatnonzero(vocab.in_tail[entries])
+                at = np.searchsorted(offs, rare, "right") - 1
+                held.append((ids.slice(lo, hi - lo), np.diff(offs), _score_entries(net, entries, offs), h[rare], at))
+                n_texts, n_words = n_texts + hi - lo, n_words + len(rare)
+                if n_texts >= SENT_TEXTS or n_words >= SENT_WORDS:
+                    yield _sent(chunk, groups, held)
+                    held, n_texts, n_words, chunk = [], 0, 0, chunk + 1
+        if held:
+            yield _sent(chunk, groups, held)
+
+    sent = slim.mapInArrow(scan, _SENT).groupBy("bucket").applyInArrow(_shares(handle), _SENT.replace(" words binary,", ""))
+    out = sent.groupBy("chunk").applyInArrow(_joined, "doc_id bigint, n_words bigint, log_prob double")
     return out.withColumn("mean_log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")))

@@ -78,6 +78,32 @@ def test_held_out_beats_word_frequencies_as_shipped(spark):
     assert ours > plain + 0.05, (ours, plain)
 
 
+def test_words_of_tail_entries_have_probabilities_of_their_own(spark, monkeypatch):
+    rnd = np.random.default_rng(3)
+    monkeypatch.setattr(m, "train", lambda texts, vocab: m.Net(seed=4).begin_at(vocab.shares))
+    monkeypatch.setattr(m, "SENT_WORDS", 400)
+    words = [f"w{i}" for i in range(2000)]
+    odds = 1 / np.arange(1, 2001)
+    texts = [" ".join(rnd.choice(words, 40, p=odds / odds.sum())) for _ in range(300)] + [" ".join(words), None, "w1999 misspelt"]
+    df = spark.createDataFrame([(i if i % 7 else None, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = sorted((r.n_words, r.log_prob, r.doc_id or -1) for r in m.scores(df).collect())
+    vocab = m.vocabulary(df.select("text"))
+    (_, _, h, offs) = next(word_hashes(pa.array(texts)))
+    entry, (keys, counts) = vocab.of(h), np.unique(h, return_counts=True)
+    count, tail = dict(zip(keys.tolist(), counts.tolist())), set(vocab.tail.tolist())
+    of_entry = np.bincount(entry, minlength=m.WORDS)
+    own = np.array([np.log(count[int(x)] / (of_entry[e] + 1)) if e in tail else 0.0 for x, e in zip(h, entry)])
+    assert (own < 0).sum() > 2000
+    base = m.score_hashes(m.Net(seed=4).begin_at(vocab.shares), vocab, h, offs)
+    want = sorted((int(offs[i + 1] - offs[i]), base[i] + own[offs[i] : offs[i + 1]].sum(), i if i % 7 else -1) for i in range(len(texts)))
+    assert [(n, k) for n, _, k in got] == [(n, k) for n, _, k in want]
+    assert np.allclose([x for _, x, _ in got], [x for _, x, _ in want], atol=1e-3)
+    seen = keys[vocab.in_tail[vocab.of(keys)]]
+    mass = np.bincount(vocab.of(seen), np.exp(vocab.log_share(seen, np.array([count[int(x)] for x in seen]))), m.WORDS)
+    unseen = np.exp(vocab.log_share(np.arange(256, dtype=np.uint64), np.zeros(256)))
+    assert np.allclose(mass[vocab.tail] + unseen, 1)
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (None, "a b"), (3, " \n"), (3, "a b")], "doc_id long, text string")
     got = sorted(map(tuple, m.scores(df).collect()), key=str)
