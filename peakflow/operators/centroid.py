@@ -97,37 +97,52 @@ def centroid_frames(peaks: DataFrame, tof_range=None, scan_range=None, width: in
 def peak_width(peaks: DataFrame, samples: int = 49, tops: int = 10, least: int = 100, apart: int = 5) -> DataFrame:
     """Per quad: median width in seconds of peaks tracked from sampled frames of its middle 60 percent.
 
-    A sampled frame's strongest tofs are followed both ways, one tof either
-    side, until they fall to a hundredth twice. Tracks need a quad's frames in
-    order, so only its strongest peaks by frame are gathered: ``tops`` a frame.
+    A sampled frame's ``tops`` strongest tofs are followed both ways, one tof
+    either side, until they fall to a hundredth twice. Tracks need a quad's
+    frames in order, so what is gathered is, from all frames, each peak within
+    one tof of a start: all that a track can see.
     """
     by_tof = peaks.groupBy("quad_major", "frame_index", "rt", "tof_index").agg(F.sum("intensity").alias("intensity"))
-    keep = Window.partitionBy("quad_major", "frame_index").orderBy(F.desc("intensity"), "tof_index")
-    slim = by_tof.withColumn("k", F.row_number().over(keep)).filter(F.col("k") <= 20 * tops).drop("k")
+    frames = peaks.select("quad_major", "frame_index", "rt").distinct()
+    quad = Window.partitionBy("quad_major")
+    frames = frames.withColumns({"at": F.row_number().over(quad.orderBy("frame_index", "rt")) - 1, "n": F.count(F.lit(1)).over(quad)})
+    ats = [F.floor(F.col("n") * F.lit(0.2 + 0.6 * k / max(1, samples))).cast("int") for k in range(samples)]
+    of = lambda x, y: x.quad_major.eqNullSafe(y.q) & (x.frame_index == y.f) & (x.rt == y.t)
+    names = [F.col("quad_major").alias("q"), F.col("frame_index").alias("f"), F.col("rt").alias("t")]
+    sampled = frames.filter(F.array_contains(F.array(*ats), F.col("at"))).select(*names)
+    strongest = Window.partitionBy("quad_major", "frame_index", "rt").orderBy(F.desc("intensity"), F.desc("tof_index"))
+    starts = by_tof.join(sampled, of(by_tof, sampled), "left_semi").filter(F.col("intensity") > least)
+    starts = starts.withColumn("k", F.row_number().over(strongest)).filter(F.col("k") <= tops)
+    near = starts.select(F.col("quad_major").alias("q"), F.explode(F.sequence(F.col("tof_index") - 1, F.col("tof_index") + 1)).alias("tof")).distinct()
+    seen = by_tof.join(near, by_tof.quad_major.eqNullSafe(near.q) & (by_tof.tof_index == near.tof), "left_semi")
+    placed = frames.select(*names, "at", "n")
+    seen = seen.join(placed, of(seen, placed)).select("quad_major", "at", "n", "rt", "tof_index", "intensity")
+    # One row more for each quad, at no frame, as quads without a start count too.
+    every = frames.groupBy("quad_major").agg(F.lit(-1).alias("at"), F.max("n").alias("n"), F.lit(0.0).alias("rt"), F.lit(0).cast("bigint").alias("tof_index"), F.lit(0).cast("bigint").alias("intensity"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        frames = [(rt, dict(zip(g.tof_index, g.intensity))) for (_, rt), g in pdf.groupby(["frame_index", "rt"], sort=True)]
-        n, widths = len(frames), []
+        n, widths = int(pdf.n.iloc[0]), []
+        times, held = dict(zip(pdf["at"], pdf["rt"])), {k: dict(zip(g.tof_index, g.intensity)) for k, g in pdf.groupby("at")}
         for k in range(samples):
             at = int(n * (0.2 + 0.6 * k / max(1, samples)))
             if at >= n:
                 continue
-            best = sorted(((i, t) for t, i in frames[at][1].items() if i > least), reverse=True)[:tops]
+            best = sorted(((i, t) for t, i in held.get(at, {}).items() if i > least), reverse=True)[:tops]
             chosen: list[int] = []
             for _, t in sorted(best, key=lambda x: x[1]):
                 if not chosen or t - chosen[-1] > apart:
                     chosen.append(t)
             for t in chosen:
-                top, ends = frames[at][1][t], []
+                top, ends = held[at][t], []
                 for step, stop in ((1, n), (-1, 1)):
                     j, misses, last = at, 0, at
                     while j + step != stop and 0 <= j + step < n and misses < 2:
                         j += step
-                        seen = sum(frames[j][1].get(t + d, 0) for d in (-1, 0, 1))
+                        seen = sum(held.get(j, {}).get(t + d, 0) for d in (-1, 0, 1))
                         misses, last = (misses + 1, last) if seen <= top / 100 else (0, j)
                     ends.append(last)
-                widths.append(frames[ends[0]][0] - frames[ends[1]][0])
+                widths.append(times[ends[0]] - times[ends[1]])
         widths.sort()
         return pd.DataFrame({"quad_major": pdf.quad_major.iloc[:1], "n_tracks": [len(widths)], "width": [widths[len(widths) // 2] if widths else None]})
 
-    return slim.groupBy("quad_major").applyInPandas(run, "quad_major int, n_tracks bigint, width double")
+    return seen.unionByName(every).groupBy("quad_major").applyInPandas(run, "quad_major int, n_tracks bigint, width double")

@@ -183,6 +183,15 @@ def test_centroid_frames(spark):
     assert w.width == 2.0  # the first two frames are never reached backwards
 
 
+def test_peak_width_sees_weak_peaks_of_crowded_frames(spark):
+    """Ten tofs, strong in the sampled frames and weak in the others, where 250 stronger ones lie."""
+    rows = [(0, f, f * 0.5, 100 * k, 100_000 if 4 <= f <= 15 else 2000) for f in range(20) for k in range(1, 11)]
+    rows += [(0, f, f * 0.5, 10_000 * (f + 1) + 20 * k, 3000) for f in range(20) for k in range(250)] + [(None, f, f * 0.5, 7, 50) for f in range(5)]
+    df = spark.createDataFrame(rows, "quad_major int, frame_index bigint, rt double, tof_index bigint, intensity bigint")
+    got = {r.quad_major: (r.n_tracks, r.width) for r in centroid.peak_width(df).collect()}
+    assert got == {0: (490, 8.5), None: (0, None)}  # frames 2 to 19; a quad without a start has no track
+
+
 def test_tolerances(spark):
     t = Tolerance.from_json('{"ms":{"Ppm":[15.0,15.0]},"rt":"None","mobility":{"Pct":[10.0,10.0]},"quad":{"Absolute":[0.1,0.1]}}')
     assert t == Tolerance.template() == Tolerance.from_json(t.to_json())
