@@ -2,14 +2,16 @@ r"""Main text of web pages by line-block distribution.
 
 A page becomes lines, one for each block of text, with empty lines where
 containers begin and end. Text of links does not count, nor do parts whose tag,
-role or class says that they are no content: those leave empty lines too. Text
+role or class says that they are no content: those leave empty lines too. A form
+or fieldset is content if it holds a ``main`` or ``article`` element or most of
+the page's text that counts; only its controls are left then. Text
 lengths are then summed over sliding windows of lines. Where the sum rises
 above zero a region surges, where it falls back to zero it dives; a region
 counts if its greatest sum reaches ``LEAST`` or ``SHARE`` of the page's
 greatest, whichever is less. The text between a surge and its dive is kept,
 short lines included. Where a page marks its ``main`` or ``article`` elements,
-containers in them make no empty lines, so an article is one region, and
-regions outside are left.
+containers in them make no empty lines and text of links counts, so an article is
+one region, lists of links included, and regions outside are left.
 
 White space inside a block becomes one space; blocks are joined by an empty
 line; character references are decoded, also those without a semicolon.
@@ -42,12 +44,15 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORDS = re.compile(r"[a-z]+")
+_WRAPPER = re.compile(r"<(?:form|fieldset)\b", re.I)
 
 BLOCKS = frozenset("address blockquote body center dd dir dl dt figcaption figure h1 h2 h3 h4 h5 h6 hr html li ol p pre table tbody tfoot thead tr ul caption summary legend option".split())
 CONTAINERS = frozenset("article aside details dialog div fieldset footer form header main menu nav section table ul ol dl body".split())
 CONTENT = ("main", "article")
 #: Tags, roles and words of class or id that are not content; the second set only outside an article.
 SKIPPED_TAGS = frozenset("nav aside footer form menu dialog button label input fieldset".split())
+#: Of those, the ones that pages may wrap their content in.
+WRAPPERS = frozenset("form fieldset".split())
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 SKIPPED_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted cookie cookies consent gdpr notice notices alert popup modal overlay sidebar nav navbar navigation menu breadcrumb "
@@ -59,9 +64,9 @@ OUTSIDE_TAGS, OUTSIDE_WORDS = frozenset(["header"]), frozenset(["header", "masth
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
-def _skips(tag: str, attrs: str, inside: bool, by_name: bool) -> bool:
-    """Whether an element is not content: by its tag, and if ``by_name`` by what it is called."""
-    if tag in SKIPPED_TAGS or (not inside and tag in OUTSIDE_TAGS):
+def _skips(tag: str, attrs: str, inside: bool, by_name: bool, wraps: bool = False) -> bool:
+    """Whether an element is not content: by its tag, unless it ``wraps`` content, and if ``by_name`` by what it is called."""
+    if (tag in SKIPPED_TAGS and not wraps) or (not inside and tag in OUTSIDE_TAGS):
         return True
     if not attrs or not by_name or tag in ("html", "body", *CONTENT):
         return False
@@ -69,7 +74,7 @@ def _skips(tag: str, attrs: str, inside: bool, by_name: bool) -> bool:
         name, value = name.lower(), (a or b or c).lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True
-        if name == "role" and value in SKIPPED_ROLES or name == "style" and "display:none" in value.replace(" ", ""):
+        if name == "role" and value in SKIPPED_ROLES and not (wraps and value == "form") or name == "style" and "display:none" in value.replace(" ", ""):
             return True
         if name in ("class", "id"):
             words = set(_WORDS.findall(value))
@@ -78,19 +83,42 @@ def _skips(tag: str, attrs: str, inside: bool, by_name: bool) -> bool:
     return False
 
 
-def lines(html: str, by_name: bool = True) -> list[tuple[str, int, int]]:
-    """(text, characters that count, number of the content element or 0) of each line; empty text where containers end."""
-    out: list[tuple[str, int, int]] = []
+def _wrappers(html: str, by_name: bool) -> frozenset[int]:
+    """Which forms and fieldsets, by their number on the page, hold marked content or most of the text that counts."""
+    if not _WRAPPER.search(html):
+        return frozenset()
+    held: dict[int, tuple[int, int]] = {}
+    every = _lines(html, by_name, None, held)
+    total = sum(x[3] for x in every)
+    return frozenset(k for k, (n, marked) in held.items() if marked or 2 * n > total)
+
+
+def lines(html: str, by_name: bool = True) -> list[tuple[str, int, int, int]]:
+    """(text, characters that count, number of the content element or 0, those not in lists of links) of each line; empty text where containers end."""
+    return _lines(html, by_name, _wrappers(html, by_name), {})
+
+
+def _lines(html: str, by_name: bool, wrappers: frozenset[int] | None, held: dict[int, tuple[int, int]]) -> list[tuple[str, int, int, int]]:
+    """:func:`lines` with these forms and fieldsets (None: all) as content; ``held`` gets what counts in each and how many content elements."""
+    out: list[tuple[str, int, int, int]] = []
+    around: list[int] = []  # numbers of the open forms and fieldsets that are content
     stack: list[tuple[str, bool]] = []  # open containers and skipped elements: (tag, skipped)
     parts: list[str] = []
-    linked, in_link, skipped, content, elements = 0, 0, 0, [], 0
+    linked, in_link, skipped, content, elements, wrapped = 0, 0, 0, [], 0, 0
+
+    def add(n: int, marked: int):
+        for k in around:
+            a, b = held.get(k, (0, 0))
+            held[k] = (a + n, b + marked)
 
     def flush():
         nonlocal linked
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                out.append((text, len(text) if 2 * linked <= len(text) else 0, content[-1] if content else 0))
+                plain = len(text) if 2 * linked <= len(text) else 0
+                out.append((text, len(text) if content else plain, content[-1] if content else 0, plain))
+                add(plain, 0)
             parts.clear()
         linked = 0
 
@@ -101,6 +129,8 @@ def lines(html: str, by_name: bool = True) -> list[tuple[str, int, int]]:
             skipped -= skip
             if tag in CONTENT and content:
                 content.pop()
+            if tag in WRAPPERS and not skip:
+                around.pop()
 
     last = 0
     for m in _TOKEN.finditer(html):
@@ -123,17 +153,23 @@ def lines(html: str, by_name: bool = True) -> list[tuple[str, int, int]]:
             if stack and stack[-1] == ("p", True) and not (closing and tag == "p"):
                 leave(len(stack) - 1)  # a paragraph ends where the next block begins
             if tag in CONTAINERS and not content:
-                out.append(("", 0, 0))
+                out.append(("", 0, 0, 0))
         if closing:
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == tag:
                     leave(depth)
                     break
         elif tag not in VOID and not m["attrs"].endswith("/"):
-            skip = _skips(tag, m["attrs"], bool(content), by_name)
+            wrapped += tag in WRAPPERS
+            wraps = tag in WRAPPERS and (wrappers is None or wrapped in wrappers)
+            skip = _skips(tag, m["attrs"], bool(content), by_name, wraps)
             if skip or tag in CONTAINERS or (skipped and tag in (x for x, s in stack if s)):
                 stack.append((tag, skip))
                 skipped += skip
+                if tag in WRAPPERS and not skip:
+                    around.append(wrapped)
+                if tag in CONTENT and not skipped:
+                    add(0, 1)
                 if tag in CONTENT:
                     elements += not content
                     content.append(content[-1] if content else elements)  # an article in an article is part of it
@@ -168,14 +204,16 @@ def main_text(html: str | None, by_name: bool = True) -> str:
         return ""
     every = lines(html, by_name)
     marked: dict[int, int] = {}
-    for _, n, k in every:
+    for _, _, k, n in every:
         if k:
             marked[k] = marked.get(k, 0) + n
     if marked and max(marked.values()):
         most = max(marked.values())
         chosen = {k for k, n in marked.items() if n >= SHARE * most}
-        every = [x if x[2] in chosen else ("", 0, 0) for x in every]
-    held = [t for a, b in regions([n for _, n, _ in every]) for t, _, _ in every[a:b] if t]
+        every = [x if x[2] in chosen else ("", 0, 0, 0) for x in every]
+    else:
+        every = [(t, n, k, n) for t, _, k, n in every]
+    held = [x[0] for a, b in regions([x[1] for x in every]) for x in every[a:b] if x[0]]
     if not held and by_name:
         return main_text(html, False)
     return "\n\n".join(held)

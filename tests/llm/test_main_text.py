@@ -42,6 +42,25 @@ def test_layouts():
     assert m.main_text(f"<body><div class='page sidebar-right'><div>{body}</div></div>") == want
 
 
+def test_forms_around_content():
+    body = "<h2>Title</h2><p>" + "A long paragraph of text. " * 10 + "</p><p>" + "And one more of them here. " * 10 + "</p>"
+    want = "Title\n\n" + ("A long paragraph of text. " * 10).strip() + "\n\n" + ("And one more of them here. " * 10).strip()
+    controls = "<input type=hidden value=x><label>Name</label><button>Send</button><select><option>No</select>"
+    search = "<form role=search><p>Search all of the pages of this site for words.</p></form>"
+    for page in ("<form id=aspnetForm>{}{}</form>", "<form role=form>{}{}</form>", "<form><fieldset>{}{}</fieldset></form>", "<form>{}<article>{}</article></form>", "<article><form>{}{}</form></article>"):
+        assert m.main_text(f"<body>{search}{page.format(controls, body)}<footer>Ours</footer></body>") == want, page
+    assert m.main_text(PAGE.format(body=f"<main>{body}<form><p>Write to us and tell us what you think of it.</p></form></main>")) == want
+
+
+def test_lists_of_links_in_an_article():
+    text = ("A long paragraph of text. " * 10).strip()
+    refs = [f"Reference {i} to a book" for i in range(8)]
+    page = f"<article><p>{text}</p><ul>{''.join(f'<li><a href=x>{r}</a></li>' for r in refs)}</ul><p>The end.</p></article>"
+    assert m.main_text(PAGE.format(body=page)) == "\n\n".join([text, *refs, "The end."])
+    teasers = "".join(f"<article><a href=x>{r}</a></article>" for r in refs)
+    assert m.main_text(f"<body><div><p>{text}</p></div>{teasers}</body>") == text  # articles of links only are lists of links
+
+
 def test_odd_pages(spark):
     assert m.main_text(None) == m.main_text("") == m.main_text(" <p> </p><!-- x") == ""
     assert m.main_text("just text & more") == "just text & more"
