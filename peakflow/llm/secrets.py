@@ -6,7 +6,10 @@ positions in code points. Candidates are runs of token characters. Over each,
 one fold slides a window: the count of the entering and of the leaving
 character change a table of counts and the sum of c*log2(c), kept as a whole
 number, so no rounding adds up. A window whose entropy reaches its class's
-threshold is hot; overlapping hot windows make one span.
+threshold is hot; overlapping hot windows make one span. A candidate's class is
+that of its characters; signs between runs of letters and digits of one case,
+as in ``key-3ax6...``, do not count for it, but runs that are words, numbers or
+UUIDs are no evidence: slugs have no class, nor have names in camel case.
 
 Defined cases: a null text counts as empty; an empty text has no spans and the
 digest of the empty string; repeated rows are scanned one by one; long runs
@@ -37,6 +40,14 @@ CLASSES = (
     ("base36", r"^(?=.*[0-9])(?=.*[a-z])[0-9a-z]+$|^(?=.*[0-9])(?=.*[A-Z])[0-9A-Z]+$", 3.5),
     ("base64", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])", 3.7),
 )
+#: Letters and digits of one case with signs, where the runs that mix both have so many characters together; the bits.
+SEPARATED = r"^[0-9a-z+/_=-]+$|^[0-9A-Z+/_=-]+$"
+SEPARATED_LEAST, SEPARATED_BITS = 12, 3.5
+PLAIN_RUN = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}|(?<![A-Za-z0-9])(?:[A-Za-z]+|[0-9]+)(?![A-Za-z0-9])|[+/_=-]"
+#: Letters of both cases without a digit, but for those that are nothing but words in camel case; the bits.
+LETTERS = r"^(?=.*[a-z])(?=.*[A-Z])[A-Za-z+/_=-]+$"
+CAMEL_WORD = r"^[a-z]+|(?<![A-Z])[A-Z][a-z]+|(?<![A-Z])[A-Z]{2,5}[a-z]{3,}|(?<![A-Z])[A-Z]{1,5}$|[+/_=-]"
+LETTERS_BITS = 3.7
 #: Candidates that are never secrets: UUIDs, words joined by signs, counted runs, examples.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
@@ -80,7 +91,8 @@ def _spans(text: Column, pattern: str, kind: str, ok=None) -> Column:
 
 def _class_bits(run: Column) -> Column:
     """Bits that a window of this candidate needs; null if it has no class or is allowed."""
-    bits = F.lit(None).cast("double")
+    mixed = F.char_length(F.regexp_replace(run, PLAIN_RUN, ""))
+    bits = F.when(run.rlike(SEPARATED) & (mixed >= SEPARATED_LEAST), F.lit(SEPARATED_BITS)).when(run.rlike(LETTERS) & (F.regexp_replace(run, CAMEL_WORD, "") != ""), F.lit(LETTERS_BITS))
     for _, pattern, least in reversed(CLASSES):
         bits = F.when(run.rlike(pattern), F.lit(least)).otherwise(bits)
     for pattern in ALLOWED:

@@ -55,5 +55,16 @@ def test_entropy_spans(spark):
     assert got[6].spans == want and want
 
 
+def test_signs_and_letters_only(spark):
+    """Keys of one case with signs, and of letters of both cases, have windows; slugs, camel case and UUIDs have none."""
+    keys = [("key-3ax6xnjp29jd6fds4gc373sgvjxteol0", 3.5), ("sk_live_9f8a7w3k2m5q0z1x4c6v", 3.5), ("AB3D9-KQ7ZX-19MPT-44WQL-X02RS", 3.5), ("qWVtzRBKxypLMNcjdHgFSaeU", 3.7)]
+    plain = ["top-10-best-4k-tvs-and-mp3-players-of-2021", "getElementByIdAndClassNameOfParent", "id-0d9e0560-c638-4a56-9a67-0a0d9e0560c6", "a-slug-of-words/with/2021/05/04/numbers-in-it", "Well_Known_Words_In_Capitals", "parseHTTPResponseHeaderFieldValue", "abstract-factory-bean-2"]
+    got = check(spark, [f"see {k} here" for k, _ in keys] + [f"see {p} here" for p in plain])
+    for i, (k, bits) in enumerate(keys):
+        want = ",".join(f"entropy:{a + 4}:{b + 4}" for a, b in brute_hot(k, bits))
+        assert want and got[i].spans == want, (k, got[i].spans)
+    assert not [got[len(keys) + i].spans for i in range(len(plain)) if got[len(keys) + i].spans]
+
+
 def test_empty_table(spark):
     assert s.secret_report(spark.createDataFrame([], "doc_id long, text string, base string")).count() == 0
