@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from collections import Counter
 
 from brute import digest, secrets
@@ -68,3 +69,57 @@ def test_signs_and_letters_only(spark):
 
 def test_empty_table(spark):
     assert s.secret_report(spark.createDataFrame([], "doc_id long, text string, base string")).count() == 0
+
+
+def brute_spans(text):
+    """All spans, each candidate and window judged anew."""
+    text = text or ""
+    base = secrets(text)
+    out = list(base)
+    for m in re.finditer(s.CANDIDATE, text):
+        run = m[0]
+        if any(re.search(p, run) for p in s.ALLOWED):
+            continue
+        bits = next((b for _, p, b in s.CLASSES if re.search(p, run)), None)
+        if bits is None and re.search(s.SEPARATED, run) and len(re.sub(s.PLAIN_RUN, "", run)) >= s.SEPARATED_LEAST:
+            bits = s.SEPARATED_BITS
+        if bits is None and re.search(s.LETTERS, run) and re.sub(s.CAMEL_WORD, "", run):
+            bits = s.LETTERS_BITS
+        for a, b in brute_hot(run, bits) if bits else ():
+            a, b = a + m.start(), b + m.start()
+            if not any(x <= a and b <= y for _, x, y in base):
+                out.append(("entropy", a, b))
+    return digest(out, s.KINDS)[1]
+
+
+def test_all_spans_on_table(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    got = check(spark, texts)
+    assert [got[i].spans for i in range(len(texts))] == [brute_spans(t) for t in texts]
+
+
+def test_all_spans_of_odd_texts(spark):
+    rnd = random.Random(5)
+    bits = ["token=", "a1B2", "c3D4e5", "0123456789", "deadbeefdeadbeef", "AKIA", "XY7Z", "q9", "-", "_", "/", "+", "=", " ", "zzzz", "Word", "é", "\n", "7f3K9pQ2mX8vL4nR6tW1", "9f8a7w3k2m5q0z1x4c6v"]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randint(1, 60))) for _ in range(600)]
+    long = "".join(rnd.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz23456789+/") if i % 97 > 30 else "G" for i in range(5 * s.BLOCK + 7))
+    texts += [long[:n] for n in (s.BLOCK, s.BLOCK + 18, s.BLOCK + 19, s.BLOCK + 20, 2 * s.BLOCK + 38, len(long))]
+    got = check(spark, texts)
+    want = [brute_spans(t) for t in texts]
+    assert [got[i].spans for i in range(len(texts))] == want
+    assert sum("entropy" in w for w in want) > 100
+
+
+def test_long_runs_and_many_hits(spark):
+    """Runs of a million characters of every class, and texts of a hundred thousand hits: no recursion, no square."""
+    rnd, n = random.Random(6), 1_000_000
+    pick = lambda chars: "".join(rnd.choices(chars, k=n))
+    lower, upper, digits = "abcdefghijkmnpqrstuvwxyz", "ABCDEFGHJKLMNPQRSTUVWXYZ", "23456789"
+    runs = ["ab-" * (n // 3), "ab/cd9-" * (n // 7), "-" * n, "AbcDefGh" * (n // 8), pick(lower + upper), pick(lower + digits), pick(lower + digits + "-"), pick(lower + upper + digits), pick("0123456789abcdef"), "password" + " " * n]
+    hits = [" ".join("%024x" % rnd.getrandbits(96) for _ in range(100_000)), "token=abcdef " * 100_000]
+    df = spark.createDataFrame(list(enumerate(runs + hits)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in s.secret_report(df).collect()}
+    assert got[0].spans == got[2].spans == got[3].spans == got[9].spans == "" and got[8].spans == f"hex:0:{n}"
+    assert all("entropy" in got[i].spans for i in (4, 5, 6, 7))
+    assert got[len(runs)].n_hex == got[len(runs) + 1].n_assign == 100_000
+    assert got[len(runs) + 1].spans.endswith(f"assign:{13 * 99_999}:{13 * 99_999 + 12}")
