@@ -79,3 +79,94 @@ def test_surge_and_dive():
     assert m.regions([]) == [] and m.regions([0, 0]) == []
     assert m.regions([200, 1, 200]) == [(0, 3)]
     assert m.regions([5, 0, 0, 0, 0, 300, 10, 0, 0, 0]) == [(3, 7)]
+
+
+LONG = [f"Paragraph {i} of the text, which is long enough to be one, and says what there is to say about {i} things in all." for i in range(6)]
+HTML = "".join(f"<p>{x}</p>" for x in LONG)
+WANT = "\n\n".join(LONG)
+
+
+def test_table_without_marks():
+    """Pages whose article, menu, advert and footer are plain containers without names."""
+    import pyarrow.parquet as pq
+
+    short = 0
+    for r in pq.read_table("/root/testdata/sf0.1/pages.parquet").to_pylist():
+        html, want = r["html"], article(r["html"])
+        bare = re.sub(r"<(/?)(?:article|nav|footer)>", r"<\1div>", html).replace(' class="ad"', "")
+        got = m.main_text(bare)
+        paragraphs = want.split("\n\n")
+        if sum(map(len, paragraphs)) >= 600 and max(sum(map(len, paragraphs[i : i + 3])) for i in range(len(paragraphs))) >= 500:
+            assert got == want, r["page_id"]
+        else:  # so short that an advert of a line is as much as the article
+            short += 1
+    assert short < 400
+
+
+def test_names_weigh_only():
+    for wrap in (
+        '<div class="elementor-widget widget">{}</div><div>Another short block.</div>',
+        '<div id="content" class="content with-sidebar">{}</div>',
+        '<div id="content" class="content sidebar">{}<div class="sidebar"><p>Read also this one here.</p></div></div>',
+        '<div class="share"><article>{}</article></div>',
+        '<section id="comments-page" class="comment"><div>{}</div></section>',
+    ):
+        assert m.main_text(f"<body>{wrap.format(HTML)}<footer>Ours</footer></body>") == WANT, wrap
+    inner = '<article>{}<div class="share-price-analysis"><p>The price of a share rose.</p></div><h2 id="related-work">Related work</h2><p>Some.</p></article>'
+    assert m.main_text(PAGE.format(body=inner.format(HTML))) == f"{WANT}\n\nThe price of a share rose.\n\nRelated work\n\nSome."
+
+
+def test_short_ends_without_marks():
+    end = "<section><div><p>Short last words.</p></div></section>"
+    want = f"{WANT}\n\nShort last words."
+    for wrap in ("<div>{}{}</div>", "<div><div>{}</div>{}</div>", "<div>{}</div>{}", "<div class=text><div><div>{}</div></div><div>{}</div></div>"):
+        got = m.main_text(PAGE.format(body=wrap.format(HTML, end)))
+        assert got == want, wrap
+    parts = "".join(f"<div><p>{x}</p></div>" for x in LONG) + "<div><p>End.</p></div>"
+    assert m.main_text(PAGE.format(body=f"<div id=x>{parts}</div>")) == f"{WANT}\n\nEnd."
+
+
+def test_unnamed_comments():
+    comments = "".join(f"<div><b>Reader {i}</b><p>I have read all of this and think {i} times that it is a very long text indeed.</p></div>" for i in range(5))
+    for wrap in ("<div>{}<section><h3>Comments</h3>{}</section></div>", "<div>{}</div><div><h3>5 Comments</h3>{}</div>", "<article>{}<div><h4>Leave a comment</h4>{}</div></article>", "<div>{}<h3>Kommentare (5)</h3><div>{}</div></div>"):
+        assert m.main_text(f"<body>{wrap.format(HTML, comments)}</body>") == WANT, wrap
+    assert m.main_text(f"<article><h2>Comments</h2><p>On style.</p>{HTML}</article>").endswith(WANT)  # a chapter of the article
+
+
+def test_menus_and_teasers_without_names():
+    menu = "<div><ul>" + "".join(f"<li><a href=x>Part {i} of the site</a></li>" for i in range(9)) + "</ul></div>"
+    teaser = "<div><p>Read this too.</p></div>"
+    page = f"<body><div id=a>{menu}{teaser}<div><h1>Title</h1>{HTML}<p>End.</p></div>{teaser}{menu}<div>All rights reserved.</div></div></body>"
+    assert m.main_text(page) == f"Title\n\n{WANT}\n\nEnd."
+
+
+def brute_regions(counts):
+    """Maximal runs of lines at which a window with text begins, from the definition."""
+    at = lambda i: sum(counts[i + d] for d in range(m.WINDOW) if i + d < len(counts))
+    top = max((at(i) for i in range(len(counts))), default=0)
+    out = []
+    for a in range(len(counts)):
+        for b in range(a + 1, len(counts) + 1):
+            whole = all(at(i) > 0 for i in range(a, b)) and (a == 0 or not at(a - 1)) and (b == len(counts) or not at(b))
+            if whole and max(at(i) for i in range(a, b)) >= m.SHARE * top:
+                out.append((a, b))
+    return out
+
+
+def test_regions_equal_definition():
+    import random
+
+    rnd = random.Random(3)
+    for _ in range(400):
+        counts = [rnd.choice([0, 0, 0, 1, 5, 40, 300]) for _ in range(rnd.randint(0, 18))]
+        assert m.regions(counts) == brute_regions(counts), counts
+
+
+def test_large_pages_in_linear_time():
+    import time
+
+    pages = ["<div>" * 60_000 + "".join(f"<p>x<b>y</b></i>{i}" for i in range(30_000)), "<div><p>a</p>" * 60_000 + "<h3>5 Comments</h3>" + "</b>" * 60_000, "<div class=ad>" * 50_000 + HTML, "<nav>" * 50_000 + "<li>" * 50_000, "<" * 300_000, "<a " * 200_000, "&lt" * 200_000]
+    for page in pages:
+        t = time.time()
+        m.main_text(page)
+        assert time.time() - t < 10
