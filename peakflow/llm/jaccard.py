@@ -18,10 +18,18 @@ chance do not. Chains and such pairs give coarse groups that no link leaves. A
 group's sets then meet once: a breadth-first walk scans the group's
 inverted lists from each set for those not yet reached, so a thousand near
 copies cost a few scans. Groups above ``GROUP_SHINGLES`` are cut in blocks by
-size and hash, and only pairs of blocks of fitting sizes meet.
+size and hash. The sets of a block meet, and with them a few leaders of the
+whole group, which go to every block of fitting sizes: a large group of copies is
+one component after that. Only sets outside a group's largest component then
+meet the blocks of the rest, so the cost beyond one reading is the blocks of
+those sets times the blocks of the group.
 
-Equal sets are one node throughout. Sets are compared by 64-bit hashes of
-shingles, nodes by 64-bit hashes of sets.
+Equal sets are one node throughout. A node is a 64-bit hash of a set; sets that
+agree in it but not in a second one are found by counting and get the second as
+their node, so equality rests on 128 bits. Shingles are compared by 64-bit hashes.
+
+What is dealt out by hash goes to ``FAN`` buckets at most in one step; more
+buckets are made in a second one, so that no task cuts its rows finer than that.
 
 Defined cases: a null, empty or blank text has an empty set, no link, and is
 its own component; fewer than five words make one shingle; a null id is never
@@ -36,9 +44,11 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import graph
 from ._spark import materialise
@@ -47,7 +57,14 @@ from ._text import mix, release, shingle_sets
 SHINGLE = 5
 #: Shingles that one group of buckets, bins or blocks holds in a task at most (8 bytes each).
 BUCKET_SHINGLES = 1_500_000
-GROUP_SHINGLES = 1_000_000
+GROUP_SHINGLES = 500_000
+#: Buckets that one step deals out to; what a task holds of a bucket's rows before it cuts them finer, in bytes.
+FAN = 4096
+FINER_BYTES = 32 << 20
+#: Documents that a task counts at once, and buckets that hold those without words.
+COUNT_ROWS, BLANK_BUCKETS = 100_000, 64
+#: Leaders of each band of sizes of a large group, at most.
+LEADERS = 8
 #: Bins of whole groups, at least: small groups spread evenly.
 BINS_LEAST = 64
 #: Frequent shingles told to all tasks: at most so many (9 bytes each), and their least count.
@@ -57,10 +74,9 @@ FREQUENT_LEAST = 4
 TOLD = 500_000
 #: Lists of so many sets at most have their pairs counted.
 SHORT = 8
-#: Light sets are never larger than this, whatever the costs.
-LIGHT_MOST = 12
+#: Boundaries that are tried. A set of eight or more shingles always has more subsets than it costs as a heavy one.
+BOUNDARIES = range(65)
 _U = np.uint64
-_LOW = _U(0xFFFFFFFF)
 
 
 def needed(a: int, b: int) -> int:
@@ -106,78 +122,143 @@ def boundary(histogram: dict[int, int]) -> int:
                 total += many * (prefix(n) + n)
         return total
 
-    return min(range(0, LIGHT_MOST + 1), key=cost)
+    return min(BOUNDARIES, key=cost)
 
 
-def fingerprint(s: np.ndarray) -> int:
-    """64-bit hash of a set, as a signed number; 0 for the empty set."""
+def fingerprints(s: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit hashes of a set, as signed numbers; 0 for the empty set."""
     if not len(s):
-        return 0
+        return 0, 0
     ends = mix(np.array([np.bitwise_xor.reduce(mix(s)), np.add.reduce(s)], np.uint64))
-    return int(np.add.reduce(ends).astype(np.int64))
+    both = np.array([np.add.reduce(ends), mix(ends[:1])[0] ^ (ends[1] >> _U(1))], np.uint64)
+    return tuple(both.astype(np.int64).tolist())
+
+
+def fingerprint(s: np.ndarray, odd=frozenset()) -> int:
+    """The node of a set: its first hash, or the second where sets in ``odd`` differ in spite of the first."""
+    one, two = fingerprints(s)
+    return two if one in odd else one
 
 
 def _bucket(s: np.ndarray, n: int) -> np.ndarray:
     return (s >> _U(32)) % _U(n)
 
 
-def _split(values: np.ndarray, buckets: np.ndarray, n: int):
-    """(bucket, its values) for every bucket that has any."""
+def _key(s: np.ndarray, n: int, whole: bool) -> np.ndarray:
+    """What tells a shingle from others: bucket and lower half; if buckets are dealt out in two steps, the whole hash."""
+    return s if whole else (_bucket(s, n) << _U(32)) | (s & _U(0xFFFFFFFF))
+
+
+def _coarse(bucket: np.ndarray, fan: int) -> np.ndarray:
+    """The bucket of the first of two steps, or the only one."""
+    return bucket % _U(fan)
+
+
+def _dealt(values: np.ndarray, buckets: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """The buckets that have values, and each one's values as bytes: one sort, whatever the number of buckets."""
     order = np.argsort(buckets, kind="stable")
-    cuts = np.searchsorted(buckets[order], np.arange(n + 1, dtype=np.uint64))
-    for k in range(n):
-        if cuts[k] < cuts[k + 1]:
-            yield k, values[order[cuts[k] : cuts[k + 1]]]
+    of, values = buckets[order], np.ascontiguousarray(values[order])
+    first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))) if len(of) else np.zeros(0, np.int64)
+    offs = np.append(first, len(of)) * values.itemsize
+    return of[first].astype(np.int32), pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(offs.astype(np.int64)), pa.py_buffer(values.tobytes())]).cast(pa.binary())
+
+
+def _finer(df: DataFrame, n: int, kind: np.dtype, column: str, bucket) -> DataFrame:
+    """``df`` of (bucket, ``column``) in its ``n`` buckets, if the first step made coarse ones: rows that are not values pass."""
+    if n <= FAN:
+        return df
+    schema = df.schema
+
+    def scan(batches):
+        held, size = [], 0
+
+        def out():
+            keys, parts = _dealt(v := np.concatenate(held), bucket(v, n))
+            none = lambda f: pa.nulls(len(keys), to_arrow_type(f.dataType))
+            return pa.RecordBatch.from_arrays([pa.array(keys) if f.name == "bucket" else parts if f.name == column else none(f) for f in schema], names=schema.names)
+
+        for batch in batches:
+            values = batch.column(column)
+            rest = batch.filter(values.is_null())
+            if len(rest):
+                yield rest
+            held += [np.frombuffer(x, kind) for x in values.drop_null().to_pylist()]
+            size += values.nbytes
+            if size >= FINER_BYTES:
+                yield out()
+                held, size = [], 0
+        if held:
+            yield out()
+
+    return df.repartition("bucket").mapInArrow(scan, schema)
+
 
+# --- first reading: how often shingles occur, and each document's set size and fingerprints
 
-# --- first reading: how often shingles occur, and each document's set size and fingerprint
+_ROWS = {"ids": pa.int64(), "sizes": pa.int64(), "prints": pa.int64(), "seconds": pa.int64()}
+_ROWS_SQL = ", ".join(f"{c} array<bigint>" for c in _ROWS)
 
 
 def _count_map(n: int):
-    kind = pa.schema([("bucket", pa.int32()), ("low", pa.binary()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("prints", pa.list_(pa.int64()))])
+    """Shingles by bucket, and rows of documents dealt in turn to the buckets that a task has."""
+    kind = pa.schema([("bucket", pa.int32()), ("shingles", pa.binary()), *((c, pa.list_(t)) for c, t in _ROWS.items())])
 
     def scan(batches):
-        turn = 0
+        turn = int(mix(np.array([TaskContext.get().partitionId() + 1], np.uint64))[0] % _U(n))
+
+        def out(held, rows):
+            s = np.concatenate(held) if held else np.zeros(0, np.uint64)
+            if n > FAN:
+                keys, parts = _dealt(s, _coarse(_bucket(s, n), FAN))
+            else:  # the bucket says the upper half
+                s = np.sort(_key(s, n, False))
+                keys, parts = _dealt(s.astype(np.uint32), s >> _U(32))
+            if len(keys):
+                yield pa.RecordBatch.from_arrays([pa.array(keys), parts, *(pa.nulls(len(keys), pa.list_(t)) for t in _ROWS.values())], schema=kind)
+            most = min(n, BLANK_BUCKETS)
+            at = keys if len(keys) >= most else (turn + np.arange(most)) % n  # rows go to many buckets, whatever the shingles
+            of = (np.arange(len(rows)) + turn) % len(at)
+            order = np.argsort(of, kind="stable")
+            used = np.unique(of)
+            cuts = pa.array(np.append(np.searchsorted(of[order], used), len(rows)), pa.int32())
+            lists = [pa.ListArray.from_arrays(cuts, pa.array([rows[i][k] for i in order], t)) for k, t in enumerate(_ROWS.values())]
+            yield pa.RecordBatch.from_arrays([pa.array(at[used], pa.int32()), pa.nulls(len(used), pa.binary()), *lists], schema=kind)
+
+        held, rows, size = [], [], 0
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            held, rows, size = [], [], 0
-
-            def out(held, rows, turn):
-                s = np.concatenate(held) if held else np.zeros(0, np.uint64)
-                parts = {k: np.sort((v & _LOW).astype(np.uint32)).tobytes() for k, v in _split(s, _bucket(s, n), n)}
-                parts.setdefault(turn % n, b"")
-                own = [rows if k == turn % n else [] for k in parts]
-                return pa.RecordBatch.from_pydict({"bucket": list(parts), "low": list(parts.values()), "ids": [[r[0] for r in x] for x in own], "sizes": [[r[1] for r in x] for x in own], "prints": [[r[2] for r in x] for x in own]}, schema=kind)
-
             for i, s in shingle_sets(batch.column("text"), SHINGLE):
                 held.append(s)
-                rows.append((ids[i], len(s), fingerprint(s)))
+                rows.append((ids[i], len(s), *fingerprints(s)))
                 size += len(s)
-                if size >= 500_000:
-                    yield out(held, rows, turn)
-                    held, rows, size, turn = [], [], 0, turn + 1
-            if rows:
-                yield out(held, rows, turn)
-                turn += 1
+                if size >= 500_000 or len(rows) >= COUNT_ROWS:
+                    yield from out(held, rows)
+                    turn += len(rows)
+                    held, rows, size = [], [], 0
+        if rows:
+            yield from out(held, rows)
 
     return scan
 
 
 def _count_group(n: int):
     most = max(1, FREQUENT // n)
-    kind = pa.schema([("keys", pa.binary()), ("classes", pa.binary()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("prints", pa.list_(pa.int64()))])
+    kind = pa.schema([("keys", pa.binary()), ("classes", pa.binary()), *((c, pa.list_(t)) for c, t in _ROWS.items())])
 
     def group(table: pa.Table) -> pa.Table:
-        low = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("low").to_pylist()])
-        values, counts = np.unique(low, return_counts=True)
+        half = np.uint32 if n <= FAN else np.uint64
+        s = [np.frombuffer(x, half) for x in table.column("shingles").drop_null().to_pylist()]
+        values, counts = np.unique(np.concatenate([*s, np.zeros(0, half)]), return_counts=True)
         often = np.flatnonzero(counts >= FREQUENT_LEAST)
         if len(often) > most:
             often = np.sort(often[np.argsort(-counts[often], kind="stable")[:most]])
-        bucket = table.column("bucket")[0].as_py()
-        keys = values[often].astype(np.uint64) | _U(bucket) << _U(32)
         classes = np.minimum(15, np.log2(counts[often])).astype(np.uint8)
-        flat = lambda c: [x for v in table.column(c).to_pylist() for x in v]
-        return pa.table({"keys": [keys.tobytes()], "classes": [classes.tobytes()], "ids": [flat("ids")], "sizes": [flat("sizes")], "prints": [flat("prints")]}, schema=kind)
+        keys = values[often].astype(np.uint64)
+        if n <= FAN:
+            keys |= _U(table.column("bucket")[0].as_py()) << _U(32)
+        rows = [table.column(c).combine_chunks().flatten() for c in _ROWS]
+        rows = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in rows]
+        return pa.Table.from_arrays([pa.array([keys.tobytes()]), pa.array([classes.tobytes()]), *rows], schema=kind)
 
     return group
 
@@ -185,10 +266,9 @@ def _count_group(n: int):
 # --- second reading: list entries of heavy sets, subsets of light ones
 
 
-def ordered_prefix(s: np.ndarray, keys: np.ndarray, classes: np.ndarray, n_buckets: int) -> np.ndarray:
+def ordered_prefix(s: np.ndarray, keys: np.ndarray, classes: np.ndarray, n_buckets: int, whole: bool = False) -> np.ndarray:
     """The first ``prefix(n)`` shingles of a set: rare ones first, then by hash."""
-    own = (_bucket(s, n_buckets) << _U(32)) | (s & _LOW)
-    rank = np.zeros(len(s), np.uint64)
+    own, rank = _key(s, n_buckets, whole), np.zeros(len(s), np.uint64)
     if len(keys):
         at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
         rank = np.where(keys[at] == own, classes[at], 0).astype(np.uint64)
@@ -209,7 +289,11 @@ def subset_keys(s: np.ndarray) -> list[tuple[int, int]]:
 _ENTRY = np.dtype([("token", "<u8"), ("node", "<i8"), ("n", "<i4"), ("subset", "<i4")])
 
 
-def _post_map(handle, x: int, n_counted: int, n: int):
+def _entry_bucket(e: np.ndarray, n: int) -> np.ndarray:
+    return _bucket(mix(e["token"]), n)
+
+
+def _post_map(handle, x: int, odd: frozenset, n: int):
     kind = pa.schema([("bucket", pa.int32()), ("entries", pa.binary())])
 
     def scan(batches):
@@ -222,11 +306,11 @@ def _post_map(handle, x: int, n_counted: int, n: int):
                 e["token"] = np.concatenate(tokens)
                 each = [len(t) for t in tokens]
                 e["node"], e["n"], e["subset"] = np.repeat(nodes, each), np.repeat(sizes, each), np.repeat(subsets, each)
-                parts = dict(_split(e, _bucket(mix(e["token"]), n), n))
-                return pa.RecordBatch.from_pydict({"bucket": list(parts), "entries": [v.tobytes() for v in parts.values()]}, schema=kind)
+                keys, parts = _dealt(e, _coarse(_entry_bucket(e, n), FAN))
+                return pa.RecordBatch.from_arrays([pa.array(keys), parts], schema=kind)
 
             for _, s in shingle_sets(batch.column("text"), SHINGLE):
-                if not len(s) or (node := fingerprint(s)) in seen:
+                if not len(s) or (node := fingerprint(s, odd)) in seen:
                     continue
                 seen.add(node)  # equal sets of a batch are one node already
                 added = []
@@ -235,7 +319,7 @@ def _post_map(handle, x: int, n_counted: int, n: int):
                     for o in subset_sizes(len(s)):
                         added.append((np.array([k for k, size in own if size == o], np.uint64), o))
                 if len(s) > x or 4 * len(s) >= 3 * (x + 1):
-                    added.append((ordered_prefix(s, keys, classes, n_counted), 0))
+                    added.append((ordered_prefix(s, keys, classes, n, n > FAN), 0))
                 for t, o in added:
                     tokens.append(t)
                     nodes.append(node)
@@ -311,6 +395,10 @@ _LISTS_SQL = "bucket int, pairs binary, a array<bigint>, b array<bigint>, sure b
 _LISTS = pa.schema([("bucket", pa.int32()), ("pairs", pa.binary()), ("a", pa.list_(pa.int64())), ("b", pa.list_(pa.int64())), ("sure", pa.bool_())])
 
 
+def _pair_bucket(p: np.ndarray, n: int) -> np.ndarray:
+    return mix(p["a"].astype(np.uint64) ^ mix(p["b"].astype(np.uint64))) % _U(n)
+
+
 def _list_group(n: int):
     """Counted pairs of short lists by bucket; forests of long lists' chains and of shared subsets (sure)."""
 
@@ -336,10 +424,11 @@ def _list_group(n: int):
             rows.append((None, None, [p for p, _ in edges], [q for _, q in edges], sure))
         short = (e["subset"] == 0) & ~long
         pairs = _short_pairs(e[short], number[short])
-        at = mix(pairs["a"].astype(np.uint64) ^ mix(pairs["b"].astype(np.uint64))) % _U(n)
-        rows += [(k, v.tobytes(), [], [], None) for k, v in _split(pairs, at, n)]
+        keys, parts = _dealt(pairs, _coarse(_pair_bucket(pairs, n), FAN))
+        edges = pa.table([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_LISTS)], schema=_LISTS)
+        more = pa.table([pa.array(keys), parts, *(pa.nulls(len(keys), f.type) for f in list(_LISTS)[2:])], schema=_LISTS)
         release()
-        return pa.table([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_LISTS)], schema=_LISTS)
+        return pa.concat_tables([edges, more])
 
     return group
 
@@ -398,23 +487,29 @@ def linked(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return edges
 
 
-def _sets_map(batches):
-    kind = pa.schema([("part", pa.string()), ("node", pa.int64()), ("shingles", pa.binary())])
-    for batch in batches:
-        parts, want = batch.column("parts").to_pylist(), batch.column("node").to_pylist()
-        rows, held = [], 0
-        for i, s in shingle_sets(batch.column("text"), SHINGLE):
-            if fingerprint(s) == want[i]:  # an id may stand for several texts
-                rows += [(p, want[i], s.tobytes()) for p in parts[i]]
-                held += len(s) * len(parts[i])
-            if held >= 500_000:
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(kind)], schema=kind)
-                rows, held = [], 0
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(kind)], schema=kind)
+def _sets_map(odd: frozenset):
+    kind = pa.schema([("node", pa.int64()), ("part", pa.string()), ("shingles", pa.binary())])
+
+    def scan(batches):
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(kind)], schema=kind)
+
+        for batch in batches:
+            part, want, rows, held = batch.column("part").to_pylist(), batch.column("node").to_pylist(), [], 0
+            for i, s in shingle_sets(batch.column("text"), SHINGLE):
+                if fingerprint(s, odd) == want[i]:  # an id may stand for several texts
+                    rows.append((want[i], part[i], s.tobytes()))
+                    held += len(s)
+                if held >= 500_000:
+                    yield out()
+                    rows, held = [], 0
+            yield out()
+
+    return scan
 
 
 def _meet_group(table: pa.Table) -> pa.Table:
-    """One bin of whole groups, or one pair of blocks."""
+    """One bin of whole groups, one block with its leaders, or one pair of blocks."""
     by: dict[str, dict[int, np.ndarray]] = {}
     for part, node, raw in zip(*(table.column(c).to_pylist() for c in ("part", "node", "shingles")), strict=True):
         by.setdefault(part, {})[node] = np.frombuffer(raw, np.uint64)
@@ -426,74 +521,125 @@ def _meet_group(table: pa.Table) -> pa.Table:
     return _edge_table((out, True))
 
 
-_LEVEL = 1.05
+_MET = "a bigint, b bigint, sure boolean"
 
 
-def _parts(nodes: DataFrame) -> DataFrame:
-    """(node, parts) of (node, root, n): where a node's set goes.
+def _meet(sets: DataFrame, parts: DataFrame) -> DataFrame:
+    """Edges of the sets (node, shingles) that ``parts`` (node, part) brings together."""
+    side = F.broadcast(parts) if parts.count() <= TOLD else parts
+    return sets.join(side, "node").select("part", "node", "shingles").groupBy("part").applyInArrow(_meet_group, _MET).select("a", "b")
 
-    Groups within the limit are one part each. Larger ones are cut in blocks by
-    level (powers of 1.05 of the size) and hash; a part is then a pair of blocks
-    whose levels can hold linked sets. No step gathers a group's rows.
-    """
-    group = nodes.groupBy("root").agg(F.sum("n").alias("total"), F.countDistinct("node").alias("many")).filter("many > 1")
-    placed = nodes.join(group, "root")
-    whole = placed.filter(F.col("total") <= GROUP_SHINGLES).select("node", "doc_id", F.array(F.concat(F.lit("g"), F.col("root").cast("string"))).alias("parts"))
-    big = placed.filter(F.col("total") > GROUP_SHINGLES).withColumn("level", F.floor(F.log(F.col("n")) / F.log(F.lit(_LEVEL))).cast("int"))
-    cut = big.groupBy("root", "level").agg(F.ceil(F.sum("n") / F.lit(GROUP_SHINGLES / 2)).cast("int").alias("k"))
-    own = big.join(cut, ["root", "level"]).withColumn("h", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-    reach = int(np.ceil(np.log(4 / 3) / np.log(_LEVEL))) + 1
-    other = cut.select("root", F.col("level").alias("level2"), F.col("k").alias("k2"))
-    meet = own.join(other, "root").filter(F.abs(F.col("level") - F.col("level2")) <= reach)
-    one, two = F.struct("level", "h"), F.struct(F.col("level2").alias("level"), F.col("h2").alias("h"))
-    meet = meet.withColumn("h2", F.explode(F.sequence(F.lit(0), F.col("k2") - 1)))
-    name = F.concat_ws("/", F.lit("p"), "root", *[c for side in (F.least(one, two), F.greatest(one, two)) for c in (side["level"], side["h"])])
-    pairs = meet.select("node", "doc_id", name.alias("part")).groupBy("node", "doc_id").agg(F.collect_set("part").alias("parts"))
-    return whole.unionByName(pairs)
-
-
-def nodes_of(docs: DataFrame, n: int) -> tuple[DataFrame, bytes, bytes]:
-    """First reading: (doc_id, n, node) of every document, and the frequent shingles' keys and classes."""
-    counted = docs.mapInArrow(_count_map(n), "bucket int, low binary, ids array<bigint>, sizes array<bigint>, prints array<bigint>")
-    counted = counted.groupBy("bucket").applyInArrow(_count_group(n), "keys binary, classes binary, ids array<bigint>, sizes array<bigint>, prints array<bigint>")
+
+def _banded(big: DataFrame) -> DataFrame:
+    """Nodes of large groups with their band of sizes: linked sets are in one band or two neighbours."""
+    return big.withColumn("band", F.floor(F.log(F.col("n") + 0.0) / F.lit(float(np.log(4 / 3)))).cast("int"))
+
+
+def _blocks(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``nodes`` (root, band, node, n) with a block ``h`` of their band, and the number ``k`` of each (root, band)'s blocks."""
+    cut = nodes.groupBy("root", "band").agg(F.ceil(F.sum("n") / F.lit(GROUP_SHINGLES / 2)).cast("int").alias("k"))
+    return nodes.join(cut, ["root", "band"]).withColumn("h", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).drop("k"), cut
+
+
+def _to_blocks(nodes: DataFrame, cut: DataFrame) -> DataFrame:
+    """``nodes`` (root, band, node, ...) once for each block of ``cut`` that has fitting sizes, as ``to_band`` and ``to_h``."""
+    near = nodes.withColumn("to_band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    near = near.join(cut.withColumnRenamed("band", "to_band"), ["root", "to_band"])
+    return near.withColumn("to_h", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).drop("k")
+
+
+def _large(big: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges (a, b) that span the components of the large groups' nodes (root, node, n). No step gathers a group's rows."""
+    own, cut = _blocks(_banded(big))
+    own = materialise(own, "blocks")
+    name = lambda *c: F.concat_ws("/", *c)
+    stripes = F.greatest(F.lit(1), F.least(F.lit(LEADERS), F.floor(F.lit(GROUP_SHINGLES / 12) / F.pow(F.lit(4 / 3), F.col("band") + 1)))).cast("int")
+    lead = own.groupBy("root", "band", F.pmod(F.xxhash64("node", F.lit(1)), stripes).alias("stripe")).agg(F.min(F.struct(F.xxhash64("node", F.lit(2)).alias("x"), "node")).alias("first"))
+    lead = _to_blocks(lead.select("root", "band", F.col("first.node").alias("node")), cut).select("node", name("root", "to_band", "to_h").alias("part"))
+    parts = own.select("node", name("root", "band", "h").alias("part")).unionByName(lead).distinct()
+    first = materialise(_meet(sets, materialise(parts, "parts")), "met")
+    found = graph.components(first)
+    now = own.join(found.select("node", F.col("root").alias("part_of")), "node", "left").withColumn("part_of", F.coalesce("part_of", "node"))
+    weighed = now.groupBy("root", "part_of").agg(F.sum("n").alias("held"))
+    main = weighed.groupBy("root").agg(F.max_by("part_of", F.struct("held", "part_of")).alias("main"), F.count(F.lit(1)).alias("many")).filter("many > 1")
+    split = now.join(main, "root")
+    rest = split.filter("part_of <> main").select("root", "band", "node", "n")
+    if rest.isEmpty():
+        return first
+    rest, rest_cut = _blocks(materialise(rest, "rest"))
+    pair = lambda a, b: name(F.lit("q"), "root", *a, *b)
+    one = _to_blocks(rest.select("root", "band", "h", "node"), cut).select("node", pair(("band", "h"), ("to_band", "to_h")).alias("part"))
+    two = _to_blocks(split.select("root", "band", "h", "node"), rest_cut).select("node", pair(("to_band", "to_h"), ("band", "h")).alias("part"))
+    return first.unionByName(materialise(_meet(sets, materialise(one.unionByName(two).distinct(), "pairs")), "met"))
+
+
+def nodes_of(docs: DataFrame, n: int) -> tuple[DataFrame, frozenset, bytes, bytes]:
+    """First reading: (doc_id, n, node) of every document, first hashes that do not tell sets apart, and the frequent shingles' keys and classes."""
+    counted = docs.mapInArrow(_count_map(n), f"bucket int, shingles binary, {_ROWS_SQL}")
+    counted = _finer(counted, n, np.dtype("<u8"), "shingles", _bucket)
+    counted = counted.groupBy("bucket").applyInArrow(_count_group(n), f"keys binary, classes binary, {_ROWS_SQL}")
     counted = materialise(counted, "shingles")
-    often = counted.select("keys", "classes").collect()
+    told = counted.select("keys", "classes").filter(F.octet_length("classes") > 0)
+    if n > FREQUENT:  # one shingle a bucket: the most frequent of those
+        told = told.orderBy(F.desc(F.hex("classes")), "keys").limit(FREQUENT)
+    often = told.collect()
     keys = np.concatenate([np.frombuffer(r.keys, np.uint64) for r in often] or [np.zeros(0, np.uint64)])
     classes = np.concatenate([np.frombuffer(r.classes, np.uint8) for r in often] or [np.zeros(0, np.uint8)])
     order = np.argsort(keys)
-    slim = counted.select(F.explode(F.arrays_zip("ids", "sizes", "prints")).alias("x")).select(F.col("x.ids").alias("doc_id"), F.col("x.sizes").alias("n"), F.col("x.prints").alias("node"))
-    return slim, keys[order].tobytes(), classes[order].tobytes()
+    slim = counted.select(F.explode(F.arrays_zip(*_ROWS)).alias("x")).select(F.col("x.ids").alias("doc_id"), F.col("x.sizes").alias("n"), F.col("x.prints").alias("node"), F.col("x.seconds").alias("second"))
+    slim, odd = _told_apart(slim)
+    return slim, odd, keys[order].tobytes(), classes[order].tobytes()
+
+
+def _told_apart(slim: DataFrame) -> tuple[DataFrame, frozenset]:
+    """``slim`` with nodes that tell sets apart, and the first hashes that do not.
+
+    Of N different sets about N * N / 2**65 agree in one by chance: 27,000 of a million million.
+    """
+    unlike = slim.filter("n > 0").groupBy("node").agg(F.min("second").alias("a"), F.max("second").alias("b")).filter("a <> b")
+    odd = frozenset(r.node for r in unlike.select("node").collect())
+    if odd:
+        slim = slim.withColumn("node", F.when(F.col("node").isin(*odd), F.col("second")).otherwise(F.col("node")))
+    return slim.drop("second"), odd
 
 
-def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, n, node) of all documents, sure edges (a, b) between nodes).
+def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, frozenset]:
+    """((doc_id, n, node) of all documents, sure edges (a, b) between nodes, hashes that do not tell sets apart).
 
     The edges span each component; they are not all pairs.
     """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(8, -(-size // (6 * BUCKET_SHINGLES)))
-    slim, keys, classes = nodes_of(docs, n)
+    slim, odd, keys, classes = nodes_of(docs, n)
     histogram = {r.n: r.many for r in slim.filter(F.col("n").between(1, 64)).groupBy("n").agg(F.count(F.lit(1)).alias("many")).collect()}
     x = boundary(histogram)
     handle = spark.sparkContext.broadcast((keys, classes))
-    lists = docs.select("text").mapInArrow(_post_map(handle, x, n, n), "bucket int, entries binary")
+    lists = _finer(docs.select("text").mapInArrow(_post_map(handle, x, odd, n), "bucket int, entries binary"), n, _ENTRY, "entries", _entry_bucket)
     lists = materialise(lists.groupBy("bucket").applyInArrow(_list_group(n), _LISTS_SQL), "lists")
     edges = lists.filter("sure is not null").select("sure", F.explode(F.arrays_zip("a", "b")).alias("x")).select("x.a", "x.b", "sure")
-    often = lists.filter("pairs is not null").select("bucket", "pairs").groupBy("bucket").applyInArrow(_pair_group, "a bigint, b bigint, sure boolean")
+    often = _finer(lists.filter("pairs is not null").select("bucket", "pairs"), n, _PAIR, "pairs", _pair_bucket)
+    often = often.groupBy("bucket").applyInArrow(_pair_group, _MET)
     coarse = graph.components(edges.filter("not sure").unionByName(often).select("a", "b"))
     reps = slim.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-    places = materialise(_parts(reps.join(coarse, "node")), "places")
-    few = (places.agg(F.sum(F.size("parts"))).first()[0] or 0) <= TOLD
-    side = F.broadcast(places) if few else places
-    texts = docs.alias("d").join(side.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id"))).select("d.text", "p.node", "p.parts")
-    sets = texts.mapInArrow(_sets_map, "part string, node bigint, shingles binary")
-    total = places.join(reps.select("node", "n"), "node").agg(F.sum(F.when(F.col("parts")[0].startswith("g"), F.col("n")))).first()[0] or 0
-    bins = max(BINS_LEAST, -(-4 * total // GROUP_SHINGLES))
-    key = F.when(F.col("part").startswith("g"), F.concat(F.lit("b"), F.pmod(F.xxhash64("part"), F.lit(bins)).cast("string"))).otherwise(F.col("part"))
-    met = sets.withColumn("bin", key).groupBy("bin").applyInArrow(_meet_group, "a bigint, b bigint, sure boolean")
-    sure = materialise(met.unionByName(edges.filter("sure")).select("a", "b"), "links")
-    return slim, sure
+    nodes = reps.join(coarse, "node")
+    totals = nodes.groupBy("root").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("many")).filter("many > 1")
+    fits = F.col("total") <= GROUP_SHINGLES
+    places = nodes.join(totals, "root").withColumn("part", F.when(fits, F.concat(F.lit("g"), F.col("root").cast("string"))))
+    places = materialise(places, "places")
+    many, held, large = places.agg(F.count(F.lit(1)), F.sum(F.when(fits, F.col("n"))), F.coalesce(F.max("total") > GROUP_SHINGLES, F.lit(False))).first()
+    side = F.broadcast(places) if many <= TOLD else places
+    texts = docs.alias("d").join(side.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id"))).select("d.text", "p.node", "p.part")
+    sets = texts.mapInArrow(_sets_map(odd), "node bigint, part string, shingles binary")
+    if large:  # read more than once
+        sets = materialise(sets, "sets")
+    bin_ = F.pmod(F.xxhash64("part"), F.lit(max(BINS_LEAST, -(-4 * (held or 0) // GROUP_SHINGLES))))
+    met = sets.filter("part is not null").withColumn("bin", bin_).groupBy("bin").applyInArrow(_meet_group, _MET).select("a", "b")
+    if large:
+        rest = sets.filter("part is null").select("node", "shingles")
+        met = met.unionByName(_large(places.filter("part is null").select("root", "node", "n"), rest))
+    sure = materialise(met.unionByName(edges.filter("sure").select("a", "b")), "links")
+    return slim, sure, odd
 
 
 def components_of(docs: DataFrame) -> DataFrame:
@@ -501,7 +647,11 @@ def components_of(docs: DataFrame) -> DataFrame:
 
     ``docs`` needs doc_id and text.
     """
-    slim, sure = links(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    return _components(docs)[0]
+
+
+def _components(docs: DataFrame) -> tuple[DataFrame, frozenset]:
+    slim, sure, odd = links(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     roots = graph.components(sure)
     least = slim.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left")
     by_root = least.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("component_id"))
@@ -509,13 +659,17 @@ def components_of(docs: DataFrame) -> DataFrame:
     # Empty sets have no node of their own; spread them so that they don't meet in one task.
     own = slim.withColumn("key", F.when(F.col("n") > 0, F.col("node")).otherwise(F.xxhash64("doc_id")))
     out = own.join(of, "key", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "node", F.when(F.col("n") > 0, F.col("root")).alias("root"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "node", F.when(F.col("n") > 0, F.col("root")).alias("root"))
+    return out, odd
+
 
+def _with_node(odd: frozenset):
+    def scan(batches):
+        for batch in batches:
+            prints = [fingerprint(s, odd) for _, s in shingle_sets(batch.column("text"), SHINGLE)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(prints, pa.int64())], names=["row", "node"])
 
-def _with_node(batches):
-    for batch in batches:
-        prints = [fingerprint(s) for _, s in shingle_sets(batch.column("text"), SHINGLE)]
-        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(prints, pa.int64())], names=["row", "node"])
+    return scan
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
@@ -525,7 +679,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     texts read again and told apart by their sets too. Documents without words
     are in no group and all stay.
     """
-    found = materialise(components_of(docs).filter("n_shingles > 0"), "components")
+    found, unlike = _components(docs)
+    found = materialise(found.filter("n_shingles > 0"), "components")
     best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("best"))
     odd = materialise(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("many")).filter("many > 1 or doc_id is null").select("doc_id"), "odd")
     chosen = found.join(best, "root")
@@ -538,7 +693,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     if odd.count():
         again = held.join(tell(odd.select(F.col("doc_id").alias("odd"))), same("odd"), "left_semi").select("row", F.col("row.text").alias("text"))
         kind = again.select("row").schema.add("node", T.LongType())
-        again = again.mapInArrow(_with_node, kind)
+        again = again.mapInArrow(_with_node(unlike), kind)
         keep = best.select(F.col("best.doc_id").alias("id"), F.col("best.node").alias("best_node"))
         first = again.join(keep, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("node") == F.col("best_node")))
         first = first.groupBy("id", "best_node").agg(F.first("row").alias("row")).select("row")

@@ -113,3 +113,48 @@ def test_sql_twin(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = sorted(tuple(r) for r in j.components_of(docs).select("doc_id", "n_shingles", "component_id").collect())
     assert got == sorted(con.sql(ORACLE_SQL["op9_jaccard_join"]).select("doc_id", "n_shingles", "component_id").fetchall())
+
+
+def test_buckets_in_two_steps(spark, monkeypatch):
+    monkeypatch.setattr(j, "FAN", 3)
+    monkeypatch.setattr(j, "BUCKET_SHINGLES", 60)
+    monkeypatch.setattr(j, "FINER_BYTES", 2000)
+    check(spark, made(random.Random(12)))
+
+
+def test_sets_that_agree_in_one_hash(spark, monkeypatch):
+    """Half of the first hashes are said not to tell sets apart; their sets then go by the second."""
+
+    def told(slim):
+        odd = frozenset(r.node for r in slim.filter("n > 0 and node % 2 = 0").select("node").distinct().collect())
+        assert len(odd) > 20
+        return slim.withColumn("node", F.when(F.col("node").isin(*odd), F.col("second")).otherwise(F.col("node"))).drop("second"), odd
+
+    monkeypatch.setattr(j, "_told_apart", told)
+    texts = made(random.Random(13))
+    check(spark, texts)
+    df = spark.createDataFrame([(i, t) for i, t in texts.items()] + [(1, "an id that comes twice " * 9)], "doc_id long, text string")
+    assert j.deduplicate(df).count() > 0
+
+
+def test_unlike_sets_are_found(spark):
+    rows = [(1, 5, 7, 1), (2, 5, 7, 1), (3, 5, 8, 1), (4, 5, 8, 2), (5, 0, 0, 0)]
+    slim, odd = j._told_apart(spark.createDataFrame(rows, "doc_id long, n long, node long, second long"))
+    assert odd == {8} and sorted(r.node for r in slim.collect()) == [0, 1, 2, 7, 7]
+
+
+def test_documents_are_dealt_evenly(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    blank = spark.range(30000).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    for df, many, parts in ((docs, 10000, 50), (blank, 30000, 50)):
+        got = df.repartition(parts).mapInArrow(j._count_map(57), f"bucket int, shingles binary, {j._ROWS_SQL}").filter("ids is not null")
+        by = [r[1] for r in got.groupBy("bucket").agg(F.sum(F.size("ids"))).collect()]
+        assert sum(by) == many and len(by) == 57 and max(by) <= 2 * many / 57
+
+
+def test_very_long_texts(spark):
+    rnd = random.Random(14)
+    ws = [f"w{rnd.randrange(5000)}" for _ in range(150_000)]
+    near = [w if rnd.random() > 0.02 else "new" for w in ws]
+    far = [w if rnd.random() > 0.2 else "new" for w in ws]
+    check(spark, {1: " ".join(far), 2: " ".join(near), 3: " ".join(ws), 4: " ".join(ws[:100]), 5: "w" * 2_000_000, 6: " ".join(ws)})
