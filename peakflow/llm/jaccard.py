@@ -57,7 +57,7 @@ from ._text import mix, release, shingle_sets
 SHINGLE = 5
 #: Shingles that one group of buckets, bins or blocks holds in a task at most (8 bytes each).
 BUCKET_SHINGLES = 1_500_000
-GROUP_SHINGLES = 500_000
+GROUP_SHINGLES = 150_000
 #: Buckets that one step deals out to; what a task holds of a bucket's rows before it cuts them finer, in bytes.
 FAN = 4096
 FINER_BYTES = 32 << 20
