@@ -92,7 +92,7 @@ _MORE = {
     "national_id": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     "person": re.compile(r"(?<!\w)(?:(?:%s)\.?|(?:%s))\x20[A-Z][a-zß-ÿ]{1,30}(?:[\x20-][A-Z][a-zß-ÿ]{1,30})?(?!\w)" % ("|".join(TITLES), "|".join(sorted(GIVEN_NAMES)))),
-    "long_phone": re.compile(r"(?<![0-9+])\+[0-9]{1,3}(?:[\x20.-]?\([0-9]{2,4}\))?(?:[\x20.-][0-9]{2,4}){2,4}(?![0-9])"),
+    "long_phone": re.compile(r"(?<![0-9+])\+[0-9]{1,3}(?:[\x20.-]?\([0-9]{2,4}\))?(?:[\x20.-][0-9]{2,4}){2,4}(?![.-]?[0-9])"),
     "address": re.compile(
         r"(?<!\w)(?:[0-9]{1,5}\x20(?:[A-Z][a-z]{1,20}\x20){1,3}(?:Street|Avenue|Road|Lane|Drive|Boulevard|Court|Square)"
         r"|[A-ZÄÖÜ][a-zäöüß]{2,20}(?:straße|strasse|weg|platz|allee|gasse)\x20[0-9]{1,4}[a-z]?"
@@ -145,14 +145,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def more_candidates(text: str) -> list[tuple[int, int, int]]:
-    """Spans of the looser patterns, which only the classifier can accept; of those that overlap the first one."""
+    """Sorted spans of the looser patterns, which only the classifier can accept."""
     out = []
     digits = _DIGITS.search(text) is not None
     for kind, pattern in _MORE.items():
         if digits or kind == "person":
             out += [(m.start(), KINDS.index(kind), m.end()) for m in pattern.finditer(text)]
+    return sorted(out, key=lambda x: (x[0], -x[2], x[1]))
+
+
+def firsts(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of spans that overlap, the first."""
     kept, last = [], 0
-    for x in sorted(out, key=lambda x: (x[0], -x[2], x[1])):
+    for x in spans:
         if x[0] >= last:
             kept.append(x)
             last = x[2]
@@ -260,7 +265,7 @@ def _scan(batches):
             text = value.as_py() or ""
             base = base_spans(text)
             said = ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in base)
-            seen = base + apart(more_candidates(text), base)
+            seen = base + firsts(apart(more_candidates(text), base))
             made = [(k, votes(text, a, k, b), b - a) for a, k, b in seen]
             out["doc_id"].append(doc_id)
             n = Counter(k for _, k, _ in base)

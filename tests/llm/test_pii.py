@@ -136,3 +136,10 @@ def test_words_in_no_list_decide(spark):
     df = spark.createDataFrame(list(enumerate(same + texts)), "doc_id long, text string")
     got = {r.doc_id: r.spans for r in pii.private_report(df).collect()}
     assert not got[0] and got[1] == "account:5:13" and not got[3] and got[2] == "birth_date:5:15"
+
+
+def test_phone_before_other_digits(spark):
+    """The fixed pattern runs on into the address or number after it and fails; the looser one stops."""
+    text = "des +1 (826) 555-4081 190.137.223.204 du"
+    got = check(spark, [text] * 30)
+    assert got[0].spans == "long_phone:4:21,ip:22:37"
