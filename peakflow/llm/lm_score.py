@@ -10,11 +10,13 @@ others share hashed tail entries. A word in a tail entry has the probability of
 the entry times its own share of it, ln P(word | entry), by its count in the
 corpus: the words of texts are dealt out by hash, counted, and their shares are
 summed by text. An entry's counts and one more, which all unseen words share,
-make up its whole. Training is spread out: every task runs gradient steps on
-the words it reads, from the weights of the last round, each word in one of the
-rounds; the tasks' weights are then averaged in two steps, weighted by words seen. What is
-gathered (word counts, weights, words of tail entries) so grows with the input;
-what reaches the driver is one vocabulary and one set of weights.
+make up its whole. Training is spread out: texts are dealt out to shards by
+hash, as many as the corpus's words ask for, and sorted in each; every shard
+runs gradient steps from the weights of the last round, each word in one of the
+rounds; the shards' weights are then averaged in steps, weighted by words seen.
+So neither files nor the cluster's size change the weights, but for rounding.
+What is gathered (word counts, weights, words of tail entries) grows with the
+input; what reaches the driver is one vocabulary and one set of weights.
 
 Defined cases: null, empty and blank texts have no words and score 0; places
 beyond an end of a text are a padding entry; repeated rows are learnt from and
@@ -31,24 +33,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import materialise
-from ._text import mix, word_hashes
+from ._text import buffers, mix, word_hashes
 
-CLASSES, PER_CLASS = 32, 32
+CLASSES, PER_CLASS = 128, 128
 WORDS = CLASSES * PER_CLASS
 #: Vocabulary entries for frequent words; the rest are shared by hash.
-FREQUENT = 768
+FREQUENT = WORDS - 256
 SIDE = 2
 WIDTH = 24
 #: Rounds of averaging; shares that the words are dealt into, one for each round, so every word is learnt from; words in a step.
 ROUNDS = 2
 LEARN_ONE_IN = ROUNDS
-BATCH = 2048
+BATCH = 4096
 RATE = 0.05
-_COUNT_BUCKETS = 64
+#: Words in a shard that is trained on by itself; least groups that words are counted in.
+SHARD_WORDS = 4_000_000
+COUNT_GROUPS = 64
 #: Tail entries of a full vocabulary; tail words and texts sent at once; least groups that tail words are dealt into, and words in one.
 REST = WORDS - FREQUENT
 SENT_WORDS, SENT_TEXTS = 1_000_000, 100_000
 SHARE_GROUPS, SHARE_GROUP_WORDS = 32, 2_000_000
+#: Weights travel as half floats.
+_SENT_AS = np.float16
 _U = np.uint64
 _SHAPES = {"emb": (WORDS + 1, WIDTH), "place": (2 * SIDE, WIDTH), "w": (WIDTH, WIDTH), "b": (WIDTH,), "top": (WIDTH, CLASSES), "leaf": (CLASSES, WIDTH, PER_CLASS), "tb": (CLASSES,), "lb": (CLASSES, PER_CLASS)}
 
@@ -83,29 +89,35 @@ class Net:
         x = np.einsum("nkd,kd->nd", e, self.place, optimize=False)
         return e, x, np.tanh(x @ self.w + self.b)
 
+    def _by_class(self, h: np.ndarray, word: np.ndarray):
+        """Rows in order of their words' classes, each class's slice of them, and the second level's logits in that order."""
+        cls = (word // PER_CLASS).astype(np.uint16)
+        order = np.argsort(cls, kind="stable")
+        cls, h = cls[order], h[order]
+        cuts = np.searchsorted(cls, np.arange(CLASSES + 1))
+        present = np.flatnonzero(cuts[1:] > cuts[:-1])
+        z = np.empty((len(word), PER_CLASS), np.float32)
+        for c in present:
+            rows = z[cuts[c] : cuts[c + 1]]
+            np.matmul(h[cuts[c] : cuts[c + 1]], self.leaf[c], out=rows)
+            rows += self.lb[c]
+        return order, h, present, cuts, z
+
     def log_probs(self, around: np.ndarray, word: np.ndarray) -> np.ndarray:
         """ln p(word | around) for each row; rows are grouped by class for the second level."""
         _, _, h = self._hidden(around)
-        top = h @ self.top + self.tb
-        top -= top.max(1, keepdims=True)
-        cls, leaf = word // PER_CLASS, word % PER_CLASS
-        at = np.arange(len(word))
-        out = top[at, cls] - np.log(np.exp(top).sum(1))
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            rows = order[cuts[c] : cuts[c + 1]]
-            if len(rows):
-                z = h[rows] @ self.leaf[c] + self.lb[c]
-                z -= z.max(1, keepdims=True)
-                out[rows] += z[np.arange(len(rows)), leaf[rows]] - np.log(np.exp(z).sum(1))
-        return out
+        order, _, _, _, z = self._by_class(h, word)
+        out = np.empty(len(word), np.float32)
+        out[order] = _log_soft(z, (word % PER_CLASS)[order])
+        return out + _log_soft(h @ self.top + self.tb, word // PER_CLASS)
 
     def _move(self, name: str, where, grad: np.ndarray, rate: float) -> None:
         """Step against a gradient, scaled by the root of the squares summed so far (Adagrad)."""
         seen = getattr(self.past, name)
-        seen[where] += grad * grad
-        getattr(self, name)[where] -= rate * grad / np.sqrt(seen[where] + 1e-8)
+        now = seen[where] + grad * grad
+        seen[where] = now
+        grad = grad / np.sqrt(now + np.float32(1e-8))
+        getattr(self, name)[where] -= rate * grad
 
     def step(self, around: np.ndarray, word: np.ndarray, rate: float) -> None:
         """One step of descent on the mean of -ln p."""
@@ -114,26 +126,22 @@ class Net:
         n = np.float32(len(word))
         rate = np.float32(rate)
         e, x, h = self._hidden(around)
-        top = h @ self.top + self.tb
-        top = np.exp(top - top.max(1, keepdims=True))
-        top /= top.sum(1, keepdims=True)
-        cls, leaf = word // PER_CLASS, word % PER_CLASS
-        top[np.arange(len(word)), cls] -= 1
+        top = _soft(h @ self.top + self.tb)
+        top[np.arange(len(word)), word // PER_CLASS] -= 1
         dh = top @ self.top.T
         d_top, d_tb = h.T @ top / n, top.sum(0) / n
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            rows = order[cuts[c] : cuts[c + 1]]
-            if len(rows):
-                z = h[rows] @ self.leaf[c] + self.lb[c]
-                z = np.exp(z - z.max(1, keepdims=True))
-                z /= z.sum(1, keepdims=True)
-                z[np.arange(len(rows)), leaf[rows]] -= 1
-                dh[rows] += z @ self.leaf[c].T
-                self._move("leaf", c, h[rows].T @ z / n, rate)
-                self._move("lb", c, z.sum(0) / n, rate)
+        order, hs, present, cuts, z = self._by_class(h, word)
+        z = _soft(z)
+        z[np.arange(len(word)), (word % PER_CLASS)[order]] -= 1
+        ds, d_leaf = np.empty_like(hs), np.empty((len(present), WIDTH, PER_CLASS), np.float32)
+        for k, c in enumerate(present):
+            rows = slice(cuts[c], cuts[c + 1])
+            np.matmul(z[rows], self.leaf[c].T, out=ds[rows])
+            np.matmul(hs[rows].T, z[rows], out=d_leaf[k])
+        dh[order] += ds
         everything = slice(None)
+        self._move("leaf", present, d_leaf / n, rate)
+        self._move("lb", present, np.add.reduceat(z, cuts[present]) / n, rate)
         self._move("top", everything, d_top, rate)
         self._move("tb", everything, d_tb, rate)
         da = dh * (1 - h * h)
@@ -142,9 +150,26 @@ class Net:
         self._move("w", everything, x.T @ da / n, rate)
         self._move("b", everything, da.sum(0) / n, rate)
         self._move("place", everything, np.einsum("nd,nkd->kd", dx, e, optimize=False) / n, rate)
-        order = np.argsort(flat, kind="stable")
-        ids, first = np.unique(flat[order], return_index=True)
-        self._move("emb", ids, np.add.reduceat(de[order], first) / n, rate)
+        order = np.argsort(flat.astype(np.uint16), kind="stable")
+        ids = flat[order]
+        first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+        self._move("emb", ids[first], np.add.reduceat(de[order], first) / n, rate)
+
+
+def _soft(z: np.ndarray) -> np.ndarray:
+    """Softmax of each row, in place."""
+    z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(1, keepdims=True)
+    return z
+
+
+def _log_soft(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Logarithm of each row's softmax at one place; ``z`` is used up."""
+    z -= z.max(1, keepdims=True)
+    own = z[np.arange(len(z)), at]
+    np.exp(z, out=z)
+    return own - np.log(z.sum(1))
 
 
 class Vocabulary:
@@ -163,6 +188,7 @@ class Vocabulary:
         self.tail = np.array([i for i in range(WORDS) if i not in used])
         self.in_tail = np.isin(np.arange(WORDS), self.tail)
         self.rest = np.zeros(len(self.tail)) if rest is None else rest
+        self.total = total
         self.shares = np.full(WORDS, 1.0 / WORDS)
         if counts is not None and total:
             self.shares[self.ids] = counts[order]
@@ -193,24 +219,30 @@ def windows(words: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return out
 
 
-def _counts(batches):
+def _counts(groups: int):
     def out(h):
         h, n = np.unique(np.concatenate(h), return_counts=True)
-        bucket = (h >> _U(58)).astype(int)
-        cuts = np.searchsorted(bucket, np.arange(_COUNT_BUCKETS + 1))
-        keep = [k for k in range(_COUNT_BUCKETS) if cuts[k] < cuts[k + 1]]
-        return pa.RecordBatch.from_pydict({"bucket": pa.array(keep, pa.int32()), "words": [h[cuts[k] : cuts[k + 1]].tobytes() for k in keep], "counts": [n[cuts[k] : cuts[k + 1]].astype(np.uint32).tobytes() for k in keep]})
-
-    held, size = [], 0
-    for batch in batches:
-        for _, _, h, _ in word_hashes(batch.column("text")):
-            held.append(h)
-            size += len(h)
-            if size >= 4_000_000:
-                yield out(held)
-                held, size = [], 0
-    if held:
-        yield out(held)
+        bucket = ((h >> _U(32)) % _U(groups)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        h, n, bucket = h[order], n[order].astype(np.uint32), bucket[order]
+        first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+        cuts = [*first.tolist(), len(h)]
+        return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[first], pa.int32()), "words": [h[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], "counts": [n[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]})
+
+    def scan(batches):
+        held, size = [], 0
+        for batch in batches:
+            for _, _, h, _ in word_hashes(batch.column("text")):
+                if len(h):
+                    held.append(h)
+                    size += len(h)
+                if size >= 4_000_000:
+                    yield out(held)
+                    held, size = [], 0
+        if held:
+            yield out(held)
+
+    return scan
 
 
 def _most(table: pa.Table) -> pa.Table:
@@ -226,7 +258,8 @@ def _most(table: pa.Table) -> pa.Table:
 
 def vocabulary(texts: DataFrame) -> Vocabulary:
     """The vocabulary of all of ``texts``: counts are summed over every word of the corpus."""
-    counted = texts.mapInArrow(_counts, "bucket int, words binary, counts binary").groupBy("bucket").applyInArrow(_most, "word bigint, entry int, n bigint")
+    groups = max(COUNT_GROUPS, texts.rdd.getNumPartitions())  # grows with the input; counts are the same for any number
+    counted = texts.mapInArrow(_counts(groups), "bucket int, words binary, counts binary").groupBy("bucket").applyInArrow(_most, "word bigint, entry int, n bigint")
     counted = materialise(counted, "words")
     rows = counted.filter("word is not null").orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
     words, n = np.array([r.word for r in rows], np.int64).astype(np.uint64), np.array([r.n for r in rows], float)
@@ -243,6 +276,31 @@ def learnt(h: np.ndarray, offs: np.ndarray, round_: int, one_in: int) -> np.ndar
     return mix(h + place.astype(np.uint64) * _U(0x9E3779B97F4A7C15)) % _U(one_in) == _U(round_ % one_in)
 
 
+def _entries(handle):
+    """Each text's vocabulary entries, two bytes a word; texts without words are left out."""
+
+    def scan(batches):
+        vocab = handle.value
+        for batch in batches:
+            for lo, _, h, offs in word_hashes(batch.column("text")):
+                ids, some = vocab.of(h).astype(np.uint16), np.flatnonzero(np.diff(offs))
+                words = pa.array([ids[offs[i] : offs[i + 1]].tobytes() for i in some], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("place").take(pa.array(some + lo)), words], names=["place", "words"])
+
+    return scan
+
+
+def _entry_slices(batch: pa.RecordBatch, vocab: Vocabulary):
+    """(hashes that tell words apart, entries, offsets) of slices of a batch of texts, or of their entries."""
+    if "text" in batch.schema.names:
+        for _, _, h, offs in word_hashes(batch.column("text")):
+            yield h, vocab.of(h), offs
+    elif len(batch):
+        data, offs = buffers(batch.column("words"))
+        ids = np.frombuffer(data[offs[0] : offs[-1]].tobytes(), np.uint16).astype(np.int64)
+        yield ids.astype(np.uint64), ids, (offs - offs[0]) // 2
+
+
 def _train(handle, round_: int, one_in: int):
     def scan(batches):
         vocab, flat = handle.value
@@ -255,8 +313,7 @@ def _train(handle, round_: int, one_in: int):
 
         size = 0
         for batch in batches:
-            for _, _, h, offs in word_hashes(batch.column("text")):
-                ids = vocab.of(h)
+            for h, ids, offs in _entry_slices(batch, vocab):
                 pick = np.flatnonzero(learnt(h, offs, round_, one_in))
                 held.append((windows(ids, offs)[pick], ids[pick]))
                 size += len(pick)
@@ -267,37 +324,44 @@ def _train(handle, round_: int, one_in: int):
             run(held, size)
             seen += size
         if seen:
-            yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "seen": pa.array([seen], pa.int64()), "net": [net.flat.tobytes()]})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "seen": pa.array([seen], pa.int64()), "net": [net.flat.astype(_SENT_AS).tobytes()]})
 
     return scan
 
 
-def _average(table: pa.Table) -> pa.Table:
+def _average(table: pa.Table, group: int) -> pa.Table:
     seen = np.array(table.column("seen").to_pylist(), float)
-    total = np.zeros(len(table.column("net")[0].as_py()) // 4)
-    for w, raw in zip(seen / seen.sum(), table.column("net"), strict=True):
-        total += w * np.frombuffer(raw.as_py(), np.float32)
-    return pa.table({"part": table.column("part").slice(0, 1), "seen": pa.array([int(seen.sum())]), "net": [total.astype(np.float32).tobytes()]})
+    total = 0.0
+    for k in np.argsort(table.column("part").to_numpy(), kind="stable"):  # in the order of shards
+        total = total + seen[k] / seen.sum() * np.frombuffer(table.column("net")[int(k)].as_py(), _SENT_AS)
+    part = pa.array([int(table.column("part")[0].as_py()) // group], pa.int32())
+    return pa.table({"part": part, "seen": pa.array([int(seen.sum())]), "net": [total.astype(_SENT_AS).tobytes()]})
+
 
+def train(texts: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, one_in: int = LEARN_ONE_IN, group: int = 32) -> Net:
+    """The network after ``rounds`` of training in all shards and averaging, up to ``group`` nets in a step.
 
-def train(texts: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, one_in: int = LEARN_ONE_IN, group: int = 64) -> Net:
-    """The network after ``rounds`` of training in all tasks and averaging, up to ``group`` nets in a step."""
+    Shards are dealt by a hash of all columns, so equal texts with different ids do not meet in one.
+    """
     kind = "part int, seen bigint, net binary"
     net = Net().begin_at(vocab.shares)
+    shards = max(1, -(-int(vocab.total) // SHARD_WORDS))
+    context = texts.sparkSession.sparkContext
+    entries = texts.select(F.xxhash64(*texts.columns).alias("place"), "text").mapInArrow(_entries(context.broadcast(vocab)), "place bigint, words binary")
+    dealt = materialise(entries, "entries").repartition(shards, "place").sortWithinPartitions("place", "words")
     for k in range(rounds):
-        handle = texts.sparkSession.sparkContext.broadcast((vocab, net.flat))
-        nets = texts.mapInArrow(_train(handle, k, one_in), kind)
-        tasks = texts.rdd.getNumPartitions()
-        while tasks > 1:
-            nets = nets.withColumn("part", F.floor(F.col("part") / group).cast("int")).groupBy("part").applyInArrow(_average, kind)
-            tasks = -(-tasks // group)
+        handle = context.broadcast((vocab, net.flat))
+        nets, left = dealt.mapInArrow(_train(handle, k, one_in), kind), shards
+        while left > 1:
+            nets = nets.withColumn("of", F.floor(F.col("part") / group)).groupBy("of").applyInArrow(lambda x: _average(x.drop_columns(["of"]), group), kind)
+            left = -(-left // group)
         got = nets.collect()
         if got:
-            net = Net(np.frombuffer(got[0].net, np.float32))
+            net = Net(np.frombuffer(got[0].net, _SENT_AS))
     return net
 
 
-def _score_entries(net: Net, ids: np.ndarray, offs: np.ndarray, step: int = 1 << 14) -> np.ndarray:
+def _score_entries(net: Net, ids: np.ndarray, offs: np.ndarray, step: int = BATCH) -> np.ndarray:
     around, each = windows(ids, offs), np.empty(len(ids))
     for a in range(0, len(ids), step):
         each[a : a + step] = net.log_probs(around[a : a + step], ids[a : a + step])
@@ -369,7 +433,7 @@ def scores(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, log_prob (summed) and mean_log_prob (null without words)."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     vocab = vocabulary(slim.select("text"))
-    net = train(slim.select("text"), vocab)
+    net = train(slim, vocab)
     handle = docs.sparkSession.sparkContext.broadcast((vocab, net.flat))
     groups = max(SHARE_GROUPS, -(-int(vocab.rest.sum()) // SHARE_GROUP_WORDS))
 

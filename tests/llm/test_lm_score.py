@@ -82,9 +82,9 @@ def test_words_of_tail_entries_have_probabilities_of_their_own(spark, monkeypatc
     rnd = np.random.default_rng(3)
     monkeypatch.setattr(m, "train", lambda texts, vocab: m.Net(seed=4).begin_at(vocab.shares))
     monkeypatch.setattr(m, "SENT_WORDS", 400)
-    words = [f"w{i}" for i in range(2000)]
-    odds = 1 / np.arange(1, 2001)
-    texts = [" ".join(rnd.choice(words, 40, p=odds / odds.sum())) for _ in range(300)] + [" ".join(words), None, "w1999 misspelt"]
+    words = [f"w{i}" for i in range(20_000)]  # more than the vocabulary has
+    odds = 1 / np.arange(1, 20_001)
+    texts = [" ".join(rnd.choice(words, 40, p=odds / odds.sum())) for _ in range(300)] + [" ".join(words), None, "w19999 misspelt"]
     df = spark.createDataFrame([(i if i % 7 else None, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
     got = sorted((r.n_words, r.log_prob, r.doc_id or -1) for r in m.scores(df).collect())
     vocab = m.vocabulary(df.select("text"))
@@ -110,3 +110,20 @@ def test_odd_rows(spark):
     assert len(got) == 5 and sum(r[1] for r in got) == 4
     assert all(r[3] is None and r[2] == 0 for r in got if not r[1])
     assert m.scores(df.limit(0)).count() == 0
+
+
+def test_weights_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(m, "SHARD_WORDS", 60_000)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    nets = [m.train(d, m.vocabulary(d.select("text"))).flat for d in (docs.coalesce(1), docs.repartition(7), docs.orderBy(docs.doc_id.desc()))]
+    assert all(np.allclose(n, nets[0], atol=2e-3) for n in nets[1:])
+    assert np.abs(nets[0] - m.Net().flat).max() > 0.1
+
+
+def test_entries_are_what_texts_say(spark):
+    texts = ["a b c", None, "", "d e", " \n", "f"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "place long, text string").coalesce(1)
+    vocab = m.Vocabulary(np.zeros(0, np.uint64))
+    got = df.mapInArrow(m._entries(spark.sparkContext.broadcast(vocab)), "place bigint, words binary").collect()
+    (_, _, h, offs) = next(word_hashes(pa.array(texts)))
+    assert {r.place: np.frombuffer(r.words, np.uint16).tolist() for r in got} == {i: vocab.of(h[offs[i] : offs[i + 1]]).tolist() for i in (0, 3, 5)}
