@@ -49,12 +49,15 @@ RATE = 0.05
 #: Words in a shard that is trained on by itself; least groups that words are counted in.
 SHARD_WORDS = 4_000_000
 COUNT_GROUPS = 64
+#: Texts of a shard whose entries are made ready at once.
+SHARD_TEXTS = 2048
 #: Tail entries of a full vocabulary; tail words and texts sent at once; least groups that tail words are dealt into, and words in one.
 REST = WORDS - FREQUENT
 SENT_WORDS, SENT_TEXTS = 1_000_000, 100_000
 SHARE_GROUPS, SHARE_GROUP_WORDS = 32, 2_000_000
 #: Weights travel as half floats.
 _SENT_AS = np.float16
+_NET = pa.schema([("part", pa.int32()), ("seen", pa.int64()), ("net", pa.binary())])
 _U = np.uint64
 _SHAPES = {"emb": (WORDS + 1, WIDTH), "place": (2 * SIDE, WIDTH), "w": (WIDTH, WIDTH), "b": (WIDTH,), "top": (WIDTH, CLASSES), "leaf": (CLASSES, WIDTH, PER_CLASS), "tb": (CLASSES,), "lb": (CLASSES, PER_CLASS)}
 
@@ -329,6 +332,17 @@ def _train(handle, round_: int, one_in: int):
     return scan
 
 
+def _train_shard(scan):
+    """``scan`` over the texts of one shard, in an order of their own."""
+
+    def run(table: pa.Table) -> pa.Table:
+        order = [("place", "ascending"), ("words", "ascending")]
+        out = pa.Table.from_batches(scan(table.sort_by(order).to_batches(max_chunksize=SHARD_TEXTS)), schema=_NET)
+        return out.set_column(0, "part", table.column("shard").slice(0, len(out)))
+
+    return run
+
+
 def _average(table: pa.Table, group: int) -> pa.Table:
     seen = np.array(table.column("seen").to_pylist(), float)
     total = 0.0
@@ -348,12 +362,12 @@ def train(texts: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, one_in: int
     shards = max(1, -(-int(vocab.total) // SHARD_WORDS))
     context = texts.sparkSession.sparkContext
     entries = texts.select(F.xxhash64(*texts.columns).alias("place"), "text").mapInArrow(_entries(context.broadcast(vocab)), "place bigint, words binary")
-    dealt = materialise(entries, "entries").repartition(shards, "place").sortWithinPartitions("place", "words")
+    dealt = materialise(entries, "entries").withColumn("shard", F.pmod("place", F.lit(shards)).cast("int"))
     for k in range(rounds):
         handle = context.broadcast((vocab, net.flat))
-        nets, left = dealt.mapInArrow(_train(handle, k, one_in), kind), shards
+        nets, left = dealt.groupBy("shard").applyInArrow(_train_shard(_train(handle, k, one_in)), kind), shards
         while left > 1:
-            nets = nets.withColumn("of", F.floor(F.col("part") / group)).groupBy("of").applyInArrow(lambda x: _average(x.drop_columns(["of"]), group), kind)
+            nets = nets.withColumn("of", F.floor(F.col("part") / group)).groupBy("of").applyInArrow(lambda x: _average(x, group), kind)
             left = -(-left // group)
         got = nets.collect()
         if got:
