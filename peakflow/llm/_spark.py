@@ -10,16 +10,18 @@ from pyspark.sql import functions as F
 
 #: A small side is broadcast only below this many rows (of a few dozen bytes each).
 BROADCAST_ROWS = 200_000
-#: Used only where the session names no shared folder, as in tests.
+#: Used only where the session names no shared folder and has no cluster, as in tests.
 LOCAL_SCRATCH = "/tmp/peakflow-scratch"
 #: White space as the word rule has it: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a local one only where none is named."""
+    """The shared folder that the cluster names; a local one only for a local master."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.conf.set("spark.checkpoint.dir", LOCAL_SCRATCH)
         named = LOCAL_SCRATCH
     return named.rstrip("/")

@@ -214,11 +214,13 @@ def quality_report(docs: DataFrame) -> DataFrame:
 def quality_filter(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns.
 
-    Texts are read twice and never shuffled; rows are carried as one struct, so
-    names of other columns can't clash.
+    Signals are made once, written to shared scratch with their rows and read
+    for the sketch (without texts) and for the verdict; nothing is shuffled but
+    sketch cells. Rows are carried as one struct, so names of other columns
+    can't clash.
     """
-    limits = learn(docs)
-    held = with_signals(docs.select(F.struct("*").alias("row")), F.col("row.text"))
+    held = materialise(with_signals(docs.select(F.struct("*").alias("row")), F.col("row.text")), "signals")
+    limits = materialise(fences(sketch(held.withColumns({"lang": F.col("row.lang"), "source": F.col("row.source")}))), "fences")
     judged = _judged(held, limits, F.col("row.lang"), F.col("row.source"))
     fail = base_failed(F.col("n_words"), F.col("n_repeat_words"))
     return judged.filter(F.coalesce(~fail & _inside(F.col), F.lit(False))).select("row.*")
