@@ -84,11 +84,16 @@ def csr_explode(offsets: Column) -> Column:
 
 
 def csr_compress(ids: Column) -> Column:
-    """Sorted ids to offsets: 0, then for each v up to the largest the ids at most v; raises if unsorted."""
+    """Sorted ids to offsets: 0, then for each v up to the largest the ids at most v; raises if unsorted.
+
+    Where one id gives way to the next, the place is an offset: once for each value between them.
+    """
     n = F.size(ids)
-    ordered = F.sort_array(ids) == ids
-    each = F.transform(F.sequence(F.lit(0).cast("bigint"), F.element_at(ids, -1)), lambda v: F.size(F.filter(ids, lambda x: x <= v)).cast("bigint"))
-    made = F.when(ordered, F.concat(F.array(F.lit(0).cast("bigint")), each)).otherwise(F.raise_error(F.lit("ids are not sorted")).cast("array<bigint>"))
+    steps = lambda x, i: F.when(i == n - 1, F.lit(1)).otherwise(F.get(ids, i + 1) - x).cast("int")
+    ends = F.flatten(F.transform(ids, lambda x, i: F.array_repeat((i + 1).cast("bigint"), steps(x, i))))
+    lead = F.array_repeat(F.lit(0).cast("bigint"), (F.get(ids, F.lit(0)) + 1).cast("int"))
+    ordered = ~F.exists(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda i: F.coalesce(F.get(ids, i) > F.get(ids, i + 1), F.lit(False)))
+    made = F.when(ordered, F.concat(lead, ends)).otherwise(F.raise_error(F.lit("ids are not sorted")).cast("array<bigint>"))
     return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(made)
 
 

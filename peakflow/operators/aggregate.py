@@ -108,9 +108,9 @@ def cycle_time(frames: DataFrame, by: str = "quad_major") -> DataFrame:
     return frames.withColumn("step", step).groupBy(by).agg((F.coalesce(F.sum("step"), F.lit(0.0)) / F.count(F.lit(1))).alias("cycle_time"), F.count(F.lit(1)).alias("n_frames"))
 
 
-def top_per_group(df: DataFrame, by: str, value: str, tie: str, n: int = 1) -> DataFrame:
+def top_per_group(df: DataFrame, by: str | list[str], value: str, tie: str, n: int = 1) -> DataFrame:
     """The n rows of each group with the largest value; of equal ones the least ``tie``."""
-    w = Window.partitionBy(by).orderBy(F.desc(value), F.asc(tie))
+    w = Window.partitionBy(*([by] if isinstance(by, str) else by)).orderBy(F.desc(value), F.asc(tie))
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 

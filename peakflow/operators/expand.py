@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import UnsupportedDataError
-from ..functions.scalars import csr_explode
+from ..functions.scalars import csr_compress, csr_explode
 
 #: The part of a window's scans that is cut at each end, and the most that is.
 TRIM_PART, TRIM_MOST = 10, 20
@@ -58,18 +58,16 @@ def require_ms2(frames: DataFrame) -> DataFrame:
     return frames
 
 
-def collect_frames(peaks: DataFrame) -> DataFrame:
+def collect_frames(peaks: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     """The inverse of expansion: peaks with (frame_index, scan_index, tof_index, intensity) to CSR frames.
 
-    A frame is one acquisition instant, so its arrays are bounded by the instrument.
+    A frame is one acquisition instant (of each value of ``more``), so its arrays are bounded by the instrument.
     """
+    keys = ["frame_index", "ms_level", *more]
     rows = F.sort_array(F.collect_list(F.struct("scan_index", "tof_index", "intensity")))
-    held = peaks.groupBy("frame_index", "ms_level").agg(rows.alias("p"))
-    top = F.array_max(F.transform("p", lambda x: x["scan_index"]))
-    upto = lambda s: F.size(F.filter("p", lambda x: x["scan_index"] <= s)).cast("bigint")
-    offsets = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(F.sequence(F.lit(0).cast("bigint"), top.cast("bigint")), upto))
+    held = peaks.groupBy(*keys).agg(rows.alias("p"))
     field = lambda k: F.transform("p", lambda x: x[k].cast("bigint"))
-    return held.select("frame_index", "ms_level", offsets.alias("scan_offsets"), field("tof_index").alias("tof_indices"), field("intensity").alias("intensities"))
+    return held.select(*keys, csr_compress(field("scan_index")).alias("scan_offsets"), field("tof_index").alias("tof_indices"), field("intensity").alias("intensities"))
 
 
 def bucket_counts(peaks: DataFrame) -> DataFrame:

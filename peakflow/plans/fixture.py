@@ -31,7 +31,7 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     n = part.agg(F.count(F.lit(1)).alias("n"))
     keys = F.explode(F.sequence(F.lit(-1), F.lit(4)))
-    t = part.filter("p_partkey % 4 = 0").crossJoin(F.broadcast(n)).select("p_partkey", "p_retailprice", "p_size", "n", keys.alias("k"))
+    t = part.crossJoin(F.broadcast(n)).select("p_partkey", "p_retailprice", "p_size", "n", keys.alias("k"))
     key, size, k, price = F.col("p_partkey").cast("bigint"), F.col("p_size").cast("bigint"), F.col("k"), F.col("p_retailprice").cast("double")
     tof = (key + 37 * (k + 1)) % F.col("n")
     rt = lambda x: (x.cast("float") * 0.5).cast("float")
@@ -42,7 +42,7 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def csr_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The MS1 peaks as CSR frames."""
+    """All peaks as CSR frames, one for each instant, MS level and quad."""
     from ..operators.expand import collect_frames
 
-    return collect_frames(peaks(spark, sf_dir).filter("ms_level = 1"))
+    return collect_frames(peaks(spark, sf_dir), ("quad_major",))

@@ -25,7 +25,7 @@ _PEAKS = """peaks AS (SELECT CASE WHEN l_linenumber = 1 THEN 1 ELSE 2 END AS ms_
 _QUADS = """quads AS (SELECT q AS quad, q * 15 AS scan_start, q * 15 + 30 AS scan_end, 891.0 + 18 * q AS isolation_low, 911.0 + 18 * q AS isolation_high FROM (VALUES (0),(1),(2),(3),(4),(5)) t(q))"""
 _TARGETS = """targets AS (SELECT p_partkey::BIGINT AS eg_id, CASE WHEN k < 0 THEN 1 ELSE 2 END AS ms_level, k::VARCHAR AS transition_key, (p_partkey + 37 * (k + 1)) % n - 2 AS tof_lo, (p_partkey + 37 * (k + 1)) % n + 2 AS tof_hi,
   p_partkey % 100 - 20 AS scan_lo, p_partkey % 100 + 20 AS scan_hi, p_size * 40 - 200 AS frame_lo, p_size * 40 + 200 AS frame_hi, p_retailprice::DOUBLE - 0.1::DOUBLE AS iso_lo, p_retailprice::DOUBLE + 0.1::DOUBLE AS iso_hi, (k + 2)::DOUBLE AS expected_intensity
-  FROM part CROSS JOIN (SELECT count(*) AS n FROM part) c CROSS JOIN (VALUES (-1),(0),(1),(2),(3),(4)) t(k) WHERE p_partkey % 4 = 0)"""
+  FROM part CROSS JOIN (SELECT count(*) AS n FROM part) c CROSS JOIN (VALUES (-1),(0),(1),(2),(3),(4)) t(k))"""
 _HITS = """hits AS (SELECT t.eg_id, t.ms_level, t.transition_key, t.expected_intensity, p.quad, p.frame_index, p.rt, p.scan_index, p.tof_index, p.intensity FROM targets t JOIN peaks p ON p.ms_level = t.ms_level
   AND p.tof_index BETWEEN t.tof_lo AND t.tof_hi AND p.frame_index BETWEEN t.frame_lo AND t.frame_hi AND p.scan_index >= t.scan_lo AND p.scan_index {upper} t.scan_hi LEFT JOIN quads q ON q.quad = p.quad
   WHERE t.ms_level = 1 OR (q.isolation_low <= t.iso_hi AND q.isolation_high >= t.iso_lo AND q.scan_end >= t.scan_lo AND q.scan_start <= t.scan_hi))"""
@@ -259,10 +259,11 @@ def scores_at_rt_asof(spark, d):
     return a.select("eg_id", "apex_rt_ms", F.col("ms1.rt_ms").alias("ms1_rt_ms"), F.col("ms2.rt_ms").alias("ms2_rt_ms"))
 
 
-@query(f"WITH {_PEAKS}, t AS (SELECT frame_index, tof_index, sum(intensity)::BIGINT AS intensity FROM peaks WHERE ms_level = 1 GROUP BY ALL) SELECT frame_index, tof_index, intensity, k::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY frame_index ORDER BY intensity DESC, tof_index) AS k FROM t) WHERE k <= 10")
+@query(f"WITH {_PEAKS}, t AS (SELECT ms_level, coalesce(quad, -1) AS quad, frame_index, tof_index, sum(intensity)::BIGINT AS intensity FROM peaks GROUP BY ALL) SELECT ms_level, quad, frame_index, tof_index, intensity, k::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY ms_level, quad, frame_index ORDER BY intensity DESC, tof_index) AS k FROM t) WHERE k <= 10")
 def topn_per_frame(spark, d):
-    t = fx.peaks(spark, d).filter("ms_level = 1").groupBy("frame_index", "tof_index").agg(F.sum("intensity").alias("intensity"))
-    return agg.top_per_group(t, "frame_index", "intensity", "tof_index", 10).select("frame_index", "tof_index", "intensity", "rank")
+    keys = ["ms_level", "quad", "frame_index"]
+    t = fx.peaks(spark, d).withColumn("quad", F.coalesce("quad_major", F.lit(-1))).groupBy(*keys, "tof_index").agg(F.sum("intensity").alias("intensity"))
+    return agg.top_per_group(t, keys, "intensity", "tof_index", 10).select(*keys, "tof_index", "intensity", "rank")
 
 
 @query(f"WITH {_PEAKS} SELECT coalesce(quad, -1) AS quad, round((max(rt) - min(rt)) / count(*), 6) AS cycle_time, count(*) AS n_frames FROM (SELECT DISTINCT quad, rt FROM peaks) GROUP BY quad")
@@ -282,17 +283,18 @@ def geometric_mean(spark, d):
 
 
 @query(
-    f"""WITH {_PEAKS}, p AS (SELECT frame_index, scan_index FROM peaks WHERE ms_level = 1), top AS (SELECT frame_index, max(scan_index) AS m FROM p GROUP BY frame_index), g AS (SELECT frame_index, unnest(range(0, m + 2)) AS i FROM top)
-  SELECT g.frame_index, g.i::INTEGER AS i, (SELECT count(*) FROM p WHERE p.frame_index = g.frame_index AND p.scan_index < g.i) AS offset_ FROM g"""
+    f"""WITH {_PEAKS}, p AS (SELECT ms_level, coalesce(quad, -1) AS quad, frame_index, scan_index, count(*) AS n FROM peaks GROUP BY ALL), g AS (SELECT ms_level, quad, frame_index, unnest(range(0, max(scan_index) + 2)) AS i FROM p GROUP BY ms_level, quad, frame_index)
+  SELECT g.ms_level, g.quad, g.frame_index, g.i::INTEGER AS i, coalesce(sum(p.n) OVER (PARTITION BY g.ms_level, g.quad, g.frame_index ORDER BY g.i), 0)::BIGINT AS offset_ FROM g LEFT JOIN p ON p.ms_level = g.ms_level AND p.quad = g.quad AND p.frame_index = g.frame_index AND p.scan_index = g.i - 1"""
 )
 def csr_compress(spark, d):
-    ids = fx.peaks(spark, d).filter("ms_level = 1").groupBy("frame_index").agg(F.sort_array(F.collect_list("scan_index")).alias("ids"))
-    return ids.select("frame_index", F.posexplode(s.csr_compress(F.col("ids"))).alias("i", "offset_"))
+    keys = ["ms_level", "quad", "frame_index"]
+    ids = fx.peaks(spark, d).withColumn("quad", F.coalesce("quad_major", F.lit(-1))).groupBy(*keys).agg(F.sort_array(F.collect_list("scan_index")).alias("ids"))
+    return ids.select(*keys, F.posexplode(s.csr_compress(F.col("ids"))).alias("i", "offset_"))
 
 
-@query(f"WITH {_PEAKS} SELECT frame_index, scan_index, tof_index, intensity FROM peaks WHERE ms_level = 1")
+@query(f"WITH {_PEAKS} SELECT ms_level, coalesce(quad, -1) AS quad, frame_index, scan_index, tof_index, intensity FROM peaks")
 def csr_explode(spark, d):
-    return expand.explode_frames(fx.csr_frames(spark, d)).select("frame_index", "scan_index", "tof_index", "intensity")
+    return expand.explode_frames(fx.csr_frames(spark, d)).select("ms_level", F.coalesce("quad_major", F.lit(-1)).alias("quad"), "frame_index", "scan_index", "tof_index", "intensity")
 
 
 @query(f"WITH {_PEAKS}, {_QUADS}, w AS (SELECT quad, scan_start + least((scan_end - scan_start) // 10, 20) AS lo, scan_end - least((scan_end - scan_start) // 10, 20) AS hi FROM quads) SELECT p.quad, p.frame_index, count(*) AS n, sum(intensity)::BIGINT AS intensity FROM peaks p JOIN w ON w.quad = p.quad WHERE scan_index >= lo AND scan_index < hi GROUP BY ALL")

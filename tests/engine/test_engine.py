@@ -16,12 +16,17 @@ from peakflow.streaming import extract as stream
 SMALL = "/root/testdata/sf0.01"
 
 
+def every_fourth(spark):
+    """The targets that the known sums are of."""
+    return fx.targets(spark, SMALL).filter("eg_id % 4 = 0")
+
+
 def facts(hits):
     return tuple(hits.agg(F.count(F.lit(1)), F.sum("intensity"), F.countDistinct("eg_id"), F.sum(F.when(F.col("ms_level") == 1, 1))).first())
 
 
 def test_golden_sums(spark):
-    p, t, q = fx.peaks(spark, SMALL), fx.targets(spark, SMALL), fx.quads(spark)
+    p, t, q = fx.peaks(spark, SMALL), every_fourth(spark), fx.quads(spark)
     assert facts(extract.extract(p, t, q)) == (2821, 2423759, 432, 590)
     assert facts(extract.extract(p, t, q, "tof_major")) == (2748, 2357519, 427, 570)
     assert facts(extract.extract(p, t, q, "raw"))[3] is None
@@ -30,7 +35,7 @@ def test_golden_sums(spark):
 
 
 def test_plan_has_no_nested_loop_over_peaks(spark, monkeypatch):
-    p, t, q = fx.peaks(spark, SMALL), fx.targets(spark, SMALL), fx.quads(spark)
+    p, t, q = fx.peaks(spark, SMALL), every_fourth(spark), fx.quads(spark)
     plan = lambda: extract.extract(p, t, q)._jdf.queryExecution().toString()
     assert "BroadcastHashJoin" in plan() and "PushedFilters" in plan()
     monkeypatch.setattr(extract, "BROADCAST_ROWS", 0)
@@ -38,7 +43,7 @@ def test_plan_has_no_nested_loop_over_peaks(spark, monkeypatch):
 
 
 def test_single_target_and_bin_width(spark, monkeypatch):
-    p, t, q = fx.peaks(spark, SMALL), fx.targets(spark, SMALL), fx.quads(spark)
+    p, t, q = fx.peaks(spark, SMALL), every_fourth(spark), fx.quads(spark)
     best = extract.extract(p, t, q).groupBy("eg_id", "ms_level", "transition_key").count().orderBy(F.desc("count"), "eg_id").first()
     row = t.filter((F.col("eg_id") == best.eg_id) & (F.col("transition_key") == best.transition_key)).first().asDict()
     assert extract.extract_one(p, row, q).count() == best["count"]
@@ -106,7 +111,7 @@ def test_custom_aggregator_and_compat(spark, tmp_path):
     store = PeakStore.from_frames(readers.read_frames(spark, f"{tmp_path}/frames"), readers.read_quad_windows(spark, f"{tmp_path}/windows"), Calibration())
     groups = readers.read_elution_groups(spark, f"{tmp_path}/groups.json")
     assert store.query(groups, aggregator=lambda hits, targets: hits.groupBy("eg_id").agg(F.max("intensity").alias("top"))).first().top == 300
-    hits = extract.extract(fx.peaks(spark, SMALL), fx.targets(spark, SMALL), fx.quads(spark))
+    hits = extract.extract(fx.peaks(spark, SMALL), every_fourth(spark), fx.quads(spark))
     exact, compat = aggregate.chromatograms(hits), aggregate.chromatograms(hits, "compat")
     keys = ["eg_id", "ms_level", "transition_key", "rt_ms"]
     assert exact.join(compat.withColumnRenamed("intensity", "i2"), keys).filter("intensity <> i2").count() == 0 and exact.count() == compat.count()
@@ -140,6 +145,6 @@ def test_json_has_no_nan(spark, tmp_path):
 def test_stream(spark, tmp_path):
     fx.peaks(spark, SMALL).repartition(2).write.parquet(f"{tmp_path}/p")
     src = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/p").schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/p")
-    q = stream.start(stream.intensity_stream(src, fx.targets(spark, SMALL), fx.quads(spark)), "sums", f"{tmp_path}/c")
+    q = stream.start(stream.intensity_stream(src, every_fourth(spark), fx.quads(spark)), "sums", f"{tmp_path}/c")
     q.awaitTermination(120)
     assert spark.table("sums").agg(F.sum("intensity")).first()[0] == 2423759
