@@ -78,21 +78,36 @@ def rt_summary(cmg: DataFrame, expected: DataFrame | None = None) -> DataFrame:
     ]
     if expected is None:
         return cmg.groupBy(*keys).agg(*aggs)
-    e = F.col("expected_intensity").cast("double")
-    full = cmg.join(expected, ["eg_id", "ms_level", "transition_key"], "left").withColumn("expected_intensity", F.coalesce("expected_intensity", F.lit(0.0)))
-    seen = full.select("eg_id", "ms_level", "transition_key", "expected_intensity").distinct().groupBy("eg_id", "ms_level").agg(F.sum(e * e).alias("ee"))
-    out = full.groupBy(*keys).agg(*aggs, F.sum(i * e).alias("oe"), F.sum(i * i).alias("oo")).join(seen, ["eg_id", "ms_level"])
+    e = F.coalesce(F.col("expected_intensity").cast("double"), F.lit(0.0))
+    # One shuffle by group: each transition's first row has its part of the expected length.
+    group = Window.partitionBy("eg_id", "ms_level")
+    first = F.row_number().over(group.orderBy("transition_key", "rt_ms")) == 1
+    first = first | (F.lag("transition_key").over(group.orderBy("transition_key", "rt_ms")) != F.col("transition_key"))
+    full = cmg.join(expected, ["eg_id", "ms_level", "transition_key"], "left").withColumn("own", F.when(first, e * e))
+    full = full.withColumn("ee", F.sum("own").over(group))
+    out = full.groupBy(*keys).agg(*aggs, F.sum(i * e).alias("oe"), F.sum(i * i).alias("oo"), F.first("ee").alias("ee"))
     norm = F.sqrt(F.col("oo")) * F.sqrt(F.col("ee"))
     cosine = F.when(norm == 0, F.lit(NAN)).otherwise(F.col("oe") / F.when(norm != 0, norm))
     return out.select(*keys, "summed_intensity", "npeaks", "log_intensity", "scan_mean", cosine.alias("cosine"))
 
 
 def densified(cmg: DataFrame) -> DataFrame:
-    """Every transition with peaks at every millisecond of its group: NaN means and 0 intensity where missing."""
+    """Every transition with peaks at every millisecond of its group: NaN means and 0 intensity where missing.
+
+    One group's chromatogram is one row on the way: transitions times cycles at most.
+    """
     group = ["eg_id", "ms_level"]
-    grid = cmg.select(*group, "transition_key").distinct().join(cmg.select(*group, "rt_ms").distinct(), group)
-    out = grid.join(cmg.select(*group, "transition_key", "rt_ms", "intensity", "scan_mean", "tof_mean"), [*group, "transition_key", "rt_ms"], "left")
-    return out.select(*group, "transition_key", "rt_ms", F.coalesce("intensity", F.lit(0).cast("bigint")).alias("intensity"), *[F.coalesce(c, F.lit(NAN)).alias(c) for c in ("scan_mean", "tof_mean")])
+    row = "struct<rt_ms:bigint,intensity:bigint,scan_mean:double,tof_mean:double>"
+    values = ("rt_ms", "intensity", "scan_mean", "tof_mean")
+    held = cmg.groupBy(*group).agg(F.collect_list(F.struct("transition_key", *values)).alias("p"))
+    held = held.withColumns({"t": F.array_distinct(field("p", "transition_key")), "all": F.array_distinct(field("p", "rt_ms"))})
+    each = held.select(*group, "all", "p", F.explode("t").alias("transition_key"))
+    own = F.transform(F.filter("p", lambda x: x["transition_key"] == F.col("transition_key")), lambda x: F.struct(*[x[v].alias(v) for v in values]).cast(row))
+    each = each.select(*group, "transition_key", "all", own.alias("own"))
+    gap = lambda t: F.struct(t.alias("rt_ms"), F.lit(0).cast("bigint").alias("intensity"), F.lit(NAN).alias("scan_mean"), F.lit(NAN).alias("tof_mean")).cast(row)
+    full = F.concat(F.col("own"), F.transform(F.array_except("all", field("own", "rt_ms")), gap))
+    out = each.select(*group, "transition_key", F.explode(full).alias("x"))
+    return out.select(*group, "transition_key", *[F.coalesce(F.col(f"x.{v}"), F.lit(NAN)).alias(v) if v.endswith("mean") else F.col(f"x.{v}") for v in values])
 
 
 def chromatogram_arrays(cmg: DataFrame) -> DataFrame:

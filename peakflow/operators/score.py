@@ -35,16 +35,17 @@ def scored(summary: DataFrame) -> DataFrame:
     return out.withColumn("apex", s.first_argmax(F.col("norm_lazyerscore_vs_baseline"))).drop("w", "sd_h", "sd_l")
 
 
-def transition_maps(dense: DataFrame, cal: Calibration) -> DataFrame:
+def transition_maps(dense: DataFrame, cal: Calibration, times: bool = False) -> DataFrame:
     """Per group and MS level: maps from transition to arrays along the level's times, in physical units.
 
     ``dense`` is :func:`~peakflow.operators.aggregate.densified`; gaps stay NaN
-    and 0. Adds the mean mobility over all transitions with a peak, by time.
+    and 0. With ``times`` the level's times come too, as ``rt_ms``.
     """
     p = F.sort_array(F.collect_list(F.struct("rt_ms", "intensity", "scan_mean", "tof_mean")))
     each = dense.groupBy("eg_id", "ms_level", "transition_key").agg(p.alias("p"))
     named = lambda values, name: F.map_from_entries(F.sort_array(F.collect_list(F.struct("transition_key", values.alias("v"))))).alias(name)
     return each.groupBy("eg_id", "ms_level").agg(
+        *([F.first(field("p", "rt_ms")).alias("rt_ms")] if times else []),
         named(F.transform("p", lambda x: x["intensity"]), "transition_intensities"),
         named(F.transform("p", lambda x: cal.mobility(x["scan_mean"])), "transition_mobilities"),
         named(F.transform("p", lambda x: cal.mz(x["tof_mean"])), "transition_mzs"),
@@ -83,8 +84,8 @@ def cross(own: str, other: str) -> Column:
 
 def cross_scores(scores: DataFrame) -> DataFrame:
     """Per group: structs ms1 and ms2 (null where a level has no matches), cross_ms1 and cross_ms2 ([] then)."""
-    pack = lambda level, name: scores.filter(F.col("ms_level") == level).select(F.col("eg_id"), F.struct("*").alias(name))
-    both = pack(1, "ms1").join(pack(2, "ms2"), "eg_id", "full")
+    pack = lambda level, name: F.first(F.when(F.col("ms_level") == level, F.struct("*")), True).alias(name)
+    both = scores.groupBy("eg_id").agg(pack(1, "ms1"), pack(2, "ms2"))
     ok = F.col("ms1").isNotNull() & F.col("ms2").isNotNull()
     none = F.array().cast("array<double>")
     return both.select("eg_id", "ms1", "ms2", F.when(ok, cross("ms1", "ms2")).otherwise(none).alias("cross_ms1"), F.when(ok, cross("ms2", "ms1")).otherwise(none).alias("cross_ms2"))

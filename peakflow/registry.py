@@ -161,9 +161,8 @@ def densified_grid(spark, d):
 
 @query(f"WITH {_BASE}, {_CMG} SELECT eg_id, ms_level, transition_key, rt_ms, round(1.6 - 0.001 * scan_mean, 6) AS mobility, round((10 + 0.01 * tof_mean) * (10 + 0.01 * tof_mean), 5) AS mz FROM cmg")
 def physical_units(spark, d):
-    maps = score.transition_maps(agg.densified(_cmg(spark, d)), Calibration(scan=(1.6, -0.001), tof=(10.0, 0.01), root=True))
-    times = _cmg(spark, d).groupBy("eg_id", "ms_level").agg(F.sort_array(F.collect_set("rt_ms")).alias("t"))
-    joined = maps.join(times, ["eg_id", "ms_level"]).select("eg_id", "ms_level", "t", F.explode("transition_mobilities").alias("transition_key", "im"), F.col("transition_mzs").alias("m"))
+    maps = score.transition_maps(agg.densified(_cmg(spark, d)), Calibration(scan=(1.6, -0.001), tof=(10.0, 0.01), root=True), times=True)
+    joined = maps.select("eg_id", "ms_level", F.col("rt_ms").alias("t"), F.explode("transition_mobilities").alias("transition_key", "im"), F.col("transition_mzs").alias("m"))
     rows = joined.select("eg_id", "ms_level", "transition_key", F.explode(F.arrays_zip(F.col("t"), F.col("im"), F.element_at("m", F.col("transition_key")).alias("mz"))).alias("x")).filter("not isnan(x.im)")
     return rows.select("eg_id", "ms_level", "transition_key", F.col("x.t").alias("rt_ms"), _r(F.col("x.im")).alias("mobility"), _r(F.col("x.mz"), 5).alias("mz"))
 
@@ -240,8 +239,9 @@ def align_sum(spark, d):
 @query(f"WITH {_BASE}, {_CMG}, {_SUMMARY}, {_SCORED}, {_NEAREST} SELECT eg_id, ms_level, rt_ms, round(score, 5) AS score FROM crossed")
 def cross_score(spark, d):
     c = score.cross_scores(score.scored(_summary(spark, d)))
-    leg = lambda n: c.select("eg_id", F.lit(n).alias("ms_level"), F.explode(F.arrays_zip(F.col(f"ms{n}.rt_ms").alias("t"), F.col(f"cross_ms{n}").alias("x"))).alias("z")).filter("z.x is not null")
-    return leg(1).unionByName(leg(2)).select("eg_id", "ms_level", F.col("z.t").alias("rt_ms"), _r(F.col("z.x"), 5).alias("score"))
+    leg = lambda n: F.transform(F.arrays_zip(F.col(f"ms{n}.rt_ms").alias("t"), F.col(f"cross_ms{n}").alias("x")), lambda z: F.struct(F.lit(n).alias("ms_level"), z["t"].alias("t"), z["x"].alias("x")))
+    rows = c.filter("ms1 is not null and ms2 is not null").select("eg_id", F.explode(F.concat(leg(1), leg(2))).alias("z"))
+    return rows.select("eg_id", "z.ms_level", F.col("z.t").alias("rt_ms"), _r(F.col("z.x"), 5).alias("score"))
 
 
 @query(f"WITH {_BASE}, {_CMG}, {_SUMMARY}, {_SCORED} SELECT eg_id, ms_level, n, coalesce((SELECT min(i) FROM rows_ r WHERE r.eg_id = l.eg_id AND r.ms_level = l.ms_level AND r.v > 0 AND round(r.v, 9) = (SELECT round(max(v), 9) FROM rows_ q WHERE q.eg_id = l.eg_id AND q.ms_level = l.ms_level)), 0)::INTEGER AS apex FROM lists l")
@@ -249,14 +249,24 @@ def apex_argmax(spark, d):
     return score.scored(_summary(spark, d)).select("eg_id", "ms_level", F.size("rt_ms").alias("n"), "apex")
 
 
+_AT_APEX = ", ".join(
+    f"m{k}.rt_ms AS ms{k}_rt_ms, m{k}.summed_intensity AS ms{k}_summed_intensity, m{k}.npeaks AS ms{k}_npeaks, round(m{k}.cosine, 5) AS ms{k}_cosine, round(m{k}.scan_mean, 5) AS ms{k}_scan_mean, round(m{k}.lz, 5) AS ms{k}_lazyerscore, round(m{k}.v, 5) AS ms{k}_lazyerscore_vs_baseline"
+    for k in (1, 2)
+)
+
+
 @query(
-    f"""WITH {_BASE}, {_CMG}, {_SUMMARY}, {_SCORED}, {_NEAREST}, best AS (SELECT eg_id, rt_ms FROM (SELECT *, row_number() OVER (PARTITION BY eg_id ORDER BY round(score, 9) DESC, i DESC) AS k FROM crossed WHERE ms_level = 2) WHERE k = 1)
-  SELECT b.eg_id, b.rt_ms AS apex_rt_ms, coalesce((SELECT max(t) FROM rows_ r WHERE r.eg_id = b.eg_id AND r.ms_level = 1 AND r.t < b.rt_ms), (SELECT min(t) FROM rows_ r WHERE r.eg_id = b.eg_id AND r.ms_level = 1)) AS ms1_rt_ms,
-  coalesce((SELECT max(t) FROM rows_ r WHERE r.eg_id = b.eg_id AND r.ms_level = 2 AND r.t < b.rt_ms), (SELECT min(t) FROM rows_ r WHERE r.eg_id = b.eg_id AND r.ms_level = 2)) AS ms2_rt_ms FROM best b"""
+    f"""WITH {_BASE}, {_CMG}, {_SUMMARY}, {_SCORED}, {_NEAREST}, best AS (SELECT eg_id, rt_ms, score FROM (SELECT *, row_number() OVER (PARTITION BY eg_id ORDER BY round(score, 9) DESC, i DESC) AS k FROM crossed WHERE ms_level = 2) WHERE k = 1),
+  levels AS (SELECT s.*, r.v, {_LNFLOAT.format(x='s.log_intensity')} AS lz FROM summary s JOIN rows_ r ON r.eg_id = s.eg_id AND r.ms_level = s.ms_level AND r.t = s.rt_ms),
+  at_ AS (SELECT b.eg_id, b.rt_ms, b.score, coalesce((SELECT max(t) FROM rows_ r WHERE r.eg_id = b.eg_id AND r.ms_level = 1 AND r.t < b.rt_ms), (SELECT min(t) FROM rows_ r WHERE r.eg_id = b.eg_id AND r.ms_level = 1)) AS t1,
+  coalesce((SELECT max(t) FROM rows_ r WHERE r.eg_id = b.eg_id AND r.ms_level = 2 AND r.t < b.rt_ms), (SELECT min(t) FROM rows_ r WHERE r.eg_id = b.eg_id AND r.ms_level = 2)) AS t2 FROM best b)
+  SELECT a.eg_id, a.rt_ms AS apex_rt_ms, round(a.score, 5) AS cross_score, {_AT_APEX} FROM at_ a JOIN levels m1 ON m1.eg_id = a.eg_id AND m1.ms_level = 1 AND m1.rt_ms = a.t1 JOIN levels m2 ON m2.eg_id = a.eg_id AND m2.ms_level = 2 AND m2.rt_ms = a.t2"""
 )
 def scores_at_rt_asof(spark, d):
     a = score.apex_scores(score.cross_scores(score.scored(_summary(spark, d))))
-    return a.select("eg_id", "apex_rt_ms", F.col("ms1.rt_ms").alias("ms1_rt_ms"), F.col("ms2.rt_ms").alias("ms2_rt_ms"))
+    whole = ("rt_ms", "summed_intensity", "npeaks")
+    side = [(F.col(f"{m}.{k}") if k in whole else _r(F.col(f"{m}.{k}"), 5)).alias(f"{m}_{k}") for m in ("ms1", "ms2") for k in (*whole, "cosine", "scan_mean", "lazyerscore", "lazyerscore_vs_baseline")]
+    return a.select("eg_id", "apex_rt_ms", _r(F.col("cross_score"), 5).alias("cross_score"), *side)
 
 
 @query(f"WITH {_PEAKS}, t AS (SELECT ms_level, coalesce(quad, -1) AS quad, frame_index, tof_index, sum(intensity)::BIGINT AS intensity FROM peaks GROUP BY ALL) SELECT ms_level, quad, frame_index, tof_index, intensity, k::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY ms_level, quad, frame_index ORDER BY intensity DESC, tof_index) AS k FROM t) WHERE k <= 10")
