@@ -46,3 +46,14 @@ def csr_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.expand import collect_frames
 
     return collect_frames(peaks(spark, sf_dir), ("quad_major",))
+
+
+def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part as an elution group: two precursors, three fragments, some expected intensities."""
+    mz = F.col("p_retailprice").cast("double")
+    few = lambda *x: F.create_map(*[F.lit(v) if isinstance(v, str) else v for v in x])
+    single = lambda v: F.lit(v).cast("float")
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").cast("bigint").alias("id"), F.col("p_size").cast("float").alias("mobility"), (F.col("p_size") * 40).cast("float").alias("rt_seconds"), F.array(mz, mz + 0.5).alias("precursor_mzs"),
+        few("b1", mz / 2, "b2", mz / 2 + 10, "y1", mz / 3 + 100).alias("fragment_mzs"), few("b1", single(2.0), "y1", single(5.0)).alias("expected_fragment_intensity"), F.array(single(1.0)).alias("expected_precursor_intensity"),
+    )

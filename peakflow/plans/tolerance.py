@@ -82,7 +82,8 @@ def _single(width: Width, x: Column) -> tuple[Column, Column]:
         return F.lit(None).cast("float"), F.lit(None).cast("float")
     if width.kind == "Absolute":
         return x - lit(width.low), x + lit(width.high)
-    return x - x * lit(width.low) / lit(100.0), x + x * lit(width.high) / lit(100.0)
+    part = lambda v: (x * lit(v) / lit(100.0)).cast("float")  # noqa: E731  the quotient of floats is a double
+    return x - part(width.low), x + part(width.high)
 
 
 @dataclass(frozen=True)

@@ -358,11 +358,6 @@ def centroid_frames(spark, d):
     return centroid.centroid_frames(fx.peaks(spark, d), centroid.absolute(2), centroid.absolute(2))
 
 
-@query()
-def running_stats_compat(spark, d):
-    return agg.chromatograms(_hits(spark, d), "compat")
-
-
 @query()
 def peak_width(spark, d):
     return centroid.peak_width(fx.peaks(spark, d))
@@ -370,3 +365,5 @@ def peak_width(spark, d):
 
 for _name in ("embedding_cosine", "rolling_cosine_exact"):
     ORACLE_SQL[_name] = ORACLE_SQL[_name].replace("{id}", _EMB_ID).replace("{vec}", _EMB)
+
+from . import registry_more  # noqa: E402, F401  registers its queries here
