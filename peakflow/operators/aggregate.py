@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import NAN, rt_ms, running_stats, upper_median
+from .runs import join_on, keys, with_runs
 
 #: Intensities above which a transition counts as a peak, adds its logarithm, and is ranked.
 PEAK_ABOVE, LOG_ABOVE, RANKED_FROM = 100, 10, 10
@@ -18,22 +19,23 @@ def field(array: str, name: str) -> Column:
 
 def intensity_sum(hits: DataFrame) -> DataFrame:
     """(eg_id, intensity) of the groups that have matches, both MS levels together."""
-    return hits.groupBy("eg_id").agg(F.sum("intensity").alias("intensity"))
+    return hits.groupBy(*keys(hits, "eg_id")).agg(F.sum("intensity").alias("intensity"))
 
 
 def zero_filled(sums: DataFrame, groups: DataFrame, key: str = "eg_id") -> DataFrame:
-    """Every group's intensity, 0 without matches; ``groups`` has the key."""
-    return groups.select(key).distinct().join(sums, key, "left").select(key, F.coalesce("intensity", F.lit(0).cast("bigint")).alias("intensity"))
+    """Every group's intensity, 0 without matches; ``groups`` has the key. In every run that has any, if ``sums`` have runs."""
+    return join_on(with_runs(groups.select(*keys(groups, key)).distinct(), sums), sums, [key], "left").select(*keys(sums, key), F.coalesce("intensity", F.lit(0).cast("bigint")).alias("intensity"))
 
 
 def peak_vectors(hits: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """Parallel arrays of each group's matches, in order of (rt, scan, tof); empty without matches."""
     row = F.struct("rt", "scan_index", "tof_index", "intensity")
-    out = hits.groupBy("eg_id").agg(F.sort_array(F.collect_list(row)).alias("p"))
+    own = keys(hits, "eg_id")
+    out = hits.groupBy(*own).agg(F.sort_array(F.collect_list(row)).alias("p"))
     if groups is not None:
-        out = groups.select("eg_id").distinct().join(out, "eg_id", "left").withColumn("p", F.coalesce("p", F.array().cast(out.schema["p"].dataType)))
+        out = join_on(with_runs(groups.select(*keys(groups, "eg_id")).distinct(), out), out, ["eg_id"], "left").withColumn("p", F.coalesce("p", F.array().cast(out.schema["p"].dataType)))
     field = lambda k: F.transform("p", lambda x: x[k])
-    return out.select("eg_id", field("scan_index").alias("scans"), field("tof_index").alias("tofs"), field("intensity").alias("intensities"), field("rt").alias("retention_times"))
+    return out.select(*own, field("scan_index").alias("scans"), field("tof_index").alias("tofs"), field("intensity").alias("intensities"), field("rt").alias("retention_times"))
 
 
 def _mean_sd(x: str, w: str = "intensity"):
@@ -50,15 +52,15 @@ def chromatograms(hits: DataFrame, mode: str = "exact", by: tuple[str, ...] = ("
     group's peaks in the order (quad, tof, scan) with the order-dependent rule.
     """
     keyed = hits.withColumn("rt_ms", rt_ms(F.col("rt")))
-    keys = [*by, "rt_ms"]
+    own = keys(hits, *by, "rt_ms")
     if mode == "exact":
         sm, ss = _mean_sd("scan_index")
         tm, ts = _mean_sd("tof_index")
-        return keyed.groupBy(*keys).agg(F.sum("intensity").alias("intensity"), sm.alias("scan_mean"), ss.alias("scan_sd"), tm.alias("tof_mean"), ts.alias("tof_sd"))
-    held = keyed.groupBy(*keys).agg(F.sum("intensity").alias("intensity"), F.sort_array(F.collect_list(F.struct("quad_major", "tof_index", "scan_index", "intensity"))).alias("p"))
+        return keyed.groupBy(*own).agg(F.sum("intensity").alias("intensity"), sm.alias("scan_mean"), ss.alias("scan_sd"), tm.alias("tof_mean"), ts.alias("tof_sd"))
+    held = keyed.groupBy(*own).agg(F.sum("intensity").alias("intensity"), F.sort_array(F.collect_list(F.struct("quad_major", "tof_index", "scan_index", "intensity"))).alias("p"))
     fold = lambda c: running_stats(F.transform("p", lambda x: F.struct(x[c].cast("double").alias("v"), x["intensity"].cast("double").alias("w"))))
     held = held.withColumns({"s": fold("scan_index"), "t": fold("tof_index")})
-    return held.select(*keys, "intensity", F.col("s.mean").alias("scan_mean"), F.col("s.sd").alias("scan_sd"), F.col("t.mean").alias("tof_mean"), F.col("t.sd").alias("tof_sd"))
+    return held.select(*own, "intensity", F.col("s.mean").alias("scan_mean"), F.col("s.sd").alias("scan_sd"), F.col("t.mean").alias("tof_mean"), F.col("t.sd").alias("tof_sd"))
 
 
 def rt_summary(cmg: DataFrame, expected: DataFrame | None = None) -> DataFrame:
@@ -68,7 +70,7 @@ def rt_summary(cmg: DataFrame, expected: DataFrame | None = None) -> DataFrame:
     that have any peak in the group; ``expected`` has (eg_id, ms_level,
     transition_key, expected_intensity).
     """
-    keys = ["eg_id", "ms_level", "rt_ms"]
+    own = keys(cmg, "eg_id", "ms_level", "rt_ms")
     i = F.col("intensity").cast("double")
     aggs = [
         F.sum("intensity").alias("summed_intensity"),
@@ -77,18 +79,18 @@ def rt_summary(cmg: DataFrame, expected: DataFrame | None = None) -> DataFrame:
         F.try_divide(F.sum(F.col("scan_mean") * i), F.sum(i)).alias("scan_mean"),
     ]
     if expected is None:
-        return cmg.groupBy(*keys).agg(*aggs)
+        return cmg.groupBy(*own).agg(*aggs)
     e = F.coalesce(F.col("expected_intensity").cast("double"), F.lit(0.0))
     # One shuffle by group: each transition's first row has its part of the expected length.
-    group = Window.partitionBy("eg_id", "ms_level")
+    group = Window.partitionBy(*own[:-1])
     first = F.row_number().over(group.orderBy("transition_key", "rt_ms")) == 1
     first = first | (F.lag("transition_key").over(group.orderBy("transition_key", "rt_ms")) != F.col("transition_key"))
-    full = cmg.join(expected, ["eg_id", "ms_level", "transition_key"], "left").withColumn("own", F.when(first, e * e))
+    full = join_on(cmg, expected, ["eg_id", "ms_level", "transition_key"], "left").withColumn("own", F.when(first, e * e))
     full = full.withColumn("ee", F.sum("own").over(group))
-    out = full.groupBy(*keys).agg(*aggs, F.sum(i * e).alias("oe"), F.sum(i * i).alias("oo"), F.first("ee").alias("ee"))
+    out = full.groupBy(*own).agg(*aggs, F.sum(i * e).alias("oe"), F.sum(i * i).alias("oo"), F.first("ee").alias("ee"))
     norm = F.sqrt(F.col("oo")) * F.sqrt(F.col("ee"))
     cosine = F.when(norm == 0, F.lit(NAN)).otherwise(F.col("oe") / F.when(norm != 0, norm))
-    return out.select(*keys, "summed_intensity", "npeaks", "log_intensity", "scan_mean", cosine.alias("cosine"))
+    return out.select(*own, "summed_intensity", "npeaks", "log_intensity", "scan_mean", cosine.alias("cosine"))
 
 
 def densified(cmg: DataFrame) -> DataFrame:
@@ -96,7 +98,7 @@ def densified(cmg: DataFrame) -> DataFrame:
 
     One group's chromatogram is one row on the way: transitions times cycles at most.
     """
-    group = ["eg_id", "ms_level"]
+    group = keys(cmg, "eg_id", "ms_level")
     row = "struct<rt_ms:bigint,intensity:bigint,scan_mean:double,tof_mean:double>"
     values = ("rt_ms", "intensity", "scan_mean", "tof_mean")
     held = cmg.groupBy(*group).agg(F.collect_list(F.struct("transition_key", *values)).alias("p"))
@@ -113,14 +115,15 @@ def densified(cmg: DataFrame) -> DataFrame:
 def chromatogram_arrays(cmg: DataFrame) -> DataFrame:
     """Per transition: arrays over time, ordered."""
     p = F.sort_array(F.collect_list(F.struct("rt_ms", "intensity", "scan_mean", "scan_sd", "tof_mean", "tof_sd")))
-    out = cmg.groupBy("eg_id", "ms_level", "transition_key").agg(p.alias("p"))
-    return out.select("eg_id", "ms_level", "transition_key", *[field("p", k) for k in ("rt_ms", "intensity", "scan_mean", "scan_sd", "tof_mean", "tof_sd")])
+    own = keys(cmg, "eg_id", "ms_level", "transition_key")
+    out = cmg.groupBy(*own).agg(p.alias("p"))
+    return out.select(*own, *[field("p", k) for k in ("rt_ms", "intensity", "scan_mean", "scan_sd", "tof_mean", "tof_sd")])
 
 
 def cycle_time(frames: DataFrame, by: str = "quad_major") -> DataFrame:
     """Mean step in time of each quad's frames: the sum of steps over the number of frames."""
-    step = F.col("rt") - F.lag("rt").over(Window.partitionBy(by).orderBy("rt"))
-    return frames.withColumn("step", step).groupBy(by).agg((F.coalesce(F.sum("step"), F.lit(0.0)) / F.count(F.lit(1))).alias("cycle_time"), F.count(F.lit(1)).alias("n_frames"))
+    step = F.col("rt") - F.lag("rt").over(Window.partitionBy(*keys(frames, by)).orderBy("rt"))
+    return frames.withColumn("step", step).groupBy(*keys(frames, by)).agg((F.coalesce(F.sum("step"), F.lit(0.0)) / F.count(F.lit(1))).alias("cycle_time"), F.count(F.lit(1)).alias("n_frames"))
 
 
 def top_per_group(df: DataFrame, by: str | list[str], value: str, tie: str, n: int = 1) -> DataFrame:

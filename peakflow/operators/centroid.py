@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import DataProcessingError
+from .runs import RUN, keys
 
 #: Least summed intensity and least number of peaks of a centroid.
 LEAST_INTENSITY, LEAST_PEAKS = 100, 1
-#: Windows that one group of a task centroids.
-WINDOWS_A_GROUP = 64
+#: Windows that one group of a task centroids, at most, and peaks that it holds about, if frames hold fewer.
+WINDOWS_A_GROUP, PEAKS_A_GROUP = 64, 2_000_000
 
 
 def centroid_window(tof, scan, weight, is_reference, tof_range, scan_range, frame=None):
@@ -57,28 +58,31 @@ def absolute(width: int):
 def centroid_frames(peaks: DataFrame, tof_range=None, scan_range=None, width: int = 3) -> DataFrame:
     """Centroided peaks: each quad's frames in windows of ``width`` by time, the middle one as reference.
 
-    A run of ``WINDOWS_A_GROUP`` windows is one group, bounded by the frames in
-    it; frames at a border of runs go to both. n frames give n - width + 1.
+    A series of windows is one group: ``WINDOWS_A_GROUP``, or so few that its
+    frames hold ``PEAKS_A_GROUP`` peaks; frames at a border go to both sides. n
+    frames give n - width + 1. Runs, where ``peaks`` has a run_id, are apart.
     """
     if width < 2:
         raise DataProcessingError("a window needs two frames at least")
     tof_range, scan_range = tof_range or relative(15.0, 1e6), scan_range or relative(1.5, 100.0)
-    frames = peaks.select("ms_level", "quad_major", "quad_sub", "frame_index", "rt").distinct()
-    group = Window.partitionBy("ms_level", "quad_major", "quad_sub")
+    own = keys(peaks, "ms_level", "quad_major", "quad_sub")
+    frames = peaks.groupBy(*own, "frame_index", "rt").agg(F.count(F.lit(1)).alias("size"))
+    group = Window.partitionBy(*own)
+    frames = frames.withColumn("per", F.greatest(F.lit(1), F.least(F.lit(WINDOWS_A_GROUP), F.floor(F.lit(PEAKS_A_GROUP) / F.max("size").over(group)))).cast("int"))
     frames = frames.withColumns({"at": F.row_number().over(group.orderBy("rt", "frame_index")) - 1, "n": F.count(F.lit(1)).over(group)})
     first, last = F.greatest(F.col("at") - width + 1, F.lit(0)), F.least(F.col("at"), F.col("n") - width)
-    chunks = F.explode(F.sequence(F.floor(first / WINDOWS_A_GROUP), F.floor(last / WINDOWS_A_GROUP)))
+    chunks = F.explode(F.sequence(F.floor(first / F.col("per")), F.floor(last / F.col("per"))))
     placed = frames.filter(F.col("n") >= width).withColumn("chunk", chunks)
-    f = placed.select("ms_level", F.col("quad_major").alias("q"), F.col("quad_sub").alias("qs"), "frame_index", "chunk", "at", "n")
-    p = peaks.select("ms_level", "quad_major", "quad_sub", "frame_index", "rt", "scan_index", "tof_index", "intensity")
-    pooled = p.join(f, (p.ms_level == f.ms_level) & (p.frame_index == f.frame_index) & p.quad_major.eqNullSafe(f.q) & p.quad_sub.eqNullSafe(f.qs)).select(p["*"], "chunk", "at", "n")
+    f = placed.select(*[F.col(c).alias(f"f_{c}") for c in own], F.col("frame_index").alias("f_frame"), "chunk", "at", "n", "per")
+    p = peaks.select(*own, "frame_index", "rt", "scan_index", "tof_index", "intensity")
+    pooled = p.join(f, [p.frame_index == f.f_frame, *[p[c].eqNullSafe(f[f"f_{c}"]) for c in own]]).select(p["*"], "chunk", "at", "n", "per")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("at", kind="stable")
-        at, chunk, n = pdf["at"].to_numpy(), int(pdf.chunk.iloc[0]), int(pdf.n.iloc[0])
+        at, chunk, n, per = pdf["at"].to_numpy(), *(int(pdf[c].iloc[0]) for c in ("chunk", "n", "per"))
         tof, scan, weight, frame, rt = (pdf[c].to_numpy() for c in ("tof_index", "scan_index", "intensity", "frame_index", "rt"))
         parts = []
-        for w in range(chunk * WINDOWS_A_GROUP, min((chunk + 1) * WINDOWS_A_GROUP, n - width + 1)):
+        for w in range(chunk * per, min((chunk + 1) * per, n - width + 1)):
             a, b = np.searchsorted(at, (w, w + width))
             middle = at[a:b] == w + width // 2
             if middle.any():
@@ -86,12 +90,12 @@ def centroid_frames(peaks: DataFrame, tof_range=None, scan_range=None, width: in
                 k = a + int(np.argmax(middle))
                 parts.append(pd.DataFrame({"frame_index": frame[k], "rt": rt[k], "scan_index": s, "tof_index": t, "intensity": total}))
         out = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=list(kind))
-        for c in ("ms_level", "quad_major", "quad_sub"):
+        for c in own:
             out[c] = pdf[c].iloc[0]
         return out[list(kind)]
 
-    kind = {"ms_level": "int", "quad_major": "int", "quad_sub": "int", "frame_index": "bigint", "rt": "double", "scan_index": "bigint", "tof_index": "bigint", "intensity": "bigint"}
-    return pooled.groupBy("ms_level", "quad_major", "quad_sub", "chunk").applyInPandas(run, ", ".join(f"{k} {v}" for k, v in kind.items()))
+    kind = dict(peaks.select(*own[:-3]).dtypes) | {"ms_level": "int", "quad_major": "int", "quad_sub": "int", "frame_index": "bigint", "rt": "double", "scan_index": "bigint", "tof_index": "bigint", "intensity": "bigint"}
+    return pooled.groupBy(*own, "chunk").applyInPandas(run, ", ".join(f"{k} {v}" for k, v in kind.items()))
 
 
 def peak_width(peaks: DataFrame, samples: int = 49, tops: int = 10, least: int = 100, apart: int = 5) -> DataFrame:
@@ -102,23 +106,26 @@ def peak_width(peaks: DataFrame, samples: int = 49, tops: int = 10, least: int =
     frames in order, so what is gathered is, from all frames, each peak within
     one tof of a start: all that a track can see.
     """
-    by_tof = peaks.groupBy("quad_major", "frame_index", "rt", "tof_index").agg(F.sum("intensity").alias("intensity"))
-    frames = peaks.select("quad_major", "frame_index", "rt").distinct()
-    quad = Window.partitionBy("quad_major")
+    quads, run_kind = keys(peaks, "quad_major"), [f"{c} {t}, " for c, t in peaks.dtypes if c == RUN]
+    by_tof = peaks.groupBy(*quads, "frame_index", "rt", "tof_index").agg(F.sum("intensity").alias("intensity"))
+    frames = peaks.select(*quads, "frame_index", "rt").distinct()
+    quad = Window.partitionBy(*quads)
     frames = frames.withColumns({"at": F.row_number().over(quad.orderBy("frame_index", "rt")) - 1, "n": F.count(F.lit(1)).over(quad)})
     ats = [F.floor(F.col("n") * F.lit(0.2 + 0.6 * k / max(1, samples))).cast("int") for k in range(samples)]
-    of = lambda x, y: x.quad_major.eqNullSafe(y.q) & (x.frame_index == y.f) & (x.rt == y.t)
-    names = [F.col("quad_major").alias("q"), F.col("frame_index").alias("f"), F.col("rt").alias("t")]
+    same = lambda x, y: [x[c].eqNullSafe(y[f"q_{c}"]) for c in quads]
+    of = lambda x, y: [*same(x, y), x.frame_index == y.f, x.rt == y.t]
+    quad_names = [F.col(c).alias(f"q_{c}") for c in quads]
+    names = [*quad_names, F.col("frame_index").alias("f"), F.col("rt").alias("t")]
     sampled = frames.filter(F.array_contains(F.array(*ats), F.col("at"))).select(*names)
-    strongest = Window.partitionBy("quad_major", "frame_index", "rt").orderBy(F.desc("intensity"), F.desc("tof_index"))
+    strongest = Window.partitionBy(*quads, "frame_index", "rt").orderBy(F.desc("intensity"), F.desc("tof_index"))
     starts = by_tof.join(sampled, of(by_tof, sampled), "left_semi").filter(F.col("intensity") > least)
     starts = starts.withColumn("k", F.row_number().over(strongest)).filter(F.col("k") <= tops)
-    near = starts.select(F.col("quad_major").alias("q"), F.explode(F.sequence(F.col("tof_index") - 1, F.col("tof_index") + 1)).alias("tof")).distinct()
-    seen = by_tof.join(near, by_tof.quad_major.eqNullSafe(near.q) & (by_tof.tof_index == near.tof), "left_semi")
+    near = starts.select(*quad_names, F.explode(F.sequence(F.col("tof_index") - 1, F.col("tof_index") + 1)).alias("tof")).distinct()
+    seen = by_tof.join(near, [*same(by_tof, near), by_tof.tof_index == near.tof], "left_semi")
     placed = frames.select(*names, "at", "n")
-    seen = seen.join(placed, of(seen, placed)).select("quad_major", "at", "n", "rt", "tof_index", "intensity")
+    seen = seen.join(placed, of(seen, placed)).select(*quads, "at", "n", "rt", "tof_index", "intensity")
     # One row more for each quad, at no frame, as quads without a start count too.
-    every = frames.groupBy("quad_major").agg(F.lit(-1).alias("at"), F.max("n").alias("n"), F.lit(0.0).alias("rt"), F.lit(0).cast("bigint").alias("tof_index"), F.lit(0).cast("bigint").alias("intensity"))
+    every = frames.groupBy(*quads).agg(F.lit(-1).alias("at"), F.max("n").alias("n"), F.lit(0.0).alias("rt"), F.lit(0).cast("bigint").alias("tof_index"), F.lit(0).cast("bigint").alias("intensity"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         n, widths = int(pdf.n.iloc[0]), []
@@ -143,6 +150,6 @@ def peak_width(peaks: DataFrame, samples: int = 49, tops: int = 10, least: int =
                     ends.append(last)
                 widths.append(times[ends[0]] - times[ends[1]])
         widths.sort()
-        return pd.DataFrame({"quad_major": pdf.quad_major.iloc[:1], "n_tracks": [len(widths)], "width": [widths[len(widths) // 2] if widths else None]})
+        return pd.DataFrame({**{c: pdf[c].iloc[:1] for c in quads}, "n_tracks": [len(widths)], "width": [widths[len(widths) // 2] if widths else None]})
 
-    return seen.unionByName(every).groupBy("quad_major").applyInPandas(run, "quad_major int, n_tracks bigint, width double")
+    return seen.unionByName(every).groupBy(*quads).applyInPandas(run, "".join(run_kind) + "quad_major int, n_tracks bigint, width double")

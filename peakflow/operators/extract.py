@@ -24,12 +24,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .expand import WINDOW_ROWS, few_windows
+from .runs import RUN, in_run, same_run, with_runs
+
 ACCESS = ("frame_major", "tof_major", "raw")
 #: Bin width in tof indices; about the usual width of a target.
 BIN = 16
 #: Target rows (a few dozen bytes each, after bins) that may be broadcast.
 BROADCAST_ROWS = 300_000
 MS1_QUAD = -1
+#: Width of bins of isolation m/z, where windows are many.
+ISOLATION_BIN = 25.0
 
 
 def isolation_overlap(t: str, w: str) -> Column:
@@ -42,10 +47,24 @@ def scan_overlap(t: str, w: str) -> Column:
     return (F.col(f"{w}.scan_end") >= F.col(f"{t}.scan_lo")) & (F.col(f"{w}.scan_start") <= F.col(f"{t}.scan_hi"))
 
 
-def matching_quads(targets: DataFrame, windows: DataFrame) -> DataFrame:
-    """MS2 targets with each window that they overlap; windows are few and broadcast."""
-    keys = [F.col("w.quad_major").alias("quad_major"), F.col("w.quad_sub").alias("quad_sub")]
-    return targets.filter("ms_level = 2").alias("t").join(F.broadcast(windows).alias("w"), isolation_overlap("t", "w") & scan_overlap("t", "w")).select("t.*", *keys, "w.scan_start", "w.scan_end")
+def matching_quads(targets: DataFrame, windows: DataFrame, few: bool | None = None) -> DataFrame:
+    """MS2 targets with each window that they overlap, in their run if they say one.
+
+    ``few`` windows (counted if not told) are broadcast. Beyond that both sides
+    are cut in bins of isolation m/z and meet in the first one that they share.
+    """
+    run = same_run(targets, windows)
+    own = [F.col(f"w.{c}").alias(c) for c in (*([RUN] if RUN in windows.columns and not run else []), "quad_major", "quad_sub")]
+    on = [isolation_overlap("t", "w") & scan_overlap("t", "w"), *in_run("t", "w", run)]
+    second = targets.filter("ms_level = 2")
+    if few_windows(windows) if few is None else few:
+        joined = second.alias("t").join(F.broadcast(windows).alias("w"), on)
+    else:
+        bin_ = lambda c: F.floor(F.col(c).cast("double") / ISOLATION_BIN)
+        bins = lambda df, lo, hi: df.withColumn("_first", bin_(lo)).withColumn("_bin", F.explode(F.sequence(bin_(lo), bin_(hi))))
+        meet = (F.col("t._bin") == F.col("w._bin")) & (F.col("t._bin") == F.greatest("t._first", "w._first"))
+        joined = bins(second, "iso_lo", "iso_hi").alias("t").join(bins(windows, "isolation_low", "isolation_high").alias("w"), [meet, *on])
+    return joined.select(*[F.col(f"t.{c}") for c in targets.columns], *own, "w.scan_start", "w.scan_end")
 
 
 def quad_hulls(matched: DataFrame) -> DataFrame:
@@ -58,14 +77,14 @@ def _bins(lo: Column, hi: Column) -> Column:
     return F.explode(F.sequence(F.floor(lo / BIN), F.floor(hi / BIN)))
 
 
-def _planned(targets: DataFrame, windows: DataFrame, access: str) -> DataFrame:
-    """Targets with their quads: what the peaks' side is joined to."""
-    matched = matching_quads(targets, windows)
+def _planned(targets: DataFrame, windows: DataFrame, access: str, few: bool) -> DataFrame:
+    """Targets with their quads, and their run if windows say one: what the peaks' side is joined to."""
+    matched = matching_quads(targets, windows, few)
     if access == "raw":
         hull = quad_hulls(matched)
         lo, hi = F.greatest("scan_lo", "hull_lo"), F.least("scan_hi", "hull_hi")
         return hull.withColumns({"scan_lo": lo, "scan_hi": hi, "quad_sub": F.lit(None).cast("int")}).drop("hull_lo", "hull_hi").filter("scan_lo < scan_hi")
-    first = targets.filter("ms_level = 1").withColumns({"quad_major": F.lit(MS1_QUAD), "quad_sub": F.lit(MS1_QUAD)})
+    first = with_runs(targets.filter("ms_level = 1"), windows).withColumns({"quad_major": F.lit(MS1_QUAD), "quad_sub": F.lit(MS1_QUAD)})
     return matched.drop("scan_start", "scan_end").unionByName(first)
 
 
@@ -93,12 +112,13 @@ def extract(peaks: DataFrame, targets: DataFrame, windows: DataFrame, access: st
     """
     if access not in ACCESS:
         raise ValueError(f"access must be one of {ACCESS}")
-    plan = _planned(targets, windows, access)
     quads = ["quad_major"] if access == "raw" else ["quad_major", "quad_sub"]
     slim = peaks
     bins = F.sum(F.floor(F.col("tof_hi") / BIN) - F.floor(F.col("tof_lo") / BIN) + 1)
     bounds = targets.agg(F.min("tof_lo"), F.max("tof_hi"), F.min("frame_lo"), F.max("frame_hi"), bins).crossJoin(windows.agg(F.count(F.lit(1))))
     low, high, frame_lo, frame_hi, n_bins, n_windows = bounds.first()
+    plan = _planned(targets, windows, access, n_windows <= WINDOW_ROWS)
+    run = same_run(peaks, plan)
     if prune and n_bins:
         slim = slim.filter(F.col("tof_index").between(low, high))
         if access != "tof_major":
@@ -110,10 +130,10 @@ def extract(peaks: DataFrame, targets: DataFrame, windows: DataFrame, access: st
     if (n_bins or 0) * max(1, n_windows) <= BROADCAST_ROWS or side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         side = F.broadcast(side)
     on = [F.col(f"p.{c}") == F.col(f"t.{c}") for c in ("ms_level", *quads, "bin")]
-    joined = slim.alias("p").join(side.alias("t"), [*on, _inside(access)])
-    own = [c for c in plan.columns if c not in ("quad_major", "quad_sub", "rt", "scan_index", "tof_index", "frame_index", "intensity")]
+    joined = slim.alias("p").join(side.alias("t"), [*on, *in_run("p", "t", run), _inside(access)])
+    own = [c for c in plan.columns if c not in (*run, "quad_major", "quad_sub", "rt", "scan_index", "tof_index", "frame_index", "intensity")]
     hit = [F.when(F.col("p.quad_major") != MS1_QUAD, F.col("p.quad_major")).alias("quad_major"), *[F.col(f"p.{c}") for c in ("frame_index", "rt", "scan_index", "tof_index", "intensity")]]
-    return joined.select(*[F.col(f"t.{c}") for c in own], *hit)
+    return joined.select(*[F.col(f"p.{c}") for c in run], *[F.col(f"t.{c}") for c in own], *hit)
 
 
 def extract_one(peaks: DataFrame, target: dict, windows: DataFrame, access: str = "frame_major") -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions import scalars as s
 from ..plans.tolerance import Calibration
 from .aggregate import field
 from .align import align_arrays
+from .runs import join_on, keys
 
 _FIELDS = ("rt_ms", "summed_intensity", "npeaks", "log_intensity", "scan_mean", "cosine")
 
@@ -20,7 +21,8 @@ def scored(summary: DataFrame) -> DataFrame:
     A group's arrays are as long as its chromatogram.
     """
     p = F.sort_array(F.collect_list(F.struct(*_FIELDS)))
-    out = summary.groupBy("eg_id", "ms_level").agg(p.alias("p")).select("eg_id", "ms_level", *[field("p", k) for k in _FIELDS])
+    own = keys(summary, "eg_id", "ms_level")
+    out = summary.groupBy(*own).agg(p.alias("p")).select(*own, *[field("p", k) for k in _FIELDS])
     out = out.withColumns(
         {
             "lazy_hyperscore": F.zip_with("npeaks", "summed_intensity", s.hyperscore),
@@ -42,9 +44,9 @@ def transition_maps(dense: DataFrame, cal: Calibration, times: bool = False) ->
     and 0. With ``times`` the level's times come too, as ``rt_ms``.
     """
     p = F.sort_array(F.collect_list(F.struct("rt_ms", "intensity", "scan_mean", "tof_mean")))
-    each = dense.groupBy("eg_id", "ms_level", "transition_key").agg(p.alias("p"))
+    each = dense.groupBy(*keys(dense, "eg_id", "ms_level", "transition_key")).agg(p.alias("p"))
     named = lambda values, name: F.map_from_entries(F.sort_array(F.collect_list(F.struct("transition_key", values.alias("v"))))).alias(name)
-    return each.groupBy("eg_id", "ms_level").agg(
+    return each.groupBy(*keys(dense, "eg_id", "ms_level")).agg(
         *([F.first(field("p", "rt_ms")).alias("rt_ms")] if times else []),
         named(F.transform("p", lambda x: x["intensity"]), "transition_intensities"),
         named(F.transform("p", lambda x: cal.mobility(x["scan_mean"])), "transition_mobilities"),
@@ -55,13 +57,13 @@ def transition_maps(dense: DataFrame, cal: Calibration, times: bool = False) ->
 def expected_values(targets: DataFrame, cal: Calibration) -> DataFrame:
     """Per group and MS level: expected m/z by transition and expected mobility."""
     mz = F.map_from_entries(F.sort_array(F.collect_list(F.struct("transition_key", cal.mz(F.col("expected_tof").cast("double")).alias("v")))))
-    return targets.groupBy("eg_id", "ms_level").agg(mz.alias("expected_mzs"), F.first(cal.mobility(F.col("expected_scan").cast("double"))).alias("expected_mobility"))
+    return targets.groupBy(*keys(targets, "eg_id", "ms_level")).agg(mz.alias("expected_mzs"), F.first(cal.mobility(F.col("expected_scan").cast("double"))).alias("expected_mobility"))
 
 
 def with_transitions(scores: DataFrame, dense: DataFrame, targets: DataFrame, cal: Calibration) -> DataFrame:
     """Scores with transition maps, expected values and the average mobility by time."""
-    keys = ["eg_id", "ms_level"]
-    out = scores.join(transition_maps(dense, cal), keys, "left").join(expected_values(targets, cal), keys, "left")
+    on = ["eg_id", "ms_level"]
+    out = join_on(join_on(scores, transition_maps(dense, cal), on, "left"), expected_values(targets, cal), on, "left")
     return out.withColumn("average_mobility", F.transform("scan_mean", cal.mobility))
 
 
@@ -85,10 +87,11 @@ def cross(own: str, other: str) -> Column:
 def cross_scores(scores: DataFrame) -> DataFrame:
     """Per group: structs ms1 and ms2 (null where a level has no matches), cross_ms1 and cross_ms2 ([] then)."""
     pack = lambda level, name: F.first(F.when(F.col("ms_level") == level, F.struct("*")), True).alias(name)
-    both = scores.groupBy("eg_id").agg(pack(1, "ms1"), pack(2, "ms2"))
+    own = keys(scores, "eg_id")
+    both = scores.groupBy(*own).agg(pack(1, "ms1"), pack(2, "ms2"))
     ok = F.col("ms1").isNotNull() & F.col("ms2").isNotNull()
     none = F.array().cast("array<double>")
-    return both.select("eg_id", "ms1", "ms2", F.when(ok, cross("ms1", "ms2")).otherwise(none).alias("cross_ms1"), F.when(ok, cross("ms2", "ms1")).otherwise(none).alias("cross_ms2"))
+    return both.select(*own, "ms1", "ms2", F.when(ok, cross("ms1", "ms2")).otherwise(none).alias("cross_ms1"), F.when(ok, cross("ms2", "ms1")).otherwise(none).alias("cross_ms2"))
 
 
 def at_time(side: str, time: Column) -> Column:
@@ -108,7 +111,7 @@ def apex_scores(crossed: DataFrame) -> DataFrame:
         more = ["ms1_errors", "ms2_errors"]
         best = best.withColumns({f"{side}_errors": errors_at(side, s.index_before(F.col(f"{side}.rt_ms"), F.col("apex_rt_ms"))) for side in ("ms1", "ms2")})
     levels = [at_time(side, F.col("apex_rt_ms")).alias(side) for side in ("ms1", "ms2")]
-    return best.select("eg_id", "apex_rt_ms", F.get("cross_ms2", F.col("apex")).alias("cross_score"), *levels, *more)
+    return best.select(*keys(crossed, "eg_id"), "apex_rt_ms", F.get("cross_ms2", F.col("apex")).alias("cross_score"), *levels, *more)
 
 
 def ranked_transitions(intensities: Column, errors: Column) -> Column:

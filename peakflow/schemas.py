@@ -15,4 +15,6 @@ ELUTION_GROUPS = (
     "id bigint, mobility float, rt_seconds float, precursor_mzs array<double>, fragment_mzs map<string,double>, "
     "expected_fragment_intensity map<string,float>, expected_precursor_intensity array<float>"
 )
+#: Comes first in each of the three where files hold several runs.
+RUN_COLUMN = "run_id string"
 PEAK_COLUMNS = tuple(f.split()[0] for f in PEAKS.split(", "))

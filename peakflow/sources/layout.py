@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import runs
+
 SORTS = {"tof_major": ("tof_index", "scan_index"), "frame_major": ("frame_index", "tof_index")}
 #: Peaks that one file holds at most, about.
 FILE_ROWS = 20_000_000
@@ -16,7 +18,7 @@ FILE_ROWS = 20_000_000
 
 def write_peaks(peaks: DataFrame, path: str, layout: str = "tof_major", files: int | None = None) -> None:
     """Write ``peaks`` in a layout. MS1, which may hold most peaks, is split by range like any quad."""
-    keys = ["ms_level", "quad_major", "quad_sub"]
+    keys = runs.keys(peaks, "ms_level", "quad_major", "quad_sub")
     lead = SORTS[layout]
     files = files or max(1, -(-peaks.count() // FILE_ROWS))
     ordered = peaks.repartitionByRange(files, *keys, *lead).sortWithinPartitions(*keys, *lead)

@@ -7,12 +7,19 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..errors import DataReadingError
+from ..operators.runs import RUN, keys
 from ..plans.tolerance import Tolerance
 
 
+def _with_run(spark: SparkSession, path: str, schema: str, skip_bad_files: bool = False) -> str:
+    """``schema``, with the run's column if the files' own schema has it."""
+    reader = spark.read.option("ignoreCorruptFiles", "true") if skip_bad_files else spark.read
+    return f"{schemas.RUN_COLUMN}, {schema}" if RUN in reader.parquet(path).columns else schema
+
+
 def read_frames(spark: SparkSession, path: str, low: int | None = None, high: int | None = None, ms_level: int | None = None, skip_bad_files: bool = False) -> DataFrame:
-    """Frames of a run, half-open index range and MS level pushed to the scan."""
-    reader = spark.read.schema(schemas.FRAMES)
+    """Frames of a run, or of several if files have a run_id; half-open index range and MS level pushed to the scan."""
+    reader = spark.read.schema(_with_run(spark, path, schemas.FRAMES, skip_bad_files))
     df = (reader.option("ignoreCorruptFiles", "true") if skip_bad_files else reader).parquet(path)
     if low is not None:
         df = df.filter(F.col("frame_index") >= low)
@@ -30,12 +37,13 @@ def good_frames(frames: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_quad_windows(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.QUAD_WINDOWS).parquet(path)
+    return spark.read.schema(_with_run(spark, path, schemas.QUAD_WINDOWS)).parquet(path)
 
 
 def read_peaks(spark: SparkSession, path: str) -> DataFrame:
-    """Peaks in either layout; partition columns come back with the rest."""
-    return spark.read.parquet(path).select(*schemas.PEAK_COLUMNS)
+    """Peaks in either layout; partition columns come back with the rest, the run's if it is there."""
+    peaks = spark.read.parquet(path)
+    return peaks.select(*keys(peaks, *schemas.PEAK_COLUMNS))
 
 
 def read_elution_groups(spark: SparkSession, path: str) -> DataFrame:

@@ -6,7 +6,7 @@ import json
 import math
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,17 +21,21 @@ def enveloped(results: DataFrame, groups: DataFrame) -> DataFrame:
     return g.join(r, F.col("_id") == F.col("_eg"), "left").select("elution_group", "result")
 
 
+def _safe(c: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return json_number(c)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _safe(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(c, lambda _, v: _safe(v, kind.valueType))
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[_safe(c[f.name], f.dataType).alias(f.name) for f in kind]))
+    return c
+
+
 def json_safe(df: DataFrame) -> DataFrame:
-    """Columns of floats, at the top or in arrays, with NaN and infinities as null."""
-    out = []
-    for f in df.schema:
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = json_number(c).alias(f.name)
-        elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, (T.DoubleType, T.FloatType)):
-            c = F.transform(c, json_number).alias(f.name)
-        out.append(c)
-    return df.select(*out)
+    """All floats, however deep in structs, arrays and maps, with NaN and infinities as null."""
+    return df.select(*[_safe(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema])
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from peakflow import cli
 from peakflow.engine import Centroiding, PeakStore, choose_access
-from peakflow.operators import aggregate, expand, extract, score
+from peakflow.operators import aggregate, centroid, expand, extract, score
 from peakflow.plans import fixture as fx
 from peakflow.plans.tolerance import Calibration, Tolerance
 from peakflow.sources import layout, readers, sinks
@@ -148,3 +148,119 @@ def test_stream(spark, tmp_path):
     q = stream.start(stream.intensity_stream(src, every_fourth(spark), fx.quads(spark)), "sums", f"{tmp_path}/c")
     q.awaitTermination(120)
     assert spark.table("sums").agg(F.sum("intensity")).first()[0] == 2423759
+
+
+def test_json_has_no_nan_in_structs(spark, tmp_path):
+    kind = "a int, s struct<x:double,l:array<struct<y:float>>>, m map<string,double>"
+    df = spark.createDataFrame([(1, (float("nan"), [(float("inf"),), (2.0,)]), {"k": float("-inf"), "j": 1.0}), (2, None, None)], kind)
+    assert sinks.json_safe(df).schema.simpleString() == df.schema.simpleString()
+    sinks.write_json(df, f"{tmp_path}/x")
+    rows = {r["a"]: r for r in (json.loads(x.value) for x in spark.read.text(f"{tmp_path}/x").collect())}
+    assert rows[1]["s"] == {"l": [{}, {"y": 2.0}]} and rows[1]["m"] == {"k": None, "j": 1.0} and "s" not in rows[2]
+
+
+def test_two_runs_are_the_union_of_each(spark):
+    """Peaks, windows and results of two runs in one table equal those of each run alone."""
+    shift = {"a": 0, "b": 7}
+    peaks = {k: fx.peaks(spark, SMALL).withColumn("intensity", F.col("intensity") + v).filter(F.col("frame_index") % 3 != v % 3) for k, v in shift.items()}
+    windows = {k: fx.quads(spark).withColumn("isolation_high", F.col("isolation_high") + v) for k, v in shift.items()}
+    targets = fx.targets(spark, SMALL)
+    both = lambda parts: parts["a"].withColumn("run_id", F.lit("a")).unionByName(parts["b"].withColumn("run_id", F.lit("b")))
+    expected = targets.select("eg_id", "ms_level", "transition_key", "expected_intensity")
+
+    def results(p, w):
+        hits = extract.extract(p, targets, w)
+        cmg = aggregate.chromatograms(hits)
+        crossed = score.cross_scores(score.scored(aggregate.rt_summary(cmg, expected)))
+        apex = score.apex_scores(crossed).select(*(["run_id"] if "run_id" in crossed.columns else []), "eg_id", "apex_rt_ms", F.round("cross_score", 6).alias("x"))
+        raw = extract.extract(p, targets, w, "raw").drop("rt_lo", "rt_hi")
+        return [hits, raw, aggregate.zero_filled(aggregate.intensity_sum(hits), targets), aggregate.densified(cmg).select(*[c for c in cmg.columns if c in ("run_id", "eg_id", "ms_level", "transition_key", "rt_ms", "intensity")]), apex, centroid.centroid_frames(p.filter("frame_index < 60"), centroid.absolute(2), centroid.absolute(2)), centroid.peak_width(p)]
+
+    together = results(both(peaks), both(windows))
+    alone = {k: results(peaks[k], windows[k]) for k in shift}
+    for i, got in enumerate(together):
+        for k in shift:
+            mine = got.filter(F.col("run_id") == k).drop("run_id")
+            assert sorted(map(str, mine.select(alone[k][i].columns).collect())) == sorted(map(str, alone[k][i].collect())), (i, k)
+
+
+def test_many_windows_meet_in_bins(spark, monkeypatch):
+    q, made = fx.quads(spark), every_fourth(spark)
+    targets = spark.createDataFrame(made.collect(), made.schema)
+    few, many = extract.matching_quads(targets, q, True), extract.matching_quads(targets, q, False)
+    assert "BroadcastNestedLoopJoin" not in many._jdf.queryExecution().toString() and "CartesianProduct" not in many._jdf.queryExecution().toString()
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect())) and few.count() > 0
+
+
+def naive_centroids(peaks, width, reach):
+    """Every window of frames centroided from the definition, one peak at a time."""
+    frames = {}
+    for r in peaks:
+        frames.setdefault((r.ms_level, r.quad_major, r.quad_sub), {}).setdefault((r.rt, r.frame_index), []).append((r.tof_index, r.scan_index, r.intensity))
+    out = []
+    for quad, by in frames.items():
+        order = sorted(by)
+        for w in range(len(order) - width + 1):
+            middle = order[w + width // 2]
+            pool = sorted((t, s, f[1], i, f == middle) for f in order[w : w + width] for t, s, i in by[f])
+            taken = set()
+            for k, (t, s, _, i, _) in enumerate(pool):
+                near = [j for j, x in enumerate(pool) if j not in taken and t - reach <= x[0] < t + reach and s - reach <= x[1] <= s + reach]
+                if k in taken or any(pool[j][3] > i for j in near):
+                    continue
+                total = sum(pool[j][3] for j in near if pool[j][4])
+                if total >= centroid.LEAST_INTENSITY:
+                    taken |= set(near)
+                    out.append((*quad, middle[1], middle[0], s, t, total))
+    return out
+
+
+def test_centroids_equal_the_definition(spark, monkeypatch):
+    peaks = fx.peaks(spark, "/root/testdata/sf0.001").filter("frame_index between 300 and 500").withColumns({"tof_index": F.col("tof_index") % 40, "scan_index": F.col("scan_index") % 8})
+    want = sorted(map(str, naive_centroids(peaks.collect(), 3, 2)))
+    assert len(want) > 100
+    for most in (2_000_000, 3):
+        monkeypatch.setattr(centroid, "PEAKS_A_GROUP", most)
+        got = centroid.centroid_frames(peaks, centroid.absolute(2), centroid.absolute(2))
+        assert sorted(str(tuple(r)) for r in got.select("ms_level", "quad_major", "quad_sub", "frame_index", "rt", "scan_index", "tof_index", "intensity").collect()) == want
+
+
+def naive_width(rows, samples=49, tops=10, least=100, apart=5):
+    """Widths of one quad's peaks, tracked over all of its frames."""
+    frames = {}
+    for r in rows:
+        held = frames.setdefault((r.frame_index, r.rt), {})
+        held[r.tof_index] = held.get(r.tof_index, 0) + r.intensity
+    order = sorted(frames)
+    n, widths = len(order), []
+    for k in range(samples):
+        at = int(n * (0.2 + 0.6 * k / samples))
+        if at >= n:
+            continue
+        best = sorted(((i, t) for t, i in frames[order[at]].items() if i > least), reverse=True)[:tops]
+        chosen = []
+        for t in sorted(t for _, t in best):
+            if not chosen or t - chosen[-1] > apart:
+                chosen.append(t)
+        for t in chosen:
+            ends = []
+            for step, stop in ((1, n), (-1, 1)):
+                j, misses, last = at, 0, at
+                while misses < 2 and j + step != stop and 0 <= j + step < n:
+                    j += step
+                    if sum(frames[order[j]].get(t + d, 0) for d in (-1, 0, 1)) <= frames[order[at]][t] / 100:
+                        misses += 1
+                    else:
+                        misses, last = 0, j
+                ends.append(order[last][1])
+            widths.append(ends[0] - ends[1])
+    widths.sort()
+    return len(widths), widths[len(widths) // 2] if widths else None
+
+
+def test_peak_widths_equal_the_definition(spark):
+    peaks = fx.peaks(spark, "/root/testdata/sf0.001").withColumn("tof_index", F.col("tof_index") % 25)
+    rows = peaks.collect()
+    want = {q: naive_width([r for r in rows if r.quad_major == q]) for q in {r.quad_major for r in rows}}
+    assert {r.quad_major: (r.n_tracks, r.width) for r in centroid.peak_width(peaks).collect()} == want
+    assert any(w for _, w in want.values())
