@@ -46,6 +46,8 @@ ROUNDS = 2
 LEARN_ONE_IN = ROUNDS
 BATCH = 4096
 RATE = 0.05
+#: Rows whose logits are held at once.
+CHUNK = 512
 #: Words in a shard that is trained on by itself; least groups that words are counted in.
 SHARD_WORDS = 4_000_000
 COUNT_GROUPS = 64
@@ -93,34 +95,43 @@ class Net:
         return e, x, np.tanh(x @ self.w + self.b)
 
     def _by_class(self, h: np.ndarray, word: np.ndarray):
-        """Rows in order of their words' classes, each class's slice of them, and the second level's logits in that order."""
+        """Rows in order of their words' classes, their hidden layer and leaves in it, and (class, slice of rows) of each class."""
         cls = (word // PER_CLASS).astype(np.uint16)
         order = np.argsort(cls, kind="stable")
-        cls, h = cls[order], h[order]
-        cuts = np.searchsorted(cls, np.arange(CLASSES + 1))
-        present = np.flatnonzero(cuts[1:] > cuts[:-1])
-        z = np.empty((len(word), PER_CLASS), np.float32)
-        for c in present:
-            rows = z[cuts[c] : cuts[c + 1]]
-            np.matmul(h[cuts[c] : cuts[c + 1]], self.leaf[c], out=rows)
-            rows += self.lb[c]
-        return order, h, present, cuts, z
+        cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1)).tolist()
+        return order, h[order], (word % PER_CLASS)[order], [(c, slice(cuts[c], cuts[c + 1])) for c in range(CLASSES) if cuts[c] < cuts[c + 1]]
 
     def log_probs(self, around: np.ndarray, word: np.ndarray) -> np.ndarray:
         """ln p(word | around) for each row; rows are grouped by class for the second level."""
         _, _, h = self._hidden(around)
-        order, _, _, _, z = self._by_class(h, word)
-        out = np.empty(len(word), np.float32)
-        out[order] = _log_soft(z, (word % PER_CLASS)[order])
-        return out + _log_soft(h @ self.top + self.tb, word // PER_CLASS)
+        order, hs, leaf, classes = self._by_class(h, word)
+        second, first = np.empty(len(word), np.float32), np.empty(len(word), np.float32)
+        for c, rows in classes:
+            z = hs[rows] @ self.leaf[c]
+            z += self.lb[c]
+            second[rows] = _log_soft(z, leaf[rows])
+        cls = word // PER_CLASS
+        for a in range(0, len(word), CHUNK):
+            rows = slice(a, a + CHUNK)
+            z = h[rows] @ self.top
+            z += self.tb
+            first[rows] = _log_soft(z, cls[rows])
+        first[order] += second
+        return first
 
     def _move(self, name: str, where, grad: np.ndarray, rate: float) -> None:
-        """Step against a gradient, scaled by the root of the squares summed so far (Adagrad)."""
-        seen = getattr(self.past, name)
-        now = seen[where] + grad * grad
-        seen[where] = now
-        grad = grad / np.sqrt(now + np.float32(1e-8))
-        getattr(self, name)[where] -= rate * grad
+        """Step against a gradient, scaled by the root of the squares summed so far (Adagrad); ``grad`` is used up.
+
+        ``where`` is an index or a slice, or an array of rows.
+        """
+        whole, seen = getattr(self, name), getattr(self.past, name)
+        now = seen[where]
+        now += grad * grad
+        if isinstance(where, np.ndarray):
+            seen[where] = now
+        grad /= np.sqrt(now + np.float32(1e-8))
+        grad *= rate
+        whole[where] -= grad
 
     def step(self, around: np.ndarray, word: np.ndarray, rate: float) -> None:
         """One step of descent on the mean of -ln p."""
@@ -129,24 +140,30 @@ class Net:
         n = np.float32(len(word))
         rate = np.float32(rate)
         e, x, h = self._hidden(around)
-        top = _soft(h @ self.top + self.tb)
-        top[np.arange(len(word)), word // PER_CLASS] -= 1
-        dh = top @ self.top.T
-        d_top, d_tb = h.T @ top / n, top.sum(0) / n
-        order, hs, present, cuts, z = self._by_class(h, word)
-        z = _soft(z)
-        z[np.arange(len(word)), (word % PER_CLASS)[order]] -= 1
-        ds, d_leaf = np.empty_like(hs), np.empty((len(present), WIDTH, PER_CLASS), np.float32)
-        for k, c in enumerate(present):
-            rows = slice(cuts[c], cuts[c + 1])
-            np.matmul(z[rows], self.leaf[c].T, out=ds[rows])
-            np.matmul(hs[rows].T, z[rows], out=d_leaf[k])
+        cls, dh = word // PER_CLASS, np.empty_like(h)
+        d_top, d_tb = np.zeros_like(self.top), np.zeros_like(self.tb)
+        for a in range(0, len(word), CHUNK):  # chunks stay in the cache
+            rows = slice(a, a + CHUNK)
+            z = h[rows] @ self.top
+            z += self.tb
+            _soft(z)[np.arange(len(z)), cls[rows]] -= 1
+            np.matmul(z, self.top.T, out=dh[rows])
+            d_top += h[rows].T @ z
+            d_tb += z.sum(0)
+        order, hs, leaf, classes = self._by_class(h, word)
+        ds = np.empty_like(hs)
+        hn = hs / n
+        for c, rows in classes:
+            z = hs[rows] @ self.leaf[c]
+            z += self.lb[c]
+            _soft(z)[np.arange(len(z)), leaf[rows]] -= 1
+            np.matmul(z, self.leaf[c].T, out=ds[rows])
+            self._move("leaf", c, hn[rows].T @ z, rate)
+            self._move("lb", c, z.sum(0) / n, rate)
         dh[order] += ds
         everything = slice(None)
-        self._move("leaf", present, d_leaf / n, rate)
-        self._move("lb", present, np.add.reduceat(z, cuts[present]) / n, rate)
-        self._move("top", everything, d_top, rate)
-        self._move("tb", everything, d_tb, rate)
+        self._move("top", everything, d_top / n, rate)
+        self._move("tb", everything, d_tb / n, rate)
         da = dh * (1 - h * h)
         dx = da @ self.w.T
         flat, de = around.ravel(), (dx[:, None, :] * self.place).reshape(-1, WIDTH)
