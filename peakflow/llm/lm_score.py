@@ -44,7 +44,7 @@ WIDTH = 24
 #: Rounds of averaging; shares that the words are dealt into, one for each round, so every word is learnt from; words in a step.
 ROUNDS = 2
 LEARN_ONE_IN = ROUNDS
-BATCH = 4096
+BATCH = 8192
 RATE = 0.05
 #: Rows whose logits are held at once.
 CHUNK = 512
