@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 from brute import shingles
+from pyspark.sql import functions as F
 
 from peakflow.llm import decontaminate as d
 
@@ -46,12 +47,28 @@ def test_scattered_and_altered(spark):
     n = len([x for x in docs if not any(w[0] == x[0] for w in brute([x], bench))])
     assert d.clean(df, b).count() == n
     assert d.leaks(df.limit(0), b).count() == 0 and d.leaks(df, b.limit(0)).count() == 0 and d.clean(df, b.limit(0)).count() == len(docs)
+    assert {tuple(r)[:4] for r in d.leaks(df, b, held=5).collect()} == brute(docs, bench)  # joined, as a great benchmark is
+    wide = df.withColumn("K1_", F.lit(1)).withColumn("name", F.lit(2))
+    assert d.clean(wide, b, held=5).columns == wide.columns
+    assert sorted(map(str, d.clean(wide, b, held=5).collect())) == sorted(map(str, d.clean(wide, b).collect()))
 
 
-def test_blocks(spark):
-    b = spark.createDataFrame([(i, "x " * 10) for i in range(25)], "item_id long, text string")
-    assert [len(x) for x in d.blocks(b, items=10)] == [10, 10, 5]
-    assert [len(x) for x in d.blocks(b, size=100)] == [5] * 5
+def test_great_benchmark(spark, monkeypatch):
+    """Joined, the whole table and repeated rows give what brute force gives, also where one text has many parts to check."""
+    monkeypatch.setattr(d, "CHECKED", 2)
+    t = "/root/testdata/sf0.01"
+    docs, items = spark.read.parquet(f"{t}/documents.parquet"), spark.read.parquet(f"{t}/benchmark.parquet")
+    all_items = " ".join(r.text for r in items.collect())
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame([(-1, all_items), (-1, all_items), (-2, None), (-3, "")], "doc_id long, text string"))
+    items = items.select("item_id", "text").union(items.select("item_id", "text").limit(3)).union(spark.createDataFrame([(None, "one two")], "item_id long, text string"))
+    got = sorted(map(str, d.leaks(docs, items, held=10).collect()))
+    assert got == sorted(map(str, d.leaks(docs, items).collect())) and got
+    want = brute([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in items.filter("item_id is not null").collect()])
+    assert {tuple(r)[:4] for r in d.leaks(docs, items, held=10).filter("item_id is not null").collect()} == want
+    assert sorted(map(str, d.clean(docs, items, size=10).collect())) == sorted(map(str, d.clean(docs, items).collect()))
+    none = spark.createDataFrame([(1, ""), (2, " "), (3, None)], "item_id long, text string")
+    assert d.leaks(docs, none, held=1).count() == 0 and d.clean(docs, none, held=1).count() == docs.count()
+    assert d.leaks(docs.limit(0), items, held=1).count() == 0 and d.clean(docs.limit(0), items, held=1).count() == 0
 
 
 def test_long_text_in_pieces():
