@@ -4,7 +4,8 @@ Documents are tokenised, ended with a separator and cut in sequences of a fixed
 length; the last is padded and its true length kept. A keyed Feistel network
 over the index space (id, sequence number) with cycle-walking gives every
 sequence a place: a permutation that any task can work out alone, and that no
-layout of partitions changes. Places are cut in equal ranges; each range is
+layout of partitions changes. The space is as wide as ids and texts ask for, up
+to 128 bits, so different ids never share a place. Places are cut in equal ranges; each range is
 one shard, written in order of place, so a record's offset is its rank times
 the stride and reading can start anywhere. Its global slot is that rank plus
 the sequences in all shards before, from the manifest. Places are uniform, so
@@ -14,9 +15,8 @@ Shards are written under a temporary name and renamed, so a task that runs
 twice leaves the same file. Tokens are shuffled once and never kept elsewhere.
 
 Defined cases: null and empty texts give the separator alone; a null id takes
-the place after the largest id; rows that repeat an id (or ids too far apart
-for the index space, which are then hashed) share places and are ordered by
-their tokens; an empty table gives no shards; other columns are ignored.
+the place after the largest id; rows that repeat an id share places and are
+ordered by their tokens; an empty table gives no shards; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -63,24 +63,38 @@ def _round(x: np.ndarray, key: int, bits: int) -> np.ndarray:
     return (x ^ (x >> _U(32))) & _U((1 << bits) - 1)
 
 
-def _feistel(x: np.ndarray, half: int, key: int, rounds: int = ROUNDS, back: bool = False) -> np.ndarray:
-    low = _U((1 << half) - 1)
-    left, right = x >> _U(half), x & low
+def _feistel(left: np.ndarray, right: np.ndarray, half: int, key: int, rounds: int = ROUNDS, back: bool = False) -> tuple[np.ndarray, np.ndarray]:
     for k in range(rounds):
         if back:
             left, right = right ^ _round(left, key * 0x5851F42D4C957F2D + rounds - 1 - k, half), left
         else:
             left, right = right, left ^ _round(right, key * 0x5851F42D4C957F2D + k, half)
-    return left << _U(half) | right
+    return left, right
+
+
+def half_bits(size: int) -> int:
+    """Bits of each half of an index below ``size``."""
+    return max(1, (max(1, size - 1).bit_length() + 1) // 2)
+
+
+def permute_halves(left: np.ndarray, right: np.ndarray, size: int, key: int = KEY, back: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Keyed permutation of [0, size), at most 2**128: Feistel over the next even power of two, walked until inside.
+
+    Indices come and go as their upper and lower ``half_bits(size)`` bits.
+    """
+    half = half_bits(size)
+    top, low = _U((size - 1) >> half), _U((size - 1) & (1 << half) - 1)
+    left, right = _feistel(left, right, half, key, back=back)
+    while (out := (left > top) | (left == top) & (right > low)).any():
+        left[out], right[out] = _feistel(left[out], right[out], half, key, back=back)
+    return left, right
 
 
 def permute(x: np.ndarray, size: int, key: int = KEY, back: bool = False) -> np.ndarray:
-    """Keyed permutation of [0, size): Feistel over the next even power of two, walked until inside."""
-    half = max(1, (max(1, size - 1).bit_length() + 1) // 2)
-    x = _feistel(np.asarray(x, np.uint64), half, key, back=back)
-    while (out := x >= _U(size)).any():
-        x[out] = _feistel(x[out], half, key, back=back)
-    return x
+    """:func:`permute_halves` of whole indices, below 2**62."""
+    x, half = np.asarray(x, np.uint64), _U(half_bits(size))
+    left, right = permute_halves(x >> half, x & ((_U(1) << half) - _U(1)), size, key, back)
+    return left << half | right
 
 
 class Space:
@@ -90,33 +104,41 @@ class Space:
         self.low = low
         self.per = (most_bytes + 1) // sequence + 1  # a token is a byte at least
         self.ids = high - low + 2  # the last is for null
-        self.hashed = self.ids * self.per > 1 << 60
-        if self.hashed:
-            self.ids = (1 << 60) // self.per
         self.size = self.ids * self.per
-
-    def index(self, doc_id, n: int) -> np.ndarray:
-        """Indices of the n sequences of a document."""
-        at = self.ids - 1 if doc_id is None else doc_id - self.low
-        if self.hashed and doc_id is not None:
-            at = int.from_bytes(hashlib.blake2b(str(doc_id).encode(), digest_size=8).digest(), "big") % (self.ids - 1)
-        return np.arange(n, dtype=np.uint64) + _U(at * self.per)
+        self.half = half_bits(self.size)
+
+    def index(self, doc_id, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Upper and lower halves of the indices of the n sequences of a document."""
+        first = (self.ids - 1 if doc_id is None else doc_id - self.low) * self.per
+        mask = (1 << self.half) - 1
+        if (first & mask) + n <= mask:  # the upper half stays
+            return np.full(n, first >> self.half, np.uint64), _U(first & mask) + np.arange(n, dtype=np.uint64)
+        at = range(first, first + n)
+        return np.array([x >> self.half for x in at], np.uint64), np.array([x & mask for x in at], np.uint64)
+
+    def shard(self, left: np.ndarray, right: np.ndarray, shards: int) -> np.ndarray:
+        """Which of ``shards`` equal ranges of places each place is in."""
+        # The leading bits are enough where the space is wide; ranges then differ by under one in 2**20.
+        off = max(0, self.size.bit_length() - 62)
+        if off:
+            place = (left << _U(self.half - off) | right >> _U(off)) if off < self.half else left >> _U(off - self.half)
+        else:
+            place = left << _U(self.half) | right
+        return place // _U(-(-(((self.size - 1) >> off) + 1) // shards))
 
 
-_ROWS = pa.schema([("shard", pa.int32()), ("place", pa.int64()), ("doc_id", pa.int64()), ("seq", pa.int32()), ("n_tokens", pa.int32()), ("tokens", pa.binary())])
-_ROWS_SQL = "shard int, place bigint, doc_id bigint, seq int, n_tokens int, tokens binary"
+_ROWS = pa.schema([("shard", pa.int32()), ("upper", pa.int64()), ("lower", pa.int64()), ("doc_id", pa.int64()), ("seq", pa.int32()), ("n_tokens", pa.int32()), ("tokens", pa.binary())])
+_ROWS_SQL = "shard int, upper bigint, lower bigint, doc_id bigint, seq int, n_tokens int, tokens binary"
 
 
 def _tokenise(path: str, space: Space, shards: int, sequence: int, key: int):
-    width = -(-space.size // shards)
-
     def scan(batches):
         enc = encoder(path)
         kind, end = (np.uint16 if enc.max_token_value + 1 < 1 << 16 else np.uint32), enc.max_token_value + 1
 
         def out(held):
-            index = np.concatenate([space.index(d, -(-len(t) // sequence)) for d, t in held])
-            place = permute(index, space.size, key)
+            index = [space.index(d, -(-len(t) // sequence)) for d, t in held]
+            upper, lower = permute_halves(*map(np.concatenate, zip(*index)), space.size, key)
             ids, seq, n, raw = [], [], [], []
             for d, t in held:
                 for k in range(0, len(t), sequence):
@@ -124,7 +146,7 @@ def _tokenise(path: str, space: Space, shards: int, sequence: int, key: int):
                     seq.append(k // sequence)
                     n.append(min(sequence, len(t) - k))
                     raw.append(t[k : k + sequence].tobytes())
-            columns = [place // _U(width), place, ids, seq, n, raw]
+            columns = [space.shard(upper, lower, shards), upper, lower, ids, seq, n, raw]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) if isinstance(c, list) else pa.array(c.astype(np.int64)).cast(f.type) for c, f in zip(columns, _ROWS, strict=True)], schema=_ROWS)
 
         for batch in batches:
@@ -153,7 +175,7 @@ _WRITTEN = pa.schema([("shard", pa.int32()), ("record", pa.int32()), ("doc_id",
 
 def _write(folder: str, stride: int):
     def group(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("place", "tokens", "doc_id", "seq", "n_tokens")), strict=True), key=lambda r: (r[0], r[1], r[3]))
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("upper", "lower", "tokens", "doc_id", "seq", "n_tokens")), strict=True), key=lambda r: (*r[:3], r[4]))
         shard = table.column("shard")[0].as_py()
         store, base = _store(folder)
         store.create_dir(base, recursive=True)
@@ -161,12 +183,12 @@ def _write(folder: str, stride: int):
         digests = []
         with store.open_output_stream(part) as f:
             for r in rows:
-                record = r[1].ljust(stride, b"\0")
+                record = r[2].ljust(stride, b"\0")
                 digests.append(hashlib.sha256(record).hexdigest())
                 f.write(record)
         store.move(part, name)
         release()
-        return pa.table([pa.array(c, f.type) for c, f in zip([[shard] * len(rows), range(len(rows)), [r[2] for r in rows], [r[3] for r in rows], [r[4] for r in rows], digests], _WRITTEN, strict=True)], schema=_WRITTEN)
+        return pa.table([pa.array(c, f.type) for c, f in zip([[shard] * len(rows), range(len(rows)), [r[3] for r in rows], [r[4] for r in rows], [r[5] for r in rows], digests], _WRITTEN, strict=True)], schema=_WRITTEN)
 
     return group
 
