@@ -10,7 +10,9 @@ more than its list entries and the check of its shingles.
 Heavy sets enter lists only with their rarest shingles: sharing 3/7 of both
 sizes, two linked sets must share k of the first ``n - ceil(3n/4) + k`` in any
 order that is the same for all, for every k. Frequent shingles come last in
-that order, so passages that many documents repeat are not looked up. A long
+that order, so passages that many documents repeat are not looked up; a table
+of fixed size tells every task each shingle's class, so no limit of frequent
+shingles lets chance unite groups as tables grow. A long
 list makes a chain of neighbours in size, never all pairs; of short lists
 (``SHORT`` sets at most) each pair is counted, and counts only if the lists
 that hold both reach k, which grows with the sets: single shingles shared by
@@ -67,13 +69,15 @@ COUNT_ROWS, BLANK_BUCKETS = 100_000, 64
 LEADERS = 8
 #: Bins of whole groups, at least: small groups spread evenly.
 BINS_LEAST = 64
-#: Frequent shingles told to all tasks: at most so many (9 bytes each), and their least count.
-FREQUENT = 1 << 20
-FREQUENT_LEAST = 4
+#: Cells of the table that tells all tasks how often shingles occur, and cells of each bucket in it, at most (two bits
+#: each, so 64 MB whatever the input). Every frequent shingle is in its cell; a rare one that shares it passes for frequent.
+CELLS, BUCKET_CELLS = 1 << 28, 1 << 18
 #: Group members told to all tasks: at most so many rows and parts, else they are joined by a shuffle.
 TOLD = 500_000
 #: Lists of so many sets at most have their pairs counted.
 SHORT = 8
+#: Least counts of the classes of frequent shingles. Those of the second and third may make long lists.
+FREQUENT_LEAST = (4, SHORT + 1, 64)
 #: Boundaries that are tried. A set of eight or more shingles always has more subsets than it costs as a heavy one.
 BOUNDARIES = range(65)
 _U = np.uint64
@@ -144,9 +148,14 @@ def _bucket(s: np.ndarray, n: int) -> np.ndarray:
     return (s >> _U(32)) % _U(n)
 
 
-def _key(s: np.ndarray, n: int, whole: bool) -> np.ndarray:
-    """What tells a shingle from others: bucket and lower half; if buckets are dealt out in two steps, the whole hash."""
-    return s if whole else (_bucket(s, n) << _U(32)) | (s & _U(0xFFFFFFFF))
+def _width(n: int) -> int:
+    """Cells of each of ``n`` buckets in the table of classes."""
+    return max(4, min(BUCKET_CELLS, CELLS // n) // 4 * 4)
+
+
+def _cell(low: np.ndarray, width: int) -> np.ndarray:
+    """Cells of shingles in their bucket, by the lower half of their hash."""
+    return ((low & _U(0xFFFFFFFF)) * _U(width)) >> _U(32)
 
 
 def _coarse(bucket: np.ndarray, fan: int) -> np.ndarray:
@@ -211,7 +220,7 @@ def _count_map(n: int):
             if n > FAN:
                 keys, parts = _dealt(s, _coarse(_bucket(s, n), FAN))
             else:  # the bucket says the upper half
-                s = np.sort(_key(s, n, False))
+                s = np.sort((_bucket(s, n) << _U(32)) | (s & _U(0xFFFFFFFF)))
                 keys, parts = _dealt(s.astype(np.uint32), s >> _U(32))
             if len(keys):
                 yield pa.RecordBatch.from_arrays([pa.array(keys), parts, *(pa.nulls(len(keys), pa.list_(t)) for t in _ROWS.values())], schema=kind)
@@ -242,23 +251,20 @@ def _count_map(n: int):
 
 
 def _count_group(n: int):
-    most = max(1, FREQUENT // n)
-    kind = pa.schema([("keys", pa.binary()), ("classes", pa.binary()), *((c, pa.list_(t)) for c, t in _ROWS.items())])
+    """Classes of a bucket's shingles by cell, the greatest of a cell, four to a byte; and the bucket's rows."""
+    kind = pa.schema([("bucket", pa.int32()), ("cells", pa.binary()), *((c, pa.list_(t)) for c, t in _ROWS.items())])
 
     def group(table: pa.Table) -> pa.Table:
         half = np.uint32 if n <= FAN else np.uint64
         s = [np.frombuffer(x, half) for x in table.column("shingles").drop_null().to_pylist()]
         values, counts = np.unique(np.concatenate([*s, np.zeros(0, half)]), return_counts=True)
-        often = np.flatnonzero(counts >= FREQUENT_LEAST)
-        if len(often) > most:
-            often = np.sort(often[np.argsort(-counts[often], kind="stable")[:most]])
-        classes = np.minimum(15, np.log2(counts[often])).astype(np.uint8)
-        keys = values[often].astype(np.uint64)
-        if n <= FAN:
-            keys |= _U(table.column("bucket")[0].as_py()) << _U(32)
+        of = np.zeros(_width(n), np.uint8)
+        for k, least in enumerate(FREQUENT_LEAST, 1):
+            of[_cell(values[counts >= least].astype(np.uint64), len(of))] = k
+        packed = (of.reshape(-1, 4) << np.arange(0, 8, 2, dtype=np.uint8)).sum(axis=1, dtype=np.uint8)
         rows = [table.column(c).combine_chunks().flatten() for c in _ROWS]
         rows = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in rows]
-        return pa.Table.from_arrays([pa.array([keys.tobytes()]), pa.array([classes.tobytes()]), *rows], schema=kind)
+        return pa.Table.from_arrays([table.column("bucket")[:1].combine_chunks(), pa.array([packed.tobytes() if of.any() else None], pa.binary()), *rows], schema=kind)
 
     return group
 
@@ -266,15 +272,16 @@ def _count_group(n: int):
 # --- second reading: list entries of heavy sets, subsets of light ones
 
 
-def ordered_prefix(s: np.ndarray, keys: np.ndarray, classes: np.ndarray, n_buckets: int, whole: bool = False) -> np.ndarray:
+def ordered_prefix(s: np.ndarray, told: np.ndarray, n_buckets: int) -> np.ndarray:
     """The first ``prefix(n)`` shingles of a set: rare ones first, then by hash."""
-    own, rank = _key(s, n_buckets, whole), np.zeros(len(s), np.uint64)
-    if len(keys):
-        at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-        rank = np.where(keys[at] == own, classes[at], 0).astype(np.uint64)
     k = prefix(len(s))
-    order = (rank << _U(60)) | (s >> _U(4))
-    return s[np.argpartition(order, k - 1)[:k]] if k < len(s) else s
+    if k >= len(s):
+        return s
+    width = _width(n_buckets)
+    cell = _bucket(s, n_buckets) * _U(width) + _cell(s, width)
+    rank = (told[cell >> _U(2)] >> (cell & _U(3)).astype(np.uint8) * np.uint8(2)) & np.uint8(3)
+    order = (rank.astype(np.uint64) << _U(60)) | (s >> _U(4))
+    return s[np.argpartition(order, k - 1)[:k]]
 
 
 def subset_keys(s: np.ndarray) -> list[tuple[int, int]]:
@@ -297,7 +304,7 @@ def _post_map(handle, x: int, odd: frozenset, n: int):
     kind = pa.schema([("bucket", pa.int32()), ("entries", pa.binary())])
 
     def scan(batches):
-        keys, classes = (np.frombuffer(b, t) for b, t in zip(handle.value, (np.uint64, np.uint8), strict=True))
+        told = np.frombuffer(handle.value, np.uint8)
         for batch in batches:
             tokens, nodes, sizes, subsets, seen, held = [], [], [], [], set(), 0
 
@@ -319,7 +326,7 @@ def _post_map(handle, x: int, odd: frozenset, n: int):
                     for o in subset_sizes(len(s)):
                         added.append((np.array([k for k, size in own if size == o], np.uint64), o))
                 if len(s) > x or 4 * len(s) >= 3 * (x + 1):
-                    added.append((ordered_prefix(s, keys, classes, n, n > FAN), 0))
+                    added.append((ordered_prefix(s, told, n), 0))
                 for t, o in added:
                     tokens.append(t)
                     nodes.append(node)
@@ -573,22 +580,18 @@ def _large(big: DataFrame, sets: DataFrame) -> DataFrame:
     return first.unionByName(materialise(_meet(sets, materialise(one.unionByName(two).distinct(), "pairs")), "met"))
 
 
-def nodes_of(docs: DataFrame, n: int) -> tuple[DataFrame, frozenset, bytes, bytes]:
-    """First reading: (doc_id, n, node) of every document, first hashes that do not tell sets apart, and the frequent shingles' keys and classes."""
+def nodes_of(docs: DataFrame, n: int) -> tuple[DataFrame, frozenset, bytes]:
+    """First reading: (doc_id, n, node) of every document, first hashes that do not tell sets apart, and the table of shingles' classes."""
     counted = docs.mapInArrow(_count_map(n), f"bucket int, shingles binary, {_ROWS_SQL}")
     counted = _finer(counted, n, np.dtype("<u8"), "shingles", _bucket)
-    counted = counted.groupBy("bucket").applyInArrow(_count_group(n), f"keys binary, classes binary, {_ROWS_SQL}")
+    counted = counted.groupBy("bucket").applyInArrow(_count_group(n), f"bucket int, cells binary, {_ROWS_SQL}")
     counted = materialise(counted, "shingles")
-    told = counted.select("keys", "classes").filter(F.octet_length("classes") > 0)
-    if n > FREQUENT:  # one shingle a bucket: the most frequent of those
-        told = told.orderBy(F.desc(F.hex("classes")), "keys").limit(FREQUENT)
-    often = told.collect()
-    keys = np.concatenate([np.frombuffer(r.keys, np.uint64) for r in often] or [np.zeros(0, np.uint64)])
-    classes = np.concatenate([np.frombuffer(r.classes, np.uint8) for r in often] or [np.zeros(0, np.uint8)])
-    order = np.argsort(keys)
+    told = np.zeros((n, _width(n) // 4), np.uint8)
+    for r in counted.select("bucket", "cells").filter("cells is not null").collect():
+        told[r.bucket] = np.frombuffer(r.cells, np.uint8)
     slim = counted.select(F.explode(F.arrays_zip(*_ROWS)).alias("x")).select(F.col("x.ids").alias("doc_id"), F.col("x.sizes").alias("n"), F.col("x.prints").alias("node"), F.col("x.seconds").alias("second"))
     slim, odd = _told_apart(slim)
-    return slim, odd, keys[order].tobytes(), classes[order].tobytes()
+    return slim, odd, told.tobytes()
 
 
 def _told_apart(slim: DataFrame) -> tuple[DataFrame, frozenset]:
@@ -611,10 +614,10 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, frozenset]:
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(8, -(-size // (6 * BUCKET_SHINGLES)))
-    slim, odd, keys, classes = nodes_of(docs, n)
+    slim, odd, told = nodes_of(docs, n)
     histogram = {r.n: r.many for r in slim.filter(F.col("n").between(1, 64)).groupBy("n").agg(F.count(F.lit(1)).alias("many")).collect()}
     x = boundary(histogram)
-    handle = spark.sparkContext.broadcast((keys, classes))
+    handle = spark.sparkContext.broadcast(told)
     lists = _finer(docs.select("text").mapInArrow(_post_map(handle, x, odd, n), "bucket int, entries binary"), n, _ENTRY, "entries", _entry_bucket)
     lists = materialise(lists.groupBy("bucket").applyInArrow(_list_group(n), _LISTS_SQL), "lists")
     edges = lists.filter("sure is not null").select("sure", F.explode(F.arrays_zip("a", "b")).alias("x")).select("x.a", "x.b", "sure")

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from brute import components
 from pyspark.sql import functions as F
 
@@ -158,3 +159,17 @@ def test_very_long_texts(spark):
     near = [w if rnd.random() > 0.02 else "new" for w in ws]
     far = [w if rnd.random() > 0.2 else "new" for w in ws]
     check(spark, {1: " ".join(far), 2: " ".join(near), 3: " ".join(ws), 4: " ".join(ws[:100]), 5: "w" * 2_000_000, 6: " ".join(ws)})
+
+
+def test_every_frequent_shingle_comes_last():
+    """The order has no limit of frequent shingles: of 60 in one of many buckets none is taken for a rare one."""
+    n, at, rnd = 1 << 17, 77, np.random.default_rng(15)
+    s = ((at + n * np.arange(1, 101)).astype(np.uint64) << np.uint64(32)) | rnd.integers(0, 1 << 32, 100).astype(np.uint64)
+    often, rare = s[np.arange(100) % 5 < 3], s[np.arange(100) % 5 >= 3]
+    rows = {c: pa.array([None], pa.list_(t)) for c, t in j._ROWS.items()}
+    got = j._count_group(n)(pa.table({"bucket": pa.array([at], pa.int32()), "shingles": [np.concatenate([s] + [often] * 20).tobytes()], **rows}))
+    assert got["bucket"].to_pylist() == [at]
+    told = np.zeros((n, j._width(n) // 4), np.uint8)
+    told[at] = np.frombuffer(got["cells"][0].as_py(), np.uint8)
+    assert told.nbytes <= 64 << 20
+    assert len(rare) == 40 and np.isin(j.ordered_prefix(s, told.ravel(), n), rare).all()
