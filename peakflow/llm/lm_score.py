@@ -26,6 +26,8 @@ ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -46,8 +48,10 @@ ROUNDS = 2
 LEARN_ONE_IN = ROUNDS
 BATCH = 8192
 RATE = 0.05
-#: Rows whose logits are held at once.
+#: Rows whose logits are held at once; words scored at once; logits below this need no shift before their exponential.
 CHUNK = 512
+SCORED = 32_768
+MOST_LOGIT = 60
 #: Words in a shard that is trained on by itself; least groups that words are counted in.
 SHARD_WORDS = 4_000_000
 COUNT_GROUPS = 64
@@ -61,7 +65,8 @@ SHARE_GROUPS, SHARE_GROUP_WORDS = 32, 2_000_000
 _SENT_AS = np.float16
 _NET = pa.schema([("part", pa.int32()), ("seen", pa.int64()), ("net", pa.binary())])
 _U = np.uint64
-_SHAPES = {"emb": (WORDS + 1, WIDTH), "place": (2 * SIDE, WIDTH), "w": (WIDTH, WIDTH), "b": (WIDTH,), "top": (WIDTH, CLASSES), "leaf": (CLASSES, WIDTH, PER_CLASS), "tb": (CLASSES,), "lb": (CLASSES, PER_CLASS)}
+#: In ``tops`` and in each of ``leaves`` the last row is the bias, so one product makes logits.
+_SHAPES = {"emb": (WORDS + 1, WIDTH), "place": (2 * SIDE, WIDTH), "w": (WIDTH, WIDTH), "b": (WIDTH,), "tops": (WIDTH + 1, CLASSES), "leaves": (CLASSES, WIDTH + 1, PER_CLASS)}
 
 
 class Net:
@@ -69,15 +74,19 @@ class Net:
 
     def __init__(self, flat: np.ndarray | None = None, seed: int = 1):
         size = sum(int(np.prod(s)) for s in _SHAPES.values())
-        fresh = flat is None
         self.past: Net | None = None
-        self.flat = np.random.default_rng(seed).normal(0, 0.1, size).astype(np.float32) if fresh else flat.astype(np.float32)
+        self.flat = np.empty(size, np.float32) if flat is None else flat.astype(np.float32)
         at = 0
         for name, shape in _SHAPES.items():
             n = int(np.prod(shape))
             setattr(self, name, self.flat[at : at + n].reshape(shape))
             at += n
-        if fresh:
+        self.top, self.tb = self.tops[:-1], self.tops[-1]
+        self.leaf, self.lb = self.leaves[:, :-1], self.leaves[:, -1]
+        if flat is None:
+            random = np.random.default_rng(seed)
+            for x in (self.emb, self.place, self.w, self.b, self.top, self.leaf):
+                x[:] = random.normal(0, 0.1, x.shape)
             self.place += 1
             for x in (self.b, self.tb, self.lb):
                 x[:] = 0
@@ -90,34 +99,37 @@ class Net:
         return self
 
     def _hidden(self, around: np.ndarray):
-        e = self.emb[around]
+        """Embeddings, the sum that enters the hidden layer, and that layer with a last column of ones, for the biases."""
+        e = np.empty((*around.shape, WIDTH), np.float32)
+        np.take(self.emb, around, axis=0, out=e, mode="clip")
         x = np.einsum("nkd,kd->nd", e, self.place, optimize=False)
-        return e, x, np.tanh(x @ self.w + self.b)
+        h = np.empty((len(x), WIDTH + 1), np.float32)
+        np.tanh(x @ self.w + self.b, out=h[:, :-1])
+        h[:, -1] = 1
+        return e, x, h
 
-    def _by_class(self, h: np.ndarray, word: np.ndarray):
-        """Rows in order of their words' classes, their hidden layer and leaves in it, and (class, slice of rows) of each class."""
-        cls = (word // PER_CLASS).astype(np.uint16)
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1)).tolist()
-        return order, h[order], (word % PER_CLASS)[order], [(c, slice(cuts[c], cuts[c + 1])) for c in range(CLASSES) if cuts[c] < cuts[c + 1]]
+    def _bounded(self) -> bool:
+        """Whether no logit can leave the range where its exponential is exact, as the hidden layer is within -1 and 1."""
+        return all(np.abs(x).sum(-2).max() < MOST_LOGIT for x in (self.tops, self.leaves))
 
     def log_probs(self, around: np.ndarray, word: np.ndarray) -> np.ndarray:
         """ln p(word | around) for each row; rows are grouped by class for the second level."""
-        _, _, h = self._hidden(around)
-        order, hs, leaf, classes = self._by_class(h, word)
-        second, first = np.empty(len(word), np.float32), np.empty(len(word), np.float32)
-        for c, rows in classes:
-            z = hs[rows] @ self.leaf[c]
-            z += self.lb[c]
-            second[rows] = _log_soft(z, leaf[rows])
-        cls = word // PER_CLASS
-        for a in range(0, len(word), CHUNK):
-            rows = slice(a, a + CHUNK)
-            z = h[rows] @ self.top
-            z += self.tb
-            first[rows] = _log_soft(z, cls[rows])
-        first[order] += second
-        return first
+        order, classes = _by_class(word)
+        word, around = word[order], around.take(order, 0)
+        cls, leaf = word // PER_CLASS, word % PER_CLASS
+        bounded, room = self._bounded(), _room()
+        h, each = np.empty((len(word), WIDTH + 1), np.float32), np.empty(len(word), np.float32)
+        for rows in _chunks(0, len(word)):  # chunks stay in the cache
+            _, _, h[rows] = self._hidden(around[rows])
+            own, _, _, total = _exps(h[rows], self.tops, cls[rows], bounded, room)
+            each[rows] = own - np.log(total)
+        for c, first, end in classes:
+            for rows in _chunks(first, end):
+                own, _, _, total = _exps(h[rows], self.leaves[c], leaf[rows], bounded, room)
+                each[rows] += own - np.log(total)
+        out = np.empty_like(each)
+        out[order] = each
+        return out
 
     def _move(self, name: str, where, grad: np.ndarray, rate: float) -> None:
         """Step against a gradient, scaled by the root of the squares summed so far (Adagrad); ``grad`` is used up.
@@ -126,70 +138,95 @@ class Net:
         """
         whole, seen = getattr(self, name), getattr(self.past, name)
         now = seen[where]
-        now += grad * grad
+        root = grad * grad
+        now += root
         if isinstance(where, np.ndarray):
             seen[where] = now
-        grad /= np.sqrt(now + np.float32(1e-8))
+        grad /= np.sqrt(now, out=root)
         grad *= rate
         whole[where] -= grad
 
     def step(self, around: np.ndarray, word: np.ndarray, rate: float) -> None:
         """One step of descent on the mean of -ln p."""
         if self.past is None:
-            self.past = Net(np.zeros_like(self.flat))
+            self.past = Net(np.full_like(self.flat, 1e-8))  # so that no root is 0
         n = np.float32(len(word))
         rate = np.float32(rate)
+        order, classes = _by_class(word)
+        word, around = word[order], around.take(order, 0)
+        cls, leaf = word // PER_CLASS, word % PER_CLASS
         e, x, h = self._hidden(around)
-        cls, dh = word // PER_CLASS, np.empty_like(h)
-        d_top, d_tb = np.zeros_like(self.top), np.zeros_like(self.tb)
-        for a in range(0, len(word), CHUNK):  # chunks stay in the cache
-            rows = slice(a, a + CHUNK)
-            z = h[rows] @ self.top
-            z += self.tb
-            _soft(z)[np.arange(len(z)), cls[rows]] -= 1
-            np.matmul(z, self.top.T, out=dh[rows])
-            d_top += h[rows].T @ z
-            d_tb += z.sum(0)
-        order, hs, leaf, classes = self._by_class(h, word)
-        ds = np.empty_like(hs)
-        hn = hs / n
-        for c, rows in classes:
-            z = hs[rows] @ self.leaf[c]
-            z += self.lb[c]
-            _soft(z)[np.arange(len(z)), leaf[rows]] -= 1
-            np.matmul(z, self.leaf[c].T, out=ds[rows])
-            self._move("leaf", c, hn[rows].T @ z, rate)
-            self._move("lb", c, z.sum(0) / n, rate)
-        dh[order] += ds
-        everything = slice(None)
-        self._move("top", everything, d_top / n, rate)
-        self._move("tb", everything, d_tb / n, rate)
-        da = dh * (1 - h * h)
+        bounded, room, dh, everything = self._bounded(), _room(), np.zeros_like(h), slice(None)
+        back = lambda weights, at, rows: _back(h[rows], weights, at[rows], bounded, room, n, dh[rows])
+        d_tops = reduce(np.add, (back(self.tops, cls, rows) for rows in _chunks(0, len(word))))  # chunks stay in the cache
+        for c, first, end in classes:
+            self._move("leaves", c, reduce(np.add, (back(self.leaves[c], leaf, rows) for rows in _chunks(first, end))), rate)
+        self._move("tops", everything, d_tops, rate)
+        da = dh * (1 - h * h)  # 0 in the column of ones
+        da = da[:, :-1]
         dx = da @ self.w.T
-        flat, de = around.ravel(), (dx[:, None, :] * self.place).reshape(-1, WIDTH)
         self._move("w", everything, x.T @ da / n, rate)
         self._move("b", everything, da.sum(0) / n, rate)
-        self._move("place", everything, np.einsum("nd,nkd->kd", dx, e, optimize=False) / n, rate)
+        d_place = np.einsum("nd,nkd->kd", dx, e, optimize=False) / n
+        flat = around.ravel()
         order = np.argsort(flat.astype(np.uint16), kind="stable")
         ids = flat[order]
         first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-        self._move("emb", ids[first], np.add.reduceat(de[order], first) / n, rate)
+        dx /= n
+        de = dx.take(order // (2 * SIDE), 0, mode="clip")
+        de *= self.place.take(order % (2 * SIDE), 0, mode="clip")
+        # Pairs of floats are added as complex numbers are, at half the cost.
+        self._move("emb", ids[first], np.add.reduceat(de.view(np.complex64), first).view(np.float32), rate)
+        self._move("place", everything, d_place, rate)
 
 
-def _soft(z: np.ndarray) -> np.ndarray:
-    """Softmax of each row, in place."""
-    z -= z.max(1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
-    return z
+def _by_class(word: np.ndarray):
+    """The order of rows by their words' classes, and (class, first row, end) of each class in it."""
+    cls = (word // PER_CLASS).astype(np.uint16)
+    order = np.argsort(cls, kind="stable")
+    cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1)).tolist()
+    return order, [(c, cuts[c], cuts[c + 1]) for c in range(CLASSES) if cuts[c] < cuts[c + 1]]
+
+
+def _chunks(first: int, end: int):
+    return (slice(a, min(a + CHUNK, end)) for a in range(first, end, CHUNK))
+
 
+def _room() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Space for the logits of a chunk, where each of its rows begins, and ones to sum its rows with."""
+    wide = max(CLASSES, PER_CLASS)
+    return np.empty(CHUNK * wide, np.float32), np.arange(CHUNK), np.ones(wide, np.float32)
 
-def _log_soft(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Logarithm of each row's softmax at one place; ``z`` is used up."""
-    z -= z.max(1, keepdims=True)
-    own = z[np.arange(len(z)), at]
+
+def _exps(h: np.ndarray, weights: np.ndarray, at: np.ndarray, bounded: bool, room):
+    """(logits at ``at``, exponentials of all, places of ``at`` in them as a flat array, their sums) of each row.
+
+    Logits that are not ``bounded`` are taken less their row's greatest.
+    """
+    space, count, ones = room
+    n, wide = len(h), weights.shape[1]
+    flat = space[: n * wide]
+    z = np.matmul(h, weights, out=flat.reshape(n, wide))
+    if not bounded:
+        z -= z.max(1, keepdims=True)
+    place = count[:n] * wide
+    place += at
+    own = flat.take(place)
     np.exp(z, out=z)
-    return own - np.log(z.sum(1))
+    return own, z, place, z @ ones[:wide]
+
+
+def _back(h: np.ndarray, weights: np.ndarray, at: np.ndarray, bounded: bool, room, n, dh: np.ndarray) -> np.ndarray:
+    """Gradient of the mean over ``n`` words of -ln softmax at ``at`` by the weights; that of the sum by the hidden layer is added to ``dh``."""
+    _, z, place, total = _exps(h, weights, at, bounded, room)
+    # z / total, less 1 at a row's place, is the gradient by logits; the division is left to the narrow side.
+    room[0][place] -= total
+    by = (1 / total)[:, None]
+    d = z @ weights.T
+    d *= by
+    dh += d
+    by /= n
+    return (h * by).T @ z
 
 
 class Vocabulary:
@@ -392,7 +429,7 @@ def train(texts: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, one_in: int
     return net
 
 
-def _score_entries(net: Net, ids: np.ndarray, offs: np.ndarray, step: int = BATCH) -> np.ndarray:
+def _score_entries(net: Net, ids: np.ndarray, offs: np.ndarray, step: int = SCORED) -> np.ndarray:
     around, each = windows(ids, offs), np.empty(len(ids))
     for a in range(0, len(ids), step):
         each[a : a + step] = net.log_probs(around[a : a + step], ids[a : a + step])

@@ -42,6 +42,88 @@ def test_gradient_step_descends():
     assert net.log_probs(around, word).mean() > before + 0.3
 
 
+def test_step_equals_definition():
+    """Two steps of Adagrad with gradients from the definition, in double precision."""
+    rnd = np.random.default_rng(5)
+    around, word = rnd.integers(0, 300, (1500, 4)), rnd.integers(0, 300, 1500) ** 2 // 90 % m.WORDS
+    around[:40, 0] = m.WORDS
+    names, n = ("emb", "place", "w", "b", "top", "tb", "leaf", "lb"), len(word)
+    net = m.Net(seed=4)
+    net.flat += rnd.normal(0, 0.3, len(net.flat)).astype(np.float32)
+    v = {k: getattr(net, k).astype(float) for k in names}
+    past = {k: np.zeros_like(x) for k, x in v.items()}
+    soft = lambda z: np.exp(z - z.max(-1, keepdims=True)) / np.exp(z - z.max(-1, keepdims=True)).sum(-1, keepdims=True)
+    for _ in range(2):
+        net.step(around, word, m.RATE)
+        g = {k: np.zeros_like(x) for k, x in v.items()}
+        e = v["emb"][around]
+        x = (e * v["place"]).sum(1)
+        h = np.tanh(x @ v["w"] + v["b"])
+        p = soft(h @ v["top"] + v["tb"])
+        p[np.arange(n), word // m.PER_CLASS] -= 1
+        g["top"], g["tb"], dh = h.T @ p, p.sum(0), p @ v["top"].T
+        for i, (c, k) in enumerate(zip(*divmod(word, m.PER_CLASS))):
+            q = soft(h[i] @ v["leaf"][c] + v["lb"][c])
+            q[k] -= 1
+            g["leaf"][c] += np.outer(h[i], q)
+            g["lb"][c] += q
+            dh[i] += v["leaf"][c] @ q
+        da = dh * (1 - h * h)
+        dx = da @ v["w"].T
+        g["w"], g["b"], g["place"] = x.T @ da, da.sum(0), (dx[:, None] * e).sum(0)
+        np.add.at(g["emb"], around, dx[:, None] * v["place"])
+        for k in names:
+            past[k] += (g[k] / n) ** 2
+            v[k] -= m.RATE * g[k] / n / np.sqrt(past[k] + 1e-8)
+    assert all(np.allclose(getattr(net, k), v[k], atol=5e-4) for k in names), {k: np.abs(getattr(net, k) - v[k]).max() for k in names}
+
+
+def test_great_logits():
+    """Logits whose exponentials no single float holds."""
+    rnd = np.random.default_rng(6)
+    around, word = rnd.integers(0, m.WORDS, (600, 4)), rnd.integers(0, m.WORDS, 600)
+    net = m.Net(seed=4)
+    net.top *= 400
+    net.leaf *= 400
+    net.tb += 300
+    net.lb -= 300
+    h = np.tanh((net.emb[around] * net.place).sum(1) @ net.w + net.b).astype(float)
+    z = h @ net.top + net.tb
+    assert z.max() > 320
+    log = lambda z, i: z[i] - z.max() - np.log(np.exp(z - z.max()).sum())
+    want = [log(z[i], c) + log(h[i] @ net.leaf[c] + net.lb[c], k) for i, (c, k) in enumerate(zip(*divmod(word, m.PER_CLASS)))]
+    assert np.allclose(net.log_probs(around, word), want, rtol=1e-4, atol=1e-2)
+    net.step(around, word, m.RATE)
+    assert np.isfinite(net.flat).all() and np.isfinite(net.log_probs(around, word)).all()
+
+
+class Counted(np.ndarray):
+    """Arrays, and all that element-wise functions make of them, that count the numbers passed through."""
+
+    passed = 0
+
+    def __array_ufunc__(self, ufunc, method, *inputs, out=None, **more):
+        plain = lambda xs: tuple(x.view(np.ndarray) if isinstance(x, Counted) else x for x in xs)
+        got = getattr(ufunc, method)(*plain(inputs), **(more if out is None else more | {"out": plain(out)}))
+        Counted.passed += max(map(np.size, inputs)) if ufunc is not np.matmul else 0
+        return got.view(Counted) if isinstance(got, np.ndarray) else got
+
+
+def test_logits_are_passed_over_once():
+    """A word has 256 logits; passes over them are what training and scoring cost."""
+    rnd = np.random.default_rng(7)
+    around, word = rnd.integers(0, m.WORDS, (m.BATCH, 4)), rnd.integers(0, m.WORDS, m.BATCH)
+    net = m.Net()
+    net.step(around, word, m.RATE)
+    for name, x in list(vars(net).items()):
+        if isinstance(x, np.ndarray):
+            setattr(net, name, x.view(Counted))
+    for run, most in ((lambda: net.log_probs(around, word), 700), (lambda: net.step(around, word, m.RATE), 1600)):
+        Counted.passed = 0
+        run()
+        assert m.CLASSES + m.PER_CLASS <= Counted.passed / m.BATCH < most, Counted.passed / m.BATCH
+
+
 def test_held_out_beats_word_frequencies(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").repartition(3)
     seen, rest = docs.filter("doc_id % 5 > 0"), docs.filter("doc_id % 5 = 0")
