@@ -74,13 +74,19 @@ def upper_median(values: Column) -> Column:
 # --- arrays
 
 
+def _held(array: Column, made) -> Column:
+    """``made`` of an array that is worked out once, not once for each element that ``made`` looks up."""
+    return F.get(F.transform(F.array(array), made), F.lit(0))
+
+
 def csr_explode(offsets: Column) -> Column:
     """Offsets to ids: id i once for each step from offsets[i] to offsets[i+1]."""
-    ids = F.transform(
-        F.sequence(F.lit(0), F.size(offsets) - 2),
-        lambda i: F.array_repeat(i.cast("bigint"), (F.get(offsets, i + 1) - F.get(offsets, i)).cast("int")),
-    )
-    return F.when(F.size(offsets) < 2, F.array().cast("array<bigint>")).otherwise(F.flatten(ids))
+
+    def made(o):
+        ids = F.transform(F.sequence(F.lit(0), F.size(o) - 2), lambda i: F.array_repeat(i.cast("bigint"), (F.get(o, i + 1) - F.get(o, i)).cast("int")))
+        return F.when(F.size(o) < 2, F.array().cast("array<bigint>")).otherwise(F.flatten(ids))
+
+    return _held(offsets, made)
 
 
 def csr_compress(ids: Column) -> Column:
@@ -88,13 +94,17 @@ def csr_compress(ids: Column) -> Column:
 
     Where one id gives way to the next, the place is an offset: once for each value between them.
     """
-    n = F.size(ids)
-    steps = lambda x, i: F.when(i == n - 1, F.lit(1)).otherwise(F.get(ids, i + 1) - x).cast("int")
-    ends = F.flatten(F.transform(ids, lambda x, i: F.array_repeat((i + 1).cast("bigint"), steps(x, i))))
-    lead = F.array_repeat(F.lit(0).cast("bigint"), (F.get(ids, F.lit(0)) + 1).cast("int"))
-    ordered = ~F.exists(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda i: F.coalesce(F.get(ids, i) > F.get(ids, i + 1), F.lit(False)))
-    made = F.when(ordered, F.concat(lead, ends)).otherwise(F.raise_error(F.lit("ids are not sorted")).cast("array<bigint>"))
-    return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(made)
+
+    def made(a):
+        n = F.size(a)
+        steps = lambda x, i: F.when(i == n - 1, F.lit(1)).otherwise(F.get(a, i + 1) - x).cast("int")
+        ends = F.flatten(F.transform(a, lambda x, i: F.array_repeat((i + 1).cast("bigint"), steps(x, i))))
+        lead = F.array_repeat(F.lit(0).cast("bigint"), (F.get(a, F.lit(0)) + 1).cast("int"))
+        ordered = ~F.exists(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda i: F.coalesce(F.get(a, i) > F.get(a, i + 1), F.lit(False)))
+        out = F.when(ordered, F.concat(lead, ends)).otherwise(F.raise_error(F.lit("ids are not sorted")).cast("array<bigint>"))
+        return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(out)
+
+    return _held(ids, made)
 
 
 def sort_by_first(*arrays: Column) -> Column:
