@@ -87,11 +87,15 @@ def bucket_counts(peaks: DataFrame) -> DataFrame:
     return peaks.groupBy(*keys(peaks, "quad_major", "quad_sub", "tof_index")).agg(F.count(F.lit(1)).alias("n_peaks"), F.sum("intensity").alias("intensity"))
 
 
-def slice_info(peaks: DataFrame) -> DataFrame:
-    """Per quad: frames, peaks, largest bucket, time span, mean cycle time."""
+def slice_info(peaks: DataFrame, order: Column | None = None) -> DataFrame:
+    """Per quad: frames, peaks, largest bucket, time span, mean cycle time.
+
+    ``largest_tof`` is of the bucket that is last by ``order`` of its peaks ``n`` and its ``tof_index``: as a rule by n, then tof.
+    """
+    order = F.struct("n", "tof_index") if order is None else order
     own = keys(peaks, "quad_major", "quad_sub")
     per = peaks.groupBy(*own, "tof_index").agg(F.count(F.lit(1)).alias("n"))
-    buckets = per.groupBy(*own).agg(F.count(F.lit(1)).alias("n_buckets"), F.max("n").alias("largest"), F.max_by("tof_index", F.struct("n", "tof_index")).alias("largest_tof"))
+    buckets = per.groupBy(*own).agg(F.count(F.lit(1)).alias("n_buckets"), F.max("n").alias("largest"), F.max_by("tof_index", order).alias("largest_tof"))
     frames = peaks.groupBy(*own).agg(F.countDistinct("frame_index").alias("n_frames"), F.count(F.lit(1)).alias("n_peaks"), F.min("rt").alias("rt_first"), F.max("rt").alias("rt_last"))
     out = frames.join(buckets, [frames[c].eqNullSafe(buckets[c]) for c in own]).drop(*[buckets[c] for c in own])
     return out.withColumn("cycle_time", (F.col("rt_last") - F.col("rt_first")) / F.col("n_frames"))

@@ -40,3 +40,15 @@ def test_twin(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
 def test_others_run(spark, name):
     assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_store_info_twin_beyond_a_million_tofs(spark, tmp_path):
+    """The twin ranks buckets by peaks * 1,000,000 + tof: the one of two peaks here outranks the one of three."""
+    c = duckdb.connect()
+    tofs = "(VALUES (5), (5), (5), (1500000), (1500000), (700000)) t(k)"
+    c.sql(f"copy (select k::bigint as l_partkey, 1::bigint as l_suppkey, q::integer as l_linenumber, 3.0::double as l_quantity, timestamp '1995-03-01' as l_shipdate from {tofs}, range(1, 4) r(q)) to '{tmp_path}/lineitem.parquet'")
+    c.sql(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet'")
+    want = c.sql(registry.ORACLE_SQL["store_info"])
+    got = registry.QUERIES["store_info"](spark, str(tmp_path)).select(*want.columns)
+    rows = sorted(want.fetchall())
+    assert sorted(map(tuple, got.collect())) == rows and rows[0][want.columns.index("largest_tof")] == 1_500_000
