@@ -14,6 +14,32 @@ from .runs import RUN, keys
 LEAST_INTENSITY, LEAST_PEAKS = 100, 1
 #: Windows that one group of a task centroids, at most, and peaks that it holds about, if frames hold fewer.
 WINDOWS_A_GROUP, PEAKS_A_GROUP = 64, 2_000_000
+#: Pairs of a peak and one of its window's tofs that are looked at together.
+PAIRS = 1_000_000
+
+
+def _bounds(of, values):
+    """Lower and upper bounds of each value, asked once for each distinct one, or for all if ``of`` takes arrays."""
+    if getattr(of, "arrays", False):
+        return of(values)
+    each, back = np.unique(values, return_inverse=True)
+    lo, hi = zip(*map(of, each), strict=True)
+    return np.array(lo)[back], np.array(hi)[back]
+
+
+def _crowded(scan, s_lo, s_hi, a, b):
+    """Which peaks have another one in their window, or are in another's. Windows' peaks are looked at ``PAIRS`` at a time."""
+    out, size = np.zeros(len(scan), bool), np.maximum(b - a, 0)
+    ends, k = np.cumsum(size), 0
+    while k < len(scan):
+        stop = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + PAIRS, "right")))
+        n = size[k:stop]
+        i = np.repeat(np.arange(k, stop), n)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + a[i]
+        meet = (i != j) & (scan[j] >= s_lo[i]) & (scan[j] <= s_hi[i])
+        out[i[meet]], out[j[meet]] = True, True
+        k = stop
+    return out
 
 
 def centroid_window(tof, scan, weight, is_reference, tof_range, scan_range, frame=None):
@@ -23,26 +49,38 @@ def centroid_window(tof, scan, weight, is_reference, tof_range, scan_range, fram
     if no untaken peak in its window outweighs it; its window is then taken and
     the reference frame's intensities in it are summed. ``tof_range`` and
     ``scan_range`` map a centre to its bounds: tof half-open, scan closed.
+
+    Peaks that share no window with another are no one's but their own, so they
+    are decided all at once; only the others are visited in order.
     """
     tof, scan, weight = np.asarray(tof), np.asarray(scan), np.asarray(weight)
     own = np.where(np.asarray(is_reference, bool), weight, 0)
+    if not len(tof):
+        return tuple(np.array([], np.int64) for _ in range(3))
     order = np.lexsort((weight, np.zeros(len(tof)) if frame is None else np.asarray(frame), scan, tof))
     tof, scan, weight, own = tof[order], scan[order], weight[order], own[order]
-    taken, out = np.zeros(len(tof), bool), []
-    for i in range(len(tof)):
-        if taken[i]:
+    (lo, hi), (s_lo, s_hi) = _bounds(tof_range, tof), _bounds(scan_range, scan)
+    a, b = np.searchsorted(tof, lo, "left"), np.searchsorted(tof, hi, "left")
+    crowded, at = _crowded(scan, s_lo, s_hi, a, b), np.arange(len(tof))
+    alone = (a <= at) & (at < b) & (scan >= s_lo) & (scan <= s_hi)
+    total = np.where(alone, own, 0)
+    centre = ~crowded & (alone >= LEAST_PEAKS) & (total >= LEAST_INTENSITY)
+    some = np.flatnonzero(crowded)
+    first, last = np.searchsorted(some, a[some]), np.searchsorted(some, b[some])
+    s, w, o, s_lo, s_hi = (x[some] for x in (scan, weight, own, s_lo, s_hi))
+    taken = np.zeros(len(some), bool)
+    for k in range(len(some)):
+        if taken[k]:
             continue
-        lo, hi = tof_range(tof[i])
-        a, b = np.searchsorted(tof, lo, "left"), np.searchsorted(tof, hi, "left")
-        s_lo, s_hi = scan_range(scan[i])
-        inside = np.flatnonzero(~taken[a:b] & (scan[a:b] >= s_lo) & (scan[a:b] <= s_hi)) + a
-        if len(inside) < LEAST_PEAKS or (weight[inside] > weight[i]).any():
+        x, y = first[k], last[k]
+        inside = np.flatnonzero(~taken[x:y] & (s[x:y] >= s_lo[k]) & (s[x:y] <= s_hi[k])) + x
+        if len(inside) < LEAST_PEAKS or (w[inside] > w[k]).any():
             continue
-        total = own[inside].sum()
-        if total >= LEAST_INTENSITY:
+        summed = o[inside].sum()
+        if summed >= LEAST_INTENSITY:
             taken[inside] = True
-            out.append((tof[i], scan[i], total))
-    return tuple(np.array(x, np.int64) for x in (zip(*out, strict=True) if out else ((), (), ())))
+            centre[some[k]], total[some[k]] = True, summed
+    return tuple(np.array(x[centre], np.int64) for x in (tof, scan, total))
 
 
 def relative(ppm_or_pct: float, scale: float):
@@ -52,7 +90,9 @@ def relative(ppm_or_pct: float, scale: float):
 
 def absolute(width: int):
     """Bounds at a fixed distance."""
-    return lambda x: (x - width, x + width)
+    of = lambda x: (x - width, x + width)
+    of.arrays = True
+    return of
 
 
 def centroid_frames(peaks: DataFrame, tof_range=None, scan_range=None, width: int = 3) -> DataFrame:

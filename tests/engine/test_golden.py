@@ -182,6 +182,21 @@ def test_centroid():
     assert len(centroid.centroid_window([], [], [], [], two, one_)[0]) == 0
 
 
+def test_centroid_window_asks_for_bounds_once_a_value(monkeypatch):
+    """Lone peaks are decided together, not each by a visit; crowded ones in order, however few pairs are held."""
+    r = np.random.default_rng(0)
+    tof, scan, weight = np.arange(0, 30_000, 10), r.integers(0, 5, 3000), r.integers(50, 3000, 3000)
+    asked, ref = [], r.random(3000) < 0.5
+    t, c, i = centroid.centroid_window(tof, scan, weight, ref, centroid.absolute(2), lambda x: asked.append(x) or (x - 1, x + 1))
+    own = ref & (weight >= centroid.LEAST_INTENSITY)
+    assert len(asked) == 5 and (t.tolist(), c.tolist(), i.tolist()) == (tof[own].tolist(), scan[own].tolist(), weight[own].tolist())
+    # Three in a row: the middle one is heaviest and takes all; a lone one beside another's scans stays alone.
+    pool = ([10, 11, 12, 12], [3, 3, 3, 9], [200, 300, 100, 400], [True] * 4)
+    for pairs in (1, 2, 1_000_000):
+        monkeypatch.setattr(centroid, "PAIRS", pairs, raising=False)
+        assert [x.tolist() for x in centroid.centroid_window(*pool, centroid.absolute(2), centroid.absolute(1))] == [[11, 12], [3, 9], [600, 400]]
+
+
 def test_centroid_frames(spark):
     rows = [(2, 0, 0, f, f * 1.0, 5, 100 + d, 200 - 50 * abs(d)) for f in range(5) for d in (-1, 0, 1)]
     df = spark.createDataFrame(rows, "ms_level int, quad_major int, quad_sub int, frame_index bigint, rt double, scan_index bigint, tof_index bigint, intensity bigint")
