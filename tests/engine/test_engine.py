@@ -264,3 +264,14 @@ def test_peak_widths_equal_the_definition(spark):
     want = {q: naive_width([r for r in rows if r.quad_major == q]) for q in {r.quad_major for r in rows}}
     assert {r.quad_major: (r.n_tracks, r.width) for r in centroid.peak_width(peaks).collect()} == want
     assert any(w for _, w in want.values())
+
+
+def test_layouts_are_sorted_by_as_many_tasks_as_peaks_need(spark, tmp_path, monkeypatch):
+    peaks = fx.peaks(spark, "/root/testdata/sf0.001").cache()
+    monkeypatch.setattr(layout, "TASK_ROWS", 1000, raising=False)
+    for name in layout.SORTS:
+        layout.write_peaks(peaks, f"{tmp_path}/{name}", name)
+        tasks = {f.name.split("-")[1] for f in (tmp_path / name).rglob("part-*.parquet")}
+        assert len(tasks) >= peaks.count() // 1000 >= 5
+        back = readers.read_peaks(spark, f"{tmp_path}/{name}")
+        assert back.exceptAll(peaks.select(back.columns)).isEmpty() and back.count() == peaks.count()
