@@ -81,6 +81,8 @@ def rt_summary(cmg: DataFrame, expected: DataFrame | None = None) -> DataFrame:
     if expected is None:
         return cmg.groupBy(*own).agg(*aggs)
     e = F.coalesce(F.col("expected_intensity").cast("double"), F.lit(0.0))
+    # A merge join: expected values are as many as targets, and the size of a compressed file says little of what a broadcast would hold.
+    expected = expected.hint("merge")
     # One shuffle by group: each transition's first row has its part of the expected length.
     group = Window.partitionBy(*own[:-1])
     first = F.row_number().over(group.orderBy("transition_key", "rt_ms")) == 1

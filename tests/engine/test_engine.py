@@ -275,3 +275,14 @@ def test_layouts_are_sorted_by_as_many_tasks_as_peaks_need(spark, tmp_path, monk
         assert len(tasks) >= peaks.count() // 1000 >= 5
         back = readers.read_peaks(spark, f"{tmp_path}/{name}")
         assert back.exceptAll(peaks.select(back.columns)).isEmpty() and back.count() == peaks.count()
+
+
+def test_expected_values_are_merged_not_broadcast(spark):
+    """They are as many as targets, whatever the size of their file."""
+    cmg = spark.createDataFrame([(1, 2, k, 5, 10 * n, 3.0) for n, k in enumerate("ab", 1)], "eg_id bigint, ms_level int, transition_key string, rt_ms bigint, intensity bigint, scan_mean double")
+    expected = spark.createDataFrame([(1, 2, k, float(n)) for n, k in enumerate("abc", 1)], "eg_id bigint, ms_level int, transition_key string, expected_intensity double")
+    for c, e in ((cmg, expected), (cmg.withColumn("run_id", F.lit(1)), expected.withColumn("run_id", F.lit(1)))):
+        out = aggregate.rt_summary(c, e)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+        assert round(out.first().cosine, 9) == 1.0
