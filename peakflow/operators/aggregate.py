@@ -10,6 +10,8 @@ from .runs import join_on, keys, with_runs
 
 #: Intensities above which a transition counts as a peak, adds its logarithm, and is ranked.
 PEAK_ABOVE, LOG_ABOVE, RANKED_FROM = 100, 10, 10
+#: Rows of input for each task of groups: some 100 bytes each in memory, a few times over.
+TASK_ROWS = 500_000
 
 
 def field(array: str, name: str) -> Column:
@@ -45,22 +47,23 @@ def _mean_sd(x: str, w: str = "intensity"):
     return mean, F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)))
 
 
-def chromatograms(hits: DataFrame, mode: str = "exact", by: tuple[str, ...] = ("eg_id", "ms_level", "transition_key")) -> DataFrame:
-    """Per transition and millisecond: intensity, weighted mean and deviation of scan and tof.
+def chromatograms(hits: DataFrame, mode: str = "exact", by: tuple[str, ...] = ("eg_id", "ms_level", "transition_key"), carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per transition and millisecond: intensity, weighted mean and deviation of scan and tof, and in ``carry`` what matches have from their target.
 
     ``exact`` sums are mergeable before the shuffle. ``compat`` folds each
     group's peaks in the order (quad, tof, scan) with the order-dependent rule.
     """
     keyed = hits.withColumn("rt_ms", rt_ms(F.col("rt")))
     own = keys(hits, *by, "rt_ms")
+    more = [F.max(c).alias(c) for c in carry]
     if mode == "exact":
         sm, ss = _mean_sd("scan_index")
         tm, ts = _mean_sd("tof_index")
-        return keyed.groupBy(*own).agg(F.sum("intensity").alias("intensity"), sm.alias("scan_mean"), ss.alias("scan_sd"), tm.alias("tof_mean"), ts.alias("tof_sd"))
-    held = keyed.groupBy(*own).agg(F.sum("intensity").alias("intensity"), F.sort_array(F.collect_list(F.struct("quad_major", "tof_index", "scan_index", "intensity"))).alias("p"))
+        return keyed.groupBy(*own).agg(F.sum("intensity").alias("intensity"), sm.alias("scan_mean"), ss.alias("scan_sd"), tm.alias("tof_mean"), ts.alias("tof_sd"), *more)
+    held = keyed.groupBy(*own).agg(F.sum("intensity").alias("intensity"), F.sort_array(F.collect_list(F.struct("quad_major", "tof_index", "scan_index", "intensity"))).alias("p"), *more)
     fold = lambda c: running_stats(F.transform("p", lambda x: F.struct(x[c].cast("double").alias("v"), x["intensity"].cast("double").alias("w"))))
     held = held.withColumns({"s": fold("scan_index"), "t": fold("tof_index")})
-    return held.select(*own, "intensity", F.col("s.mean").alias("scan_mean"), F.col("s.sd").alias("scan_sd"), F.col("t.mean").alias("tof_mean"), F.col("t.sd").alias("tof_sd"))
+    return held.select(*own, "intensity", F.col("s.mean").alias("scan_mean"), F.col("s.sd").alias("scan_sd"), F.col("t.mean").alias("tof_mean"), F.col("t.sd").alias("tof_sd"), *carry)
 
 
 def rt_summary(cmg: DataFrame, expected: DataFrame | None = None) -> DataFrame:
@@ -68,7 +71,7 @@ def rt_summary(cmg: DataFrame, expected: DataFrame | None = None) -> DataFrame:
 
     The cosine is of observed and expected intensities over the transitions
     that have any peak in the group; ``expected`` has (eg_id, ms_level,
-    transition_key, expected_intensity).
+    transition_key, expected_intensity), or ``cmg`` has expected_intensity.
     """
     own = keys(cmg, "eg_id", "ms_level", "rt_ms")
     i = F.col("intensity").cast("double")
@@ -78,23 +81,34 @@ def rt_summary(cmg: DataFrame, expected: DataFrame | None = None) -> DataFrame:
         F.sum(F.when(F.col("intensity") > LOG_ABOVE, F.ln(i)).otherwise(0.0)).alias("log_intensity"),
         F.try_divide(F.sum(F.col("scan_mean") * i), F.sum(i)).alias("scan_mean"),
     ]
-    if expected is None:
+    if expected is None and "expected_intensity" not in cmg.columns:
         return cmg.groupBy(*own).agg(*aggs)
     e = F.coalesce(F.col("expected_intensity").cast("double"), F.lit(0.0))
-    # A merge join: expected values are as many as targets, and the size of a compressed file says little of what a broadcast would hold.
-    expected = expected.hint("merge")
+    if expected is not None:
+        # A merge join: expected values are as many as targets, and the size of a compressed file says little of what a broadcast would hold.
+        cmg = join_on(cmg.drop("expected_intensity"), expected.hint("merge"), ["eg_id", "ms_level", "transition_key"], "left")
     # One shuffle by group: each transition's first row has its part of the expected length.
     group = Window.partitionBy(*own[:-1])
     first = F.row_number().over(group.orderBy("transition_key", "rt_ms")) == 1
     first = first | (F.lag("transition_key").over(group.orderBy("transition_key", "rt_ms")) != F.col("transition_key"))
-    full = join_on(cmg, expected, ["eg_id", "ms_level", "transition_key"], "left").withColumn("own", F.when(first, e * e))
-    full = full.withColumn("ee", F.sum("own").over(group))
+    full = cmg.withColumn("own", F.when(first, e * e)).withColumn("ee", F.sum("own").over(group))
     out = full.groupBy(*own).agg(*aggs, F.sum(i * e).alias("oe"), F.sum(i * i).alias("oo"), F.first("ee").alias("ee"))
     norm = F.sqrt(F.col("oo")) * F.sqrt(F.col("ee"))
     cosine = F.when(norm == 0, F.lit(NAN)).otherwise(F.col("oe") / F.when(norm != 0, norm))
     return out.select(*own, "summed_intensity", "npeaks", "log_intensity", "scan_mean", cosine.alias("cosine"))
 
 
+def group_summary(hits: DataFrame, rows: int) -> DataFrame:
+    """``rt_summary`` of ``hits`` with the expected values of their own targets; they were made of about ``rows`` rows of peaks and targets.
+
+    Matches are dealt out by group once, to as many tasks as ``rows`` need, so
+    what a task holds does not grow with the run. All sums and windows by group
+    that follow stay in these tasks, and no expected value is joined.
+    """
+    tasks = max(hits.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+    return rt_summary(chromatograms(hits.repartition(tasks, "eg_id"), carry=("expected_intensity",)))
+
+
 def densified(cmg: DataFrame) -> DataFrame:
     """Every transition with peaks at every millisecond of its group: NaN means and 0 intensity where missing.
 

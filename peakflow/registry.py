@@ -78,7 +78,7 @@ def _cmg(spark, d):
 
 
 def _summary(spark, d):
-    return agg.rt_summary(_cmg(spark, d), fx.targets(spark, d).select("eg_id", "ms_level", "transition_key", "expected_intensity"))
+    return agg.group_summary(_hits(spark, d), fx.peaks(spark, d).count() + fx.targets(spark, d).count())
 
 
 @query(f"WITH {_BASE} SELECT eg_id, sum(intensity)::BIGINT AS intensity FROM hits GROUP BY eg_id")

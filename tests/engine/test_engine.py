@@ -288,6 +288,23 @@ def test_expected_values_are_merged_not_broadcast(spark):
         assert round(out.first().cosine, 9) == 1.0
 
 
+def test_scores_deal_matches_out_by_group_once(spark, monkeypatch):
+    """To as many tasks as the input needs, whatever the session's number; same summary as by a join of expected values."""
+    from peakflow import registry
+
+    d, summary = "/root/testdata/sf0.001", lambda df: {tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect()}
+    monkeypatch.setattr(aggregate, "TASK_ROWS", 500, raising=False)
+    for name in ("hyperscore", "lazyerscore", "score_bundle", "scores_at_rt_asof"):
+        plan = registry.QUERIES[name](spark, d)._jdf.queryExecution().executedPlan().toString()
+        dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(eg_id" in line]
+        assert len(dealt) == 1 and "SortMergeJoin" not in plan
+    rows = fx.peaks(spark, d).count() + fx.targets(spark, d).count()
+    assert f", {-(-rows // 500)})" in dealt[0]
+    for hits in (registry._hits(spark, d), registry._hits(spark, d).withColumn("run_id", F.col("scan_index") % 2)):
+        want = aggregate.rt_summary(aggregate.chromatograms(hits), fx.targets(spark, d).select("eg_id", "ms_level", "transition_key", "expected_intensity"))
+        assert summary(aggregate.group_summary(hits, rows)) == summary(want)
+
+
 def test_hulls_of_few_windows_gather_no_targets(spark):
     """Same hulls as by grouping, of quads with several windows and with runs, and no sums over targets on the way."""
     t = spark.createDataFrame([(k, 2, 100.0 + k, 101.0 + k, 3 * k, 3 * k + 30) for k in range(20)] + [(99, 1, 0.0, 999.0, 0, 99)], "eg_id bigint, ms_level int, iso_lo double, iso_hi double, scan_lo bigint, scan_hi bigint")
